@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bagwise.catalogue import fixtures as fx
-from bagwise.catalogue.queries import DIGITS, FOLDS, SAMPLE_FRACTION, SCALED, SEED, TRAIN
+from bagwise.catalogue.queries import CHOSEN_BAG, DIGITS, FOLDS, SAMPLE_FRACTION, SCALED, SEED, TRAIN
 from bagwise.functions.losses import FOCAL_ALPHA, FOCAL_GAMMA
 from bagwise.plans.training import ADAM_BETAS, ADAM_EPS
 
@@ -378,7 +378,7 @@ SELECT count(*) FILTER (label = 0 AND pred = 0) AS c00, count(*) FILTER (label =
        (SELECT round(auc, {R}) FROM ({_auc('scored')})) AS auc FROM scored""",
         "bag_attention_series": f"""{events}
 SELECT row_number() OVER (ORDER BY instance_id) - 1 AS position, instance_id, round(e / mass, {R}) AS attention
-FROM ex JOIN (SELECT bag_id, mass FROM pool) USING (bag_id) WHERE bag_id = 7""",
+FROM ex JOIN (SELECT bag_id, mass FROM pool) USING (bag_id) WHERE bag_id = {CHOSEN_BAG}""",
         "attention_histogram": f"""{events},
 att AS (SELECT label, e / mass AS x FROM ex JOIN (SELECT bag_id, mass FROM pool) USING (bag_id) JOIN bags USING (bag_id)),
 rng AS (SELECT label, min(x) AS lo, max(x) AS hi FROM att GROUP BY label),

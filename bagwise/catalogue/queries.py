@@ -15,7 +15,7 @@ from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate as run_evaluation
 from bagwise.plans.evaluation import label_scores
 from bagwise.plans.instances import bags_of, frequency_instances, signature_features, signature_instances
-from bagwise.plans.scratch import scratch_path, settle
+from bagwise.plans.scratch import scratch_path, settle, stored
 from bagwise.plans.training import TrainSettings, train_attention, training_history, training_roc
 from bagwise.sources import (
     load_model,
@@ -36,6 +36,7 @@ DIGITS = 6
 SAMPLE_FRACTION = 0.4
 SEED = 42
 FOLDS = 10
+CHOSEN_BAG = 7
 SCALED = ("l_quantity", "l_extendedprice", "l_discount", "always_one")
 TRAIN = {"epochs": 3, "lr": 0.05}
 
@@ -356,13 +357,15 @@ def evaluate(spark, d):
 
 @query
 def bag_attention_series(spark, d):
-    weights = pooling.attention_weights(fx.event_instances(spark, d), fx.EVENT_MODEL)
-    return round_all(reports.bag_attention_series(weights, 7))
+    # One bag's attention needs that bag's rows only.
+    chosen = fx.event_instances(spark, d).where(F.col("bag_id") == CHOSEN_BAG)
+    weights = pooling.attention_weights(chosen, fx.EVENT_MODEL)
+    return round_all(reports.bag_attention_series(weights, CHOSEN_BAG))
 
 
 @query
 def attention_histogram(spark, d):
-    weights = settle(pooling.attention_weights(fx.event_instances(spark, d), fx.EVENT_MODEL))
+    weights = stored(pooling.attention_weights(fx.event_instances(spark, d), fx.EVENT_MODEL))
     return round_all(reports.attention_histogram(weights, settle(fx.event_bags(spark, d))))
 
 

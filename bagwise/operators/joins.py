@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bagwise.functions.columns import extract_sample_id
 from bagwise.operators.prepare import suffix_columns
-from bagwise.plans.lookup import BROADCAST_BYTES, lookup_join
+from bagwise.plans.lookup import BROADCAST_BYTES, lookup_join, measured_bytes, salted_lookups
 from bagwise.plans.scratch import settle
 
 # Which fragment column each signature table explains, in feature order.
@@ -42,18 +42,27 @@ def join_signatures(
     ``tables`` maps a token column to its table (``Sample``, ``Motif``, likelihoods). Likelihood
     columns get the token's suffix. Repeated keys multiply rows, with a warning.
     """
-    out = rows
+    out, large = rows, []
     for token, table in tables.items():
         if warn_duplicates and not duplicate_signatures(table).isEmpty():
             warnings.warn(f"signature table for {token} repeats keys: matching rows multiply", stacklevel=2)
-        wide = suffix_columns(table.select(*signature_columns(table)), suffixes[token]).columns
-        keyed = table.select(
-            extract_sample_id("Sample").alias(sample),
-            F.col("Motif").alias(token),
-            *[F.col(f"`{c}`").alias(w) for c, w in zip(signature_columns(table), wide)],
+        names = signature_columns(table)
+        keyed = suffix_columns(table.select(*[F.col(f"`{c}`") for c in names], "Motif", "Sample"), suffixes[token])
+        keyed = keyed.select(
+            extract_sample_id(f"Sample{suffixes[token]}").alias(sample),
+            F.col(f"Motif{suffixes[token]}").alias(token),
+            *[F.col(f"`{c}{suffixes[token]}`") for c in names],
         )
-        out = lookup_join(out, keyed, [token, sample], "left", budget=budget)
-    return out
+        size = measured_bytes(keyed)
+        if size <= budget:
+            out = lookup_join(out, keyed, [token, sample], "left", budget=budget, table_bytes=size)
+        else:
+            large.append((keyed, [token, sample]))
+    if large:
+        # Every table is keyed by the sample too: the rows move once, by sample.
+        out = salted_lookups(out, large, [sample])
+    order = [f"{c}{suffixes[t]}" for t, table in tables.items() for c in signature_columns(table)]
+    return out.select(*[F.col(f"`{c}`") for c in [*rows.columns, *order]])
 
 
 def token_frequencies(rows: DataFrame, tokens: Sequence[str], bag: str = "bag_id") -> DataFrame:

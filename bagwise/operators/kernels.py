@@ -25,6 +25,11 @@ def attention(model, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, t @ model.att_w + model.att_b[0]
 
 
+def unit_logits(model, hidden: np.ndarray) -> np.ndarray:
+    """Classifier output of each row; the bag's logit is its mean under attention."""
+    return hidden @ model.cls_w + model.cls_b[0]
+
+
 def gated_attention(model, hidden: np.ndarray) -> np.ndarray:
     """Attention logits per row and hidden unit."""
     t = np.tanh(hidden @ model.att_v.T + model.att_c)
@@ -60,17 +65,8 @@ def softmax_partials(codes, logits, masses, values):
     return keys, top, mass, mean
 
 
-def pooled_gradient(model, x, logit_top, mass, mean_unit, slope) -> np.ndarray:
-    """Gradient of the batch's summed loss, flat, given each row's finished bag sums.
-
-    ``slope`` is the loss slope at the bag's logit, ``mean_unit`` the attention-weighted mean of the
-    rows' classifier outputs.
-    """
-    hidden = embed(model, x)
-    t, s = attention(model, hidden)
-    unit = hidden @ model.cls_w
-    share = slope * np.exp(s - logit_top) / mass
-    d_logit = share * (unit - mean_unit)
+def backprop(model, x, hidden, t, share, d_logit) -> np.ndarray:
+    """Flat parameter gradient, given each row's part in the bag's logit and slope of its attention logit."""
     d_inner = (d_logit[:, None] * model.att_w) * (1.0 - t * t)
     d_hidden = (share[:, None] * model.cls_w + d_inner @ model.att_v) * (hidden > 0.0)
     return np.concatenate(
@@ -85,3 +81,38 @@ def pooled_gradient(model, x, logit_top, mass, mean_unit, slope) -> np.ndarray:
             [share.sum()],
         ]
     )
+
+
+def pooled_gradient(model, x, top, mass, logit, slope) -> np.ndarray:
+    """Gradient of the rows' summed bag losses, given each row's bag: its softmax sums, logit and loss slope."""
+    hidden = embed(model, x)
+    t, s = attention(model, hidden)
+    share = slope * np.exp(s - top) / mass
+    return backprop(model, x, hidden, t, share, share * (unit_logits(model, hidden) - logit))
+
+
+def logit_bound(model) -> float:
+    """No attention logit is larger: the inner activation stays within ±1."""
+    return float(np.abs(model.att_w).sum() + abs(model.att_b[0]))
+
+
+def bag_moments(model, x) -> np.ndarray:
+    """Sums over one bag's rows from which its logit and the logit's gradient follow.
+
+    Attention mass, classifier output under it, and two gradients. All are relative to
+    :func:`logit_bound`, so sums of different tasks add up as they are.
+    """
+    hidden = embed(model, x)
+    t, s = attention(model, hidden)
+    e = np.exp(s - logit_bound(model))
+    unit = unit_logits(model, hidden)
+    full = backprop(model, x, hidden, t, e, e * unit)
+    focus = backprop(model, x, hidden, t, np.zeros_like(e), e)
+    return np.concatenate([[e.sum(), e @ unit], full, focus])
+
+
+def logit_gradient(moments: np.ndarray) -> np.ndarray:
+    """Gradient of a bag's logit from the bag's added-up moments."""
+    logit = moments[1] / moments[0]
+    full, focus = np.split(moments[2:] / moments[0], 2)
+    return full - logit * focus

@@ -132,25 +132,26 @@ def fold_partials(table: pa.Table, keys: list[str]) -> pa.Table:
     return folded_table(table, keys, _matrix(table.column("top")), _matrix(table.column("mass")), _matrix(table.column("mean")))
 
 
-def bag_partials(instances: DataFrame, model: AttentionModel) -> DataFrame:
+def bag_partials(instances: DataFrame, model: AttentionModel, *, vectors: bool = True) -> DataFrame:
     """Records ``bag_id, top, mass, mean``: at most a few per (task, bag).
 
-    ``mean`` holds the pooled embedding of the record's rows.
+    ``mean`` holds the pooled embedding of the record's rows; without ``vectors`` only the logit of
+    that embedding, which is all that a bag's probability needs.
     """
-    vector = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [
             instances.schema["bag_id"],
             T.StructField("top", T.DoubleType()),
             T.StructField("mass", T.DoubleType()),
-            T.StructField("mean", vector),
+            T.StructField("mean", T.ArrayType(T.DoubleType()) if vectors else T.DoubleType()),
         ]
     )
 
     def to_partial(batch: pa.RecordBatch) -> pa.Table:
         hidden = kernels.embed(model, kernels.feature_matrix(batch.column("features")))
         _, s = kernels.attention(model, hidden)
-        return folded_table(batch, ["bag_id"], s, np.ones(len(s)), hidden)
+        values = hidden if vectors else kernels.unit_logits(model, hidden)
+        return folded_table(batch, ["bag_id"], s, np.ones(len(s)), values)
 
     def run(batches):
         return fold_batches(batches, to_partial, ["bag_id"])
@@ -177,6 +178,20 @@ def attention_pool(instances: DataFrame, model: AttentionModel) -> DataFrame:
     )
 
 
+def merged_means(records: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys…, top, mass, mean`` from records with a scalar mean."""
+    top, weight = merged_weight(keys)
+    return (
+        records.select(*keys, top.alias("top"), weight.alias("weight"), "mean")
+        .groupBy(*keys)
+        .agg(
+            F.max("top").alias("top"),
+            F.sum("weight").alias("mass"),
+            (F.sum(F.col("weight") * F.col("mean")) / F.sum("weight")).alias("mean"),
+        )
+    )
+
+
 def _dot(array: Column, weights: np.ndarray) -> Column:
     literal = F.array(*[F.lit(float(w)) for w in weights])
     products = F.zip_with(array, literal, lambda a, b: a * b)
@@ -184,13 +199,14 @@ def _dot(array: Column, weights: np.ndarray) -> Column:
 
 
 def score_bags(instances: DataFrame, model: AttentionModel, at: float = 0.5) -> DataFrame:
-    """``bag_id, top, mass, logit, p, pred``: probability and predicted label of each bag."""
-    pool = gated_attention_pool if isinstance(model, GatedAttentionModel) else attention_pool
-    pooled = pool(instances, model)
-    logit = _dot(F.col("pooled"), model.cls_w) + F.lit(float(model.cls_b[0]))
-    kept = [c for c in ("top", "mass") if c in pooled.columns]
-    scored = pooled.select("bag_id", *kept, logit.alias("logit")).withColumn("p", sigmoid(F.col("logit")))
-    return scored.withColumn("pred", threshold("p", at))
+    """``bag_id, [top, mass,] logit, p, pred``: probability and predicted label of each bag."""
+    if isinstance(model, GatedAttentionModel):
+        logit = _dot(F.col("pooled"), model.cls_w) + F.lit(float(model.cls_b[0]))
+        scored = gated_attention_pool(instances, model).select("bag_id", logit.alias("logit"))
+    else:
+        merged = merged_means(bag_partials(instances, model, vectors=False), ["bag_id"])
+        scored = merged.select("bag_id", "top", "mass", F.col("mean").alias("logit"))
+    return scored.withColumn("p", sigmoid(F.col("logit"))).withColumn("pred", threshold("p", at))
 
 
 def attention_weights(
@@ -198,8 +214,11 @@ def attention_weights(
 ) -> DataFrame:
     """``bag_id, instance_id, attention``; the weights of a bag add up to 1.
 
-    ``bags`` are settled ``top, mass`` per bag from :func:`score_bags`, if already at hand.
+    ``bags`` are settled ``top, mass`` per bag from :func:`score_bags`, if already at hand. A gated
+    scorer gives an array of weights, one per hidden unit.
     """
+    if isinstance(model, GatedAttentionModel):
+        return gated_attention_weights(instances, model, budget=budget)
     if bags is None:
         bags = settle(score_bags(instances, model))
     ends = bags.select("bag_id", "top", "mass")
@@ -236,23 +255,13 @@ def _gated_units(instances: DataFrame, model: GatedAttentionModel) -> DataFrame:
     records = gated_partials(instances, model).select(
         "bag_id", F.posexplode(F.arrays_zip("top", "mass", "mean")).alias("unit", "r")
     )
-    top, weight = merged_weight(["bag_id", "unit"])
-    units = (
-        records.select("bag_id", "unit", "r.*")
-        .select("bag_id", "unit", top.alias("top"), weight.alias("weight"), "mean")
-        .groupBy("bag_id", "unit")
-        .agg(
-            F.max("top").alias("top"),
-            F.sum("weight").alias("mass"),
-            (F.sum(F.col("weight") * F.col("mean")) / F.sum("weight")).alias("value"),
-        )
-    )
+    units = merged_means(records.select("bag_id", "unit", "r.*"), ["bag_id", "unit"])
     # One entry per hidden unit of the model: a list of fixed length.
-    ordered = F.sort_array(F.collect_list(F.struct("unit", "top", "mass", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("unit", "top", "mass", "mean")))
     return (
         units.groupBy("bag_id")
         .agg(ordered.alias("u"))
-        .select("bag_id", F.col("u.top").alias("tops"), F.col("u.mass").alias("masses"), F.col("u.value").alias("pooled"))
+        .select("bag_id", F.col("u.top").alias("tops"), F.col("u.mass").alias("masses"), F.col("u.mean").alias("pooled"))
     )
 
 

@@ -1,21 +1,24 @@
 """Joins of many rows to a keyed table, by the table's measured size.
 
 A table that fits the budget is broadcast, so the rows do not move. A larger one is joined by a
-shuffle in which hot keys are spread over salted copies. A key is hot when it holds more than one
-``HOT_SHARE``-th of the rows, so there are never more than ``HOT_SHARE`` hot keys and their list is
-always small enough to broadcast.
+shuffle in which hot keys are spread over salted copies. A key is hot when it holds more rows than an
+even shuffle partition would, so there are never more hot keys than shuffle partitions and their list
+is always small enough to broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagwise.plans.scratch import settle
+
 BROADCAST_BYTES = 64 << 20
-HOT_SHARE = 500
+LEAST_SHARES = 200
 ROW_OVERHEAD = 32
 
 
@@ -58,34 +61,81 @@ def lookup_join(
     return salted_join(rows, table, on, how)
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys above one ``share``-th of all rows, with the number of salted copies each one needs."""
-    total, *_ = rows.select(*on).agg(F.count(F.lit(1))).first()
+def even_shares(rows: DataFrame) -> int:
+    """Into how many parts a shuffle of the rows should be able to cut them."""
+    return max(LEAST_SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], share: int | None = None) -> DataFrame:
+    """Keys above one ``share``-th of all rows, with the number of salted copies each one needs.
+
+    The rows are read once; their total is the sum of the counts.
+    """
+    share = share or even_shares(rows)
+    counted = settle(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     slot = max(1, total // share)
-    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot)
-    return counted.select(*on, F.ceil(F.col("_n") / F.lit(slot)).cast("int").alias("_salts"))
+    above = counted.where(F.col("_n") > slot)
+    return above.select(*on, F.ceil(F.col("_n") / F.lit(slot)).cast("int").alias("_salts"))
+
+
+@dataclass(frozen=True)
+class Salting:
+    """Copies of a keyed table for its hot keys, and the copy each row has to meet.
+
+    Rows are spread by a hash of all their columns; give them an id of their own, so that equal rows
+    spread too.
+    """
+
+    on: list[str]
+    hot: DataFrame
+    share: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, on: Sequence[str], share: int | None = None) -> Salting:
+        on, share = list(on), share or even_shares(rows)
+        return cls(on, hot_keys(rows.where(_all_set(on)), on, share), share)
+
+    def rows(self, rows: DataFrame) -> DataFrame:
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+        # Rows without a complete key match nothing: they may go anywhere.
+        salt = (
+            F.when(~_all_set(self.on), F.pmod(spread, F.lit(self.share)))
+            .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
+            .otherwise(F.lit(0))
+        )
+        return rows.join(F.broadcast(self.hot), self.on, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+
+    def copies(self, table: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+        return table.join(F.broadcast(self.hot), self.on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
 
 
 def salted_join(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, share: int = HOT_SHARE
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, share: int | None = None
 ) -> DataFrame:
-    on = list(on)
-    hot = F.broadcast(hot_keys(rows.where(_all_set(on)), on, share))
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    # Rows without a complete key match nothing: they may go anywhere.
-    salt = (
-        F.when(~_all_set(on), F.pmod(spread, F.lit(share)))
-        .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
-    left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    right = table.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    joined = left.join(right, [*on, "_salt"], how)
+    salting = Salting.of(rows, on, share)
+    joined = salting.rows(rows).join(salting.copies(table), [*on, "_salt"], how)
     return joined.select(*rows.columns, *[c for c in table.columns if c not in on])
 
 
+def salted_lookups(
+    rows: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], shared: Sequence[str], *, share: int | None = None
+) -> DataFrame:
+    """Left-join several tables whose keys all include the ``shared`` columns.
+
+    Hot keys are sought once, among the shared columns, and the rows are partitioned once by those
+    and the salt. With ``spark.sql.requireAllClusterKeysForCoPartition`` off, all joins use that one
+    partitioning.
+    """
+    salting = Salting.of(rows, shared, share)
+    out = salting.rows(rows).repartition(*shared, "_salt")
+    for table, on in tables:
+        out = out.join(salting.copies(table).repartition(*shared, "_salt"), [*on, "_salt"], "left")
+    added = [c for table, on in tables for c in table.columns if c not in on]
+    return out.select(*rows.columns, *added)
+
+
 def _all_set(on: Sequence[str]) -> Column:
     ok = F.lit(True)
     for c in on:

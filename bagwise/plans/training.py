@@ -1,10 +1,13 @@
 """Training by distributed gradients.
 
-A step is two passes over the rows of its bags. The first folds them into one record per bag and
+A step over many bags is two passes over their rows. The first folds them into one record per bag and
 yields each bag's probability, loss and loss slope. The second sends those few numbers per bag back
 to the rows and sums the gradient. Only parameters, gradients and one total per model reach the
 driver; bag records are written to the scratch folder, where they also serve as training history.
 
+A step over a few bags is one pass: each bag's rows are summed into moments that hold its logit and
+the logit's gradient, as softmax pooling is a ratio of sums. Rows are stored by bag for such steps.
+
 Several models train in the same two passes: model ``f`` sees every bag whose ``fold`` is not ``f``.
 """
 
@@ -12,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +31,11 @@ from bagwise.operators import kernels
 from bagwise.operators.folds import shuffled_rank
 from bagwise.operators.metrics import auc, roc_curve
 from bagwise.operators.model import AttentionModel
-from bagwise.operators.pooling import _list_array, fold_batches, folded_table, merged_weight
+from bagwise.operators.pooling import _list_array, fold_batches, folded_table, key_codes, merged_means
 from bagwise.operators.prepare import feature_dim
-from bagwise.plans.lookup import BROADCAST_BYTES, ROW_OVERHEAD, lookup_join, measured_bytes
+from bagwise.plans.lookup import BROADCAST_BYTES, ROW_OVERHEAD, lookup_join
 from bagwise.plans.scratch import scratch_path, settle
+from bagwise.sources.store import bag_bucket, write_bucketed
 
 NO_FOLD = -1
 # Task gradients are added up in this many slots before the final sum.
@@ -38,6 +43,14 @@ GRADIENT_SLOTS = 64
 # Fixed values of the optimiser.
 ADAM_BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
+# A step over at most this many (bag, model) pairs takes one pass; their moments come to the driver.
+ONE_PASS_RECORDS = 16
+# Beyond this bound on attention logits, exponentials relative to the bound could vanish.
+LARGEST_BOUND = 300.0
+SCORES_PER_FLUSH = 1000
+MOST_BUCKETS = 1024
+# Batches up to this many bags are chosen by a list of ids, larger ones by a join.
+LISTED_BAGS = 1000
 
 
 @dataclass(frozen=True)
@@ -97,7 +110,7 @@ class Adam:
 class Trained:
     """Fitted models by fold (a single model under ``NO_FOLD``) and every bag score of the training.
 
-    ``scores``: ``run_id, fold, epoch, step, bag_id, label, p, loss``, each taken before the step.
+    ``scores``: ``run_id, fold, epoch, bag_id, label, p, loss``, each taken before its bag's step.
     """
 
     models: dict[int, AttentionModel]
@@ -123,7 +136,7 @@ def training_roc(scores: DataFrame) -> DataFrame:
 def bag_states(
     rows: DataFrame, models: dict[int, AttentionModel], *, held_out: bool = False
 ) -> DataFrame:
-    """``fold, bag_id, label, top, mass, mean, logit, p`` of each bag under each model that may see it.
+    """``fold, bag_id, label, top, mass, logit, p`` of each bag under each model that may see it.
 
     ``rows`` carry ``bag_id, label, fold, features``. Model ``f`` sees the bags outside fold ``f``,
     or only those inside with ``held_out``.
@@ -155,7 +168,7 @@ def bag_states(
                     "label": batch.column("label").take(pa.array(seen)),
                 }
             )
-            parts.append(folded_table(source, keys, s, np.ones(len(s)), hidden @ model.cls_w))
+            parts.append(folded_table(source, keys, s, np.ones(len(s)), kernels.unit_logits(model, hidden)))
         return pa.concat_tables(parts) if parts else schema_table
 
     names = {"model": pa.int32(), "top": pa.float64(), "mass": pa.float64(), "mean": pa.float64()}
@@ -165,34 +178,18 @@ def bag_states(
         return fold_batches(batches, to_partial, keys)
 
     records = rows.select("bag_id", "label", "fold", "features").mapInArrow(run, schema)
-    top, weight = merged_weight(["bag_id", "model"])
-    merged = (
-        records.select(*keys, top.alias("top"), weight.alias("weight"), "mean")
-        .groupBy(*keys)
-        .agg(
-            F.max("top").alias("top"),
-            F.sum("weight").alias("mass"),
-            (F.sum(F.col("weight") * F.col("mean")) / F.sum("weight")).alias("mean"),
-        )
-    )
-    bias = F.lit(None).cast("double")
-    for f, model in models.items():
-        bias = F.when(F.col("model") == f, F.lit(float(model.cls_b[0]))).otherwise(bias)
-    return (
-        merged.withColumn("logit", F.col("mean") + bias)
-        .withColumn("p", losses.sigmoid(F.col("logit")))
-        .withColumnRenamed("model", "fold")
-    )
+    merged = merged_means(records, keys)
+    return merged.withColumnsRenamed({"mean": "logit", "model": "fold"}).withColumn("p", losses.sigmoid(F.col("logit")))
 
 
 def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionModel], state_bytes: int, budget: int) -> dict[int, np.ndarray]:
     """Summed loss gradient of each model over the rows' bags."""
     # One entry per model: a list of fixed length.
-    listed = F.sort_array(F.collect_list(F.struct("fold", "top", "mass", "mean", "slope")))
+    listed = F.sort_array(F.collect_list(F.struct("fold", "top", "mass", "logit", "slope")))
     per_bag = states.groupBy("bag_id").agg(listed.alias("s")).select(
         "bag_id",
         F.col("s.fold").alias("model"),
-        *[F.col(f"s.{n}").alias(n) for n in ("top", "mass", "mean", "slope")],
+        *[F.col(f"s.{n}").alias(n) for n in ("top", "mass", "logit", "slope")],
     )
     joined = lookup_join(rows.select("bag_id", "features"), per_bag, ["bag_id"], "inner", budget=budget, table_bytes=state_bytes)
 
@@ -205,13 +202,13 @@ def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionMo
             lists = batch.column("model")
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             of = lists.flatten().to_numpy(zero_copy_only=False)
-            top, mass, mean, slope = (
-                batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("top", "mass", "mean", "slope")
+            top, mass, logit, slope = (
+                batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("top", "mass", "logit", "slope")
             )
             for f, model in models.items():
                 at = np.flatnonzero(of == f)
                 if len(at):
-                    g = kernels.pooled_gradient(model, x[owner[at]], top[at], mass[at], mean[at], slope[at])
+                    g = kernels.pooled_gradient(model, x[owner[at]], top[at], mass[at], logit[at], slope[at])
                     sums[f] = sums[f] + g if f in sums else g
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -236,69 +233,172 @@ def labelled_rows(instances: DataFrame, bags: DataFrame, budget: int = BROADCAST
     return lookup_join(instances.select("bag_id", "features"), known, ["bag_id"], "inner", budget=budget)
 
 
+def _bag_moments(rows: DataFrame, models: dict[int, AttentionModel]) -> DataFrame:
+    """``bag_id, label, model, moments`` of every bag in ``rows`` under every model that may see it."""
+    key = rows.schema["bag_id"]
+    fields = [key, T.StructField("label", T.IntegerType()), T.StructField("model", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("moments", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field("bag_id").type
+            x = kernels.feature_matrix(batch.column("features"))
+            order, starts, _ = kernels.grouped(key_codes(batch, ["bag_id"]))
+            for at in np.split(order, starts[1:]):
+                bag, label, fold = (batch.column(n)[int(at[0])].as_py() for n in ("bag_id", "label", "fold"))
+                for f, model in models.items():
+                    if f == NO_FOLD or f != fold:
+                        found = kernels.bag_moments(model, x[at])
+                        k = (bag, label, f)
+                        sums[k] = sums[k] + found if k in sums else found
+        if sums:
+            bag, label, f = zip(*sums)
+            columns = [pa.array(bag, type=kind), pa.array(label, type=pa.int32()), pa.array(f, type=pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, _list_array(np.stack(list(sums.values())))], names=schema.names)
+
+    records = rows.select("bag_id", "label", "fold", "features").mapInArrow(run, schema)
+    slots = records.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(GRADIENT_SLOTS))).withColumn(
+        "moments", array_to_vector("moments")
+    )
+    keys = ["bag_id", "label", "model"]
+    per_slot = slots.groupBy(*keys, "slot").agg(Summarizer.sum(F.col("moments")).alias("moments"))
+    return per_slot.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("moments"))).alias("moments"))
+
+
+def _one_pass_step(
+    rows: DataFrame, models: dict[int, AttentionModel], settings: TrainSettings
+) -> tuple[dict[int, np.ndarray], list[Row]]:
+    """Mean loss gradient of each model, and bag scores, from one job over a few bags' rows."""
+    moments = F.col("moments")
+    logit = moments[1] / moments[0]
+    loss, slope = settings.loss_columns(F.col("logit"), F.col("label"))
+    found = (
+        _bag_moments(rows, models)
+        .withColumn("logit", logit)
+        .withColumns({"p": losses.sigmoid(F.col("logit")), "loss": loss, "slope": slope})
+        .collect()
+    )
+    gradients: dict[int, list[np.ndarray]] = {}
+    for r in found:
+        gradients.setdefault(r.model, []).append(r.slope * kernels.logit_gradient(np.array(r.moments)))
+    return {f: np.mean(gs, axis=0) for f, gs in gradients.items()}, found
+
+
+def _two_pass_step(rows: DataFrame, models: dict[int, AttentionModel], settings: TrainSettings, folder: str) -> dict[int, np.ndarray]:
+    """Mean loss gradient of each model over any number of bags; bag scores are written to ``folder``."""
+    loss, slope = settings.loss_columns(F.col("logit"), F.col("label"))
+    states = bag_states(rows, models).withColumns({"loss": loss, "slope": slope})
+    states.write.parquet(folder)
+    states = rows.sparkSession.read.schema(states.schema).parquet(folder)
+    counts, size = _totals(states)
+    gradients = _gradients(rows, states, models, size, settings.budget)
+    return {f: g / counts[f] for f, g in gradients.items()}
+
+
 def train_models(
     instances: DataFrame, bags: DataFrame, models: dict[int, AttentionModel], settings: TrainSettings
 ) -> Trained:
     """Train the given models in place of one another; ``bags``: ``bag_id, label`` and maybe ``fold``."""
+    if settings.epochs < 1:
+        raise ValueError("no epoch to train")
     spark = instances.sparkSession
+    bags = settle(bags)
     rows = labelled_rows(instances, bags, settings.budget)
-    if settings.cache:
+    whole = settings.batch_bags is None
+    if not whole:
+        rows = _bucketed(rows, bags, settings)
+    elif settings.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     path = scratch_path(spark, f"train-{settings.run_id}")
     models = dict(models)
     optimisers = {f: Adam(settings.lr, settings.weight_decay) for f in models}
-    bag_bytes = measured_bytes(bags.select("bag_id"))
-    states_type = None
+    few = not whole and settings.batch_bags * len(models) <= ONE_PASS_RECORDS
+    scored = T.StructType(
+        [
+            T.StructField("fold", T.IntegerType()),
+            instances.schema["bag_id"],
+            T.StructField("label", T.IntegerType()),
+            *[T.StructField(n, T.DoubleType()) for n in ("p", "loss")],
+        ]
+    )
+    held: list[tuple] = []
+
+    def flush(epoch: int) -> None:
+        """Write the bag scores of one-pass steps; they come a few at a time."""
+        if held:
+            spark.createDataFrame(held, scored).coalesce(1).write.mode("append").parquet(f"{path}/epoch={epoch}")
+            held.clear()
+
     try:
         for epoch in range(1, settings.epochs + 1):
-            for step, some in enumerate(_batches(rows, bags, epoch, bag_bytes, settings)):
-                logit, label = F.col("logit"), F.col("label")
-                loss, slope = settings.loss_columns(logit, label)
-                states = bag_states(some, models).withColumns({"loss": loss, "slope": slope})
-                states_type = states.schema
-                folder = f"{path}/epoch={epoch}/step={step}"
-                states.write.parquet(folder)
-                states = spark.read.schema(states_type).parquet(folder)
-                counts, size = _totals(states)
-                gradients = _gradients(some, states, models, size, settings.budget)
+            batches = iter([rows]) if whole else _batches(rows, bags, epoch, settings)
+            for step, some in enumerate(batches):
+                bounded = max(kernels.logit_bound(m) for m in models.values()) <= LARGEST_BOUND
+                if few and bounded:
+                    gradients, scores = _one_pass_step(some, models, settings)
+                    held += [(r.model, r.bag_id, r.label, r.p, r.loss) for r in scores]
+                    if len(held) >= SCORES_PER_FLUSH:
+                        flush(epoch)
+                else:
+                    gradients = _two_pass_step(some, models, settings, f"{path}/epoch={epoch}/step={step}")
                 for f, g in gradients.items():
-                    models[f] = models[f].with_flat(optimisers[f].step(models[f].flat(), g / counts[f]))
+                    models[f] = models[f].with_flat(optimisers[f].step(models[f].flat(), g))
+            flush(epoch)
     finally:
-        if settings.cache:
+        if whole and settings.cache:
             rows.unpersist()
-    if states_type is None:
-        raise ValueError("no epoch was trained")
-    stored = T.StructType([*states_type.fields, T.StructField("epoch", T.IntegerType()), T.StructField("step", T.IntegerType())])
-    scores = spark.read.schema(stored).parquet(path).select(
-        F.lit(settings.run_id).alias("run_id"), "fold", "epoch", "step", "bag_id", "label", "p", "loss"
-    )
-    return Trained(models, scores)
+    read = spark.read.option("recursiveFileLookup", True).schema(scored)
+    of_epoch = [
+        read.parquet(f"{path}/epoch={e}").select(F.lit(settings.run_id).alias("run_id"), F.lit(e).alias("epoch"), *scored.names)
+        for e in range(1, settings.epochs + 1)
+    ]
+    return Trained(models, reduce(DataFrame.unionByName, of_epoch))
 
 
 def _totals(states: DataFrame) -> tuple[dict[int, int], int]:
     """Bags per model, and the size the states have once broadcast; one row per model."""
     kind = states.schema["bag_id"].dataType
     key = F.octet_length("bag_id") + 16 if isinstance(kind, T.StringType) else F.lit(8)
-    found = states.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum((key + ROW_OVERHEAD + 5 * 16).cast("long")).alias("size"))
-    rows = found.collect()
+    size = F.sum((key + ROW_OVERHEAD + 5 * 16).cast("long")).alias("size")
+    rows = states.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), size).collect()
     return {r.fold: r.n for r in rows}, sum(r["size"] for r in rows)
 
 
-def _batches(
-    rows: DataFrame, bags: DataFrame, epoch: int, bag_bytes: int, settings: TrainSettings
-) -> Iterator[DataFrame]:
-    """The rows of each batch of bags, in the epoch's order."""
-    if settings.batch_bags is None:
-        yield rows
+def _bucketed(rows: DataFrame, bags: DataFrame, settings: TrainSettings) -> DataFrame:
+    """The rows stored by bag, so that a step reads its own bags' folders only."""
+    n = bags.count()
+    buckets = max(1, min(MOST_BUCKETS, n // settings.batch_bags))
+    path = scratch_path(rows.sparkSession, f"rows-{settings.run_id}")
+    write_bucketed(rows, path, buckets=buckets)
+    schema = T.StructType([*rows.schema.fields, T.StructField("bag_bucket", T.IntegerType())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _batches(rows: DataFrame, bags: DataFrame, epoch: int, settings: TrainSettings) -> Iterator[DataFrame]:
+    """The stored rows of each batch of bags, in the epoch's order."""
+    n = bags.count()
+    buckets = max(1, min(MOST_BUCKETS, n // settings.batch_bags))
+    ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
+    batch = F.floor((F.col("rank") - 1) / settings.batch_bags)
+    ranked = settle(ranked.select("bag_id", batch.alias("batch"), bag_bucket("bag_id", buckets).alias("bag_bucket")))
+    n_batches = -(-n // settings.batch_bags)
+    if settings.batch_bags > LISTED_BAGS:
+        for number in range(n_batches):
+            chosen = ranked.where(F.col("batch") == number).select("bag_id", "bag_bucket")
+            yield lookup_join(rows, chosen, ["bag_bucket", "bag_id"], "inner", budget=settings.budget)
         return
-    ranked = settle(shuffled_rank(bags.select("bag_id"), settings.seed, epoch))
-    ranked = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / settings.batch_bags))
-    last = ranked.agg(F.max("batch")).first()[0]
-    # A batch is part of the bag list: if the whole list is known to fit, so does every batch.
-    known = bag_bytes if bag_bytes <= settings.budget else None
-    for batch in range(0 if last is None else last + 1):
-        chosen = ranked.where(F.col("batch") == batch).select("bag_id")
-        yield lookup_join(rows, chosen, ["bag_id"], "inner", budget=settings.budget, table_bytes=known)
+    # Ids of a few batches at a time, as filters the scan can prune folders and row groups by.
+    at_once = LISTED_BAGS // settings.batch_bags
+    for start in range(0, n_batches, at_once):
+        listed = ranked.where(F.col("batch").between(start, start + at_once - 1)).collect()
+        for number in range(start, min(start + at_once, n_batches)):
+            chosen = [r for r in listed if r.batch == number]
+            ids, folders = [r.bag_id for r in chosen], sorted({r.bag_bucket for r in chosen})
+            yield rows.where(F.col("bag_bucket").isin(folders) & F.col("bag_id").isin(ids))
 
 
 def train_attention(

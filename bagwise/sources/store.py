@@ -20,22 +20,28 @@ def bag_bucket(bag: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(bag), F.lit(buckets)).cast("int")
 
 
-def write_bags(instances: DataFrame, path: str, *, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Write labelled instances (``split`` and ``label`` included) under ``split=…/bag_bucket=…``.
+def write_bucketed(rows: DataFrame, path: str, *, buckets: int, within: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """Write rows under ``<within>=…/bag_bucket=…`` folders.
 
     Rows meet by partition value; a bucket above the advisory size, as a hot bag makes it, is split
     over several tasks at run time. Sorting by bag within each file lets a reader skip row groups.
     """
-    keyed = instances.withColumn("bag_bucket", bag_bucket("bag_id", buckets))
+    folders = [*within, "bag_bucket"]
+    keyed = rows.withColumn("bag_bucket", bag_bucket("bag_id", buckets))
     (
-        keyed.hint("rebalance", "split", "bag_bucket")
-        .sortWithinPartitions("split", "bag_bucket", "bag_id")
+        keyed.hint("rebalance", *folders)
+        .sortWithinPartitions(*folders, "bag_id")
         .write.mode(mode)
-        .partitionBy("split", "bag_bucket")
+        .partitionBy(*folders)
         .parquet(path)
     )
 
 
+def write_bags(instances: DataFrame, path: str, *, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Store labelled instances (``split`` and ``label`` included), bucketed by bag within each split."""
+    write_bucketed(instances, path, buckets=buckets, within=("split",), mode=mode)
+
+
 def read_bags(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Stored instances; ``split`` prunes folders."""
     stored = spark.read.parquet(path)
