@@ -18,5 +18,5 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def small(request):
+def small():
     return "/root/testdata/sf0.001"
