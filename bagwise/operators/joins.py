@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagwise.functions.columns import extract_sample_id
 from bagwise.operators.prepare import suffix_columns
-from bagwise.plans.lookup import BROADCAST_BYTES, lookup_join, measured_bytes, salted_lookups
+from bagwise.plans.lookup import BROADCAST_BYTES, lookup_join, measured_bytes, row_bytes, salted_lookups
 from bagwise.plans.scratch import settle
 
 # Which fragment column each signature table explains, in feature order.
@@ -42,22 +43,23 @@ def join_signatures(
     ``tables`` maps a token column to its table (``Sample``, ``Motif``, likelihoods). Likelihood
     columns get the token's suffix. Repeated keys multiply rows, with a warning.
     """
-    out, large = rows, []
+    keyed = {}
     for token, table in tables.items():
-        if warn_duplicates and not duplicate_signatures(table).isEmpty():
-            warnings.warn(f"signature table for {token} repeats keys: matching rows multiply", stacklevel=2)
         names = signature_columns(table)
-        keyed = suffix_columns(table.select(*[F.col(f"`{c}`") for c in names], "Motif", "Sample"), suffixes[token])
-        keyed = keyed.select(
+        wide = suffix_columns(table.select(*[F.col(f"`{c}`") for c in names], "Motif", "Sample"), suffixes[token])
+        keyed[token] = wide.select(
             extract_sample_id(f"Sample{suffixes[token]}").alias(sample),
             F.col(f"Motif{suffixes[token]}").alias(token),
             *[F.col(f"`{c}{suffixes[token]}`") for c in names],
         )
-        size = measured_bytes(keyed)
+    out, large = rows, []
+    for token, size, most in _table_facts(keyed, sample):
+        if warn_duplicates and most > 1:
+            warnings.warn(f"signature table for {token} repeats keys: matching rows multiply", stacklevel=2)
         if size <= budget:
-            out = lookup_join(out, keyed, [token, sample], "left", budget=budget, table_bytes=size)
+            out = lookup_join(out, keyed[token], [token, sample], "left", budget=budget, table_bytes=size)
         else:
-            large.append((keyed, [token, sample]))
+            large.append((keyed[token], [token, sample]))
     if large:
         # Every table is keyed by the sample too: the rows move once, by sample.
         out = salted_lookups(out, large, [sample])
@@ -65,6 +67,16 @@ def join_signatures(
     return out.select(*[F.col(f"`{c}`") for c in [*rows.columns, *order]])
 
 
+def _table_facts(keyed: dict[str, DataFrame], sample: str) -> list[tuple[str, int, int]]:
+    """Size and largest key count of every table, all in one job, in the tables' order."""
+    facts = []
+    for nth, (token, table) in enumerate(keyed.items()):
+        per_key = table.groupBy(sample, token).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(table)).alias("size"))
+        whole = per_key.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        facts.append(whole.select(F.lit(nth).alias("nth"), F.lit(token).alias("token"), "size", "most"))
+    return [(r.token, r["size"], r.most) for r in sorted(reduce(DataFrame.union, facts).collect())]
+
+
 def token_frequencies(rows: DataFrame, tokens: Sequence[str], bag: str = "bag_id") -> DataFrame:
     """Rows per (bag, token) for several token columns, from one scan with map-side counting."""
     pairs = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(t).cast("string").alias("token")) for t in tokens])
@@ -79,11 +91,12 @@ def frequency_encode(
     A null token has no frequency: its cell stays null until :func:`clean_columns` makes it 0.
     """
     counts = settle(token_frequencies(rows, tokens, bag))
+    size = measured_bytes(counts)  # of all tokens together: no less than any one of them
     out = rows
     for token in tokens:
         one = counts.where((F.col("kind") == token) & F.col("token").isNotNull())
         keyed = one.select(bag, F.col("token").cast(rows.schema[token].dataType).alias(token), F.col("freq").alias(f"{token}_freq"))
-        out = lookup_join(out, keyed, [bag, token], "left", budget=budget)
+        out = lookup_join(out, keyed, [bag, token], "left", budget=budget, table_bytes=size)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+SLICE_ROWS = 1024
+
 
 def feature_matrix(column: pa.Array) -> np.ndarray:
     """List column to a dense (rows, D) matrix."""
@@ -15,13 +17,22 @@ def feature_matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
 
 
+def slices(rows: int):
+    """Row ranges whose activations stay in a core's cache."""
+    return (slice(at, at + SLICE_ROWS) for at in range(0, rows, SLICE_ROWS))
+
+
 def embed(model, x: np.ndarray) -> np.ndarray:
-    return np.maximum(x @ model.embed_w.T + model.embed_b, 0.0)
+    hidden = x.astype(model.embed_w.dtype, copy=False) @ model.embed_w.T
+    hidden += model.embed_b
+    return np.maximum(hidden, 0.0, out=hidden)
 
 
 def attention(model, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inner activation and attention logit of each row."""
-    t = np.tanh(hidden @ model.att_v.T + model.att_c)
+    t = hidden @ model.att_v.T
+    t += model.att_c
+    np.tanh(t, out=t)
     return t, t @ model.att_w + model.att_b[0]
 
 
@@ -30,11 +41,23 @@ def unit_logits(model, hidden: np.ndarray) -> np.ndarray:
     return hidden @ model.cls_w + model.cls_b[0]
 
 
+def row_scores(model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention logit and classifier output of each row."""
+    s, unit = np.empty(len(x)), np.empty(len(x))
+    for at in slices(len(x)):
+        hidden = embed(model, x[at])
+        s[at], unit[at] = attention(model, hidden)[1], unit_logits(model, hidden)
+    return s, unit
+
+
 def gated_attention(model, hidden: np.ndarray) -> np.ndarray:
     """Attention logits per row and hidden unit."""
-    t = np.tanh(hidden @ model.att_v.T + model.att_c)
-    g = 1.0 / (1.0 + np.exp(-(hidden @ model.gate_u.T + model.gate_c)))
-    return (t * g) @ model.att_w.T + model.att_b
+    logits = np.empty_like(hidden)
+    for at in slices(len(hidden)):
+        t = np.tanh(hidden[at] @ model.att_v.T + model.att_c)
+        t /= 1.0 + np.exp(-(hidden[at] @ model.gate_u.T + model.gate_c))
+        logits[at] = t @ model.att_w.T + model.att_b
+    return logits
 
 
 def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +90,18 @@ def softmax_partials(codes, logits, masses, values):
 
 def backprop(model, x, hidden, t, share, d_logit) -> np.ndarray:
     """Flat parameter gradient, given each row's part in the bag's logit and slope of its attention logit."""
-    d_inner = (d_logit[:, None] * model.att_w) * (1.0 - t * t)
-    d_hidden = (share[:, None] * model.cls_w + d_inner @ model.att_v) * (hidden > 0.0)
+    kind = model.embed_w.dtype
+    share, d_logit = share.astype(kind, copy=False), d_logit.astype(kind, copy=False)
+    d_inner = t * t
+    np.subtract(1.0, d_inner, out=d_inner)
+    d_inner *= model.att_w
+    d_inner *= d_logit[:, None]
+    d_hidden = d_inner @ model.att_v
+    d_hidden += share[:, None] * model.cls_w
+    d_hidden *= hidden > 0.0
     return np.concatenate(
         [
-            (d_hidden.T @ x).ravel(),
+            (d_hidden.T @ x.astype(kind, copy=False)).ravel(),
             d_hidden.sum(axis=0),
             (d_inner.T @ hidden).ravel(),
             d_inner.sum(axis=0),
@@ -79,16 +109,20 @@ def backprop(model, x, hidden, t, share, d_logit) -> np.ndarray:
             [d_logit.sum()],
             share @ hidden,
             [share.sum()],
-        ]
+        ],
+        dtype=np.float64,
     )
 
 
 def pooled_gradient(model, x, top, mass, logit, slope) -> np.ndarray:
     """Gradient of the rows' summed bag losses, given each row's bag: its softmax sums, logit and loss slope."""
-    hidden = embed(model, x)
-    t, s = attention(model, hidden)
-    share = slope * np.exp(s - top) / mass
-    return backprop(model, x, hidden, t, share, share * (unit_logits(model, hidden) - logit))
+    total = 0.0
+    for at in slices(len(x)):
+        hidden = embed(model, x[at])
+        t, s = attention(model, hidden)
+        share = slope[at] * np.exp(s - top[at]) / mass[at]
+        total = total + backprop(model, x[at], hidden, t, share, share * (unit_logits(model, hidden) - logit[at]))
+    return total
 
 
 def logit_bound(model) -> float:
@@ -102,13 +136,16 @@ def bag_moments(model, x) -> np.ndarray:
     Attention mass, classifier output under it, and two gradients. All are relative to
     :func:`logit_bound`, so sums of different tasks add up as they are.
     """
-    hidden = embed(model, x)
-    t, s = attention(model, hidden)
-    e = np.exp(s - logit_bound(model))
-    unit = unit_logits(model, hidden)
-    full = backprop(model, x, hidden, t, e, e * unit)
-    focus = backprop(model, x, hidden, t, np.zeros_like(e), e)
-    return np.concatenate([[e.sum(), e @ unit], full, focus])
+    total = 0.0
+    for at in slices(len(x)):
+        hidden = embed(model, x[at])
+        t, s = attention(model, hidden)
+        e = np.exp(s.astype(np.float64) - logit_bound(model))
+        unit = unit_logits(model, hidden)
+        full = backprop(model, x[at], hidden, t, e, e * unit)
+        focus = backprop(model, x[at], hidden, t, np.zeros_like(e), e)
+        total = total + np.concatenate([[e.sum(), e @ unit], full, focus])
+    return total
 
 
 def logit_gradient(moments: np.ndarray) -> np.ndarray:

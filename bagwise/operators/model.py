@@ -62,6 +62,9 @@ class AttentionModel:
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays().values()])
 
+    def as_type(self, kind):
+        return replace(self, **{name: a.astype(kind) for name, a in self.arrays().items()})
+
     def with_flat(self, values: np.ndarray):
         out, at = {}, 0
         for name, a in self.arrays().items():

@@ -66,7 +66,7 @@ def attention_logits(instances: DataFrame, model: AttentionModel) -> DataFrame:
     """``bag_id, instance_id, logit``."""
     return _per_instance(
         instances,
-        lambda x: [pa.array(kernels.attention(model, kernels.embed(model, x))[1])],
+        lambda x: [pa.array(kernels.row_scores(model, x)[0])],
         [T.StructField("logit", T.DoubleType())],
     )
 
@@ -148,9 +148,9 @@ def bag_partials(instances: DataFrame, model: AttentionModel, *, vectors: bool =
     )
 
     def to_partial(batch: pa.RecordBatch) -> pa.Table:
-        hidden = kernels.embed(model, kernels.feature_matrix(batch.column("features")))
-        _, s = kernels.attention(model, hidden)
-        values = hidden if vectors else kernels.unit_logits(model, hidden)
+        x = kernels.feature_matrix(batch.column("features"))
+        s, unit = kernels.row_scores(model, x)
+        values = kernels.embed(model, x) if vectors else unit
         return folded_table(batch, ["bag_id"], s, np.ones(len(s)), values)
 
     def run(batches):

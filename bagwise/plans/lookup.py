@@ -33,10 +33,14 @@ def _cell_bytes(field: T.StructField) -> Column:
     return F.lit(8)
 
 
+def row_bytes(table: DataFrame) -> Column:
+    """Size of each row of the table in a hash relation."""
+    return sum((_cell_bytes(f) for f in table.schema.fields), F.lit(ROW_OVERHEAD)).cast("long")
+
+
 def measured_bytes(table: DataFrame) -> int:
     """Size of a table once built into a hash relation; one aggregate, one number to the driver."""
-    row = sum((_cell_bytes(f) for f in table.schema.fields), F.lit(ROW_OVERHEAD))
-    return int(table.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0])
+    return int(table.agg(F.coalesce(F.sum(row_bytes(table)), F.lit(0))).first()[0])
 
 
 def lookup_join(
