@@ -26,10 +26,13 @@ def minmax_scale(
     df: DataFrame, columns: Sequence[str], bag: str = "bag_id", *, budget: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Scale each column to [0, 1] within its bag; a column constant in the bag becomes 0."""
-    ranges = settle(feature_ranges(df, columns, bag))
+    ends = feature_ranges(df, columns, bag)
+    # Two arrays instead of two columns per feature: the join stays narrow enough for generated code.
+    packed = [F.array(*[F.col(f"`{c}_{end}`") for c in columns]).alias(f"_{end}") for end in ("min", "max")]
+    ranges = settle(ends.select(bag, *packed))
     joined = lookup_join(df, ranges, [bag], "left", budget=budget)
     scaled = {}
-    for c in columns:
-        value, low, high = F.col(f"`{c}`").cast("double"), F.col(f"`{c}_min`"), F.col(f"`{c}_max`")
+    for i, c in enumerate(columns):
+        value, low, high = F.col(f"`{c}`").cast("double"), F.col("_min")[i], F.col("_max")[i]
         scaled[c] = F.when(low != high, (value - low) / (high - low)).otherwise(value * 0.0)
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])

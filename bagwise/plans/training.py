@@ -59,7 +59,8 @@ class TrainSettings:
 
     ``batch_bags=1`` takes one step per bag, bags in a new order every epoch. Larger batches average
     the gradient over their bags, ``None`` over all bags: fewer passes, but a different optimiser.
-    ``single`` evaluates rows in single precision, several times faster; sums stay in double.
+    Rows of such steps are stored by bag first, unless they are read from a bag store already: then
+    ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
     """
 
     epochs: int = 10
@@ -74,6 +75,7 @@ class TrainSettings:
     seed: int = 42
     run_id: str = "run0"
     cache: bool = True
+    stored_buckets: int | None = None
     single: bool = False
     budget: int = BROADCAST_BYTES
 
@@ -231,7 +233,8 @@ def labelled_rows(instances: DataFrame, bags: DataFrame, budget: int = BROADCAST
     """Instances with the label and fold of their bag on every row."""
     fold = F.col("fold").cast("int") if "fold" in bags.columns else F.lit(NO_FOLD)
     known = bags.select("bag_id", F.col("label").cast("int").alias("label"), fold.alias("fold"))
-    return lookup_join(instances.select("bag_id", "features"), known, ["bag_id"], "inner", budget=budget)
+    place = [c for c in ("bag_bucket",) if c in instances.columns]
+    return lookup_join(instances.select("bag_id", "features", *place), known, ["bag_id"], "inner", budget=budget)
 
 
 def _bag_moments(rows: DataFrame, models: dict[int, AttentionModel]) -> DataFrame:
@@ -310,9 +313,10 @@ def train_models(
     bags = settle(bags)
     rows = labelled_rows(instances, bags, settings.budget)
     whole = settings.batch_bags is None
-    if not whole:
-        rows = _bucketed(rows, bags, settings)
-    elif settings.cache:
+    buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count() // (settings.batch_bags or 1)))
+    if not whole and settings.stored_buckets is None:
+        rows = _bucketed(rows.drop("bag_bucket"), buckets, settings)
+    elif whole and settings.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     path = scratch_path(spark, f"train-{settings.run_id}")
     models = dict(models)
@@ -337,7 +341,7 @@ def train_models(
 
     try:
         for epoch in range(1, settings.epochs + 1):
-            batches = iter([rows]) if whole else _batches(rows, bags, epoch, settings)
+            batches = iter([rows]) if whole else _batches(rows, bags, buckets, epoch, settings)
             for step, some in enumerate(batches):
                 bounded = max(kernels.logit_bound(m) for m in models.values()) <= bound
                 sent = {f: m.as_type(np.float32) for f, m in models.items()} if settings.single else models
@@ -371,20 +375,19 @@ def _totals(states: DataFrame) -> tuple[dict[int, int], int]:
     return {r.fold: r.n for r in rows}, sum(r["size"] for r in rows)
 
 
-def _bucketed(rows: DataFrame, bags: DataFrame, settings: TrainSettings) -> DataFrame:
+def _bucketed(rows: DataFrame, buckets: int, settings: TrainSettings) -> DataFrame:
     """The rows stored by bag, so that a step reads its own bags' folders only."""
-    n = bags.count()
-    buckets = max(1, min(MOST_BUCKETS, n // settings.batch_bags))
     path = scratch_path(rows.sparkSession, f"rows-{settings.run_id}")
     write_bucketed(rows, path, buckets=buckets)
     schema = T.StructType([*rows.schema.fields, T.StructField("bag_bucket", T.IntegerType())])
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
-def _batches(rows: DataFrame, bags: DataFrame, epoch: int, settings: TrainSettings) -> Iterator[DataFrame]:
+def _batches(
+    rows: DataFrame, bags: DataFrame, buckets: int, epoch: int, settings: TrainSettings
+) -> Iterator[DataFrame]:
     """The stored rows of each batch of bags, in the epoch's order."""
     n = bags.count()
-    buckets = max(1, min(MOST_BUCKETS, n // settings.batch_bags))
     ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
     batch = F.floor((F.col("rank") - 1) / settings.batch_bags)
     ranked = settle(ranked.select("bag_id", batch.alias("batch"), bag_bucket("bag_id", buckets).alias("bag_bucket")))

@@ -1,5 +1,5 @@
 from bagwise.sources.delimited import read_fragments, read_labels, read_manifest, read_signatures
-from bagwise.sources.store import load_model, read_bags, save_model, write_bags
+from bagwise.sources.store import load_model, read_bags, save_model, write_bags, write_run
 
 __all__ = [
     "load_model",
@@ -10,4 +10,5 @@ __all__ = [
     "read_signatures",
     "save_model",
     "write_bags",
+    "write_run",
 ]

@@ -58,6 +58,16 @@ def read_bag(spark: SparkSession, path: str, bag_id, *, buckets: int, split: str
     return stored.where((F.col("bag_bucket") == bag_bucket(key, buckets)) & (F.col("bag_id") == key))
 
 
+def write_run(df: DataFrame, path: str) -> None:
+    """Store a table with a ``run_id``, one folder per run; a run written again replaces itself only."""
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .parquet(path)
+    )
+
+
 def save_model(spark: SparkSession, model: AttentionModel, path: str, run_id: str) -> None:
     """Add the parameters as ``run_id, kind, name, idx, value`` rows, replacing the run's earlier ones."""
     kind = next(k for k, c in MODEL_KINDS.items() if type(model) is c)
@@ -70,14 +80,7 @@ def save_model(spark: SparkSession, model: AttentionModel, path: str, run_id: st
         pd.DataFrame(rows, columns=["kind", "name", "idx", "value"]),
         "kind string, name string, idx array<int>, value double",
     )
-    (
-        frame.withColumn("run_id", F.lit(run_id))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+    write_run(frame.withColumn("run_id", F.lit(run_id)).coalesce(1), path)
 
 
 def load_model(spark: SparkSession, path: str, run_id: str) -> AttentionModel:

@@ -14,6 +14,7 @@ from bagwise.sources import (
     read_signatures,
     save_model,
     write_bags,
+    write_run,
 )
 from bagwise.sources.delimited import fragment_widths
 from bagwise.sources.store import read_bag
@@ -146,6 +147,33 @@ def test_bag_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bag_bucket" in plan and "EqualTo(bag_id,5)" in plan
 
 
+def test_hot_bag_is_split_when_written(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("bag_id"),
+        F.col("id").alias("instance_id"),
+        F.array(F.rand(1), F.rand(2), F.rand(3)).alias("features"),
+        F.lit(1).alias("label"),
+        F.lit("train").alias("split"),
+    )
+    path = str(tmp_path / "bags")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        write_bags(rows, path, buckets=8)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = read_bags(spark, path)
+    per_bag = {r.bag_id: r for r in stored.groupBy("bag_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.col("_metadata.file_path")).alias("files")).collect()}
+    assert per_bag[-1].n == 20_000 and per_bag[-1].files > 1
+    assert stored.count() == 60_000
+
+
+def test_run_tables_replace_only_their_run(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for run, loss in (("a", 1.0), ("b", 2.0), ("a", 3.0)):
+        write_run(spark.createDataFrame([(run, 1, loss)], "run_id string, epoch int, loss double"), path)
+    assert {(r.run_id, r.loss) for r in spark.read.parquet(path).collect()} == {("a", 3.0), ("b", 2.0)}
+
+
 def test_model_store(spark, tmp_path):
     path = str(tmp_path / "models")
     models = {"a": AttentionModel.random(3, 4, 1), "b": GatedAttentionModel.random(2, 3, 2), "c": AttentionModel.random(5, 2, 3)}

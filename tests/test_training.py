@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from helpers import auc as plain_auc
 from helpers import forward, instances, random_bags
+from pyspark.sql import functions as F
 
 from bagwise.catalogue import fixtures
 from bagwise.operators.model import AttentionModel
 from bagwise.plans import training
 from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate
+from bagwise.sources import read_bags, write_bags
 from bagwise.plans.training import NO_FOLD, Adam, TrainSettings, train_attention, training_history, training_roc
 
 LABELS = {f"bag{i}": i % 2 for i in range(6)}
@@ -95,6 +97,34 @@ def test_larger_batches_are_joined(spark, bags, model, monkeypatch):
     np.testing.assert_allclose(listed.model.flat(), joined.model.flat(), atol=1e-9)
 
 
+def test_stored_bags_are_read_in_place(spark, bags, model, tmp_path):
+    settings = TrainSettings(epochs=2, lr=0.02)
+    plain = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
+    path = str(tmp_path / "bags")
+    labelled = instances(spark, bags).join(labels_frame(spark), "bag_id").withColumn("split", F.lit("train"))
+    write_bags(labelled, path, buckets=3)
+    stored = read_bags(spark, path, "train")
+    in_place = train_attention(stored, labels_frame(spark), replace(settings, stored_buckets=3), model)
+    np.testing.assert_allclose(plain.model.flat(), in_place.model.flat(), atol=1e-9)
+    assert plain.scores.count() == in_place.scores.count() == 12
+    rows = training.labelled_rows(stored, labels_frame(spark))
+    step = next(training._batches(rows, labels_frame(spark), 3, 1, settings))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "(bag_bucket#" in plan.split("PartitionFilters")[1] and "EqualTo(bag_id," in plan
+
+
+@pytest.mark.parametrize("size", [None, 1])
+def test_single_precision(spark, bags, model, size):
+    settings = TrainSettings(epochs=2, lr=0.02, batch_bags=size)
+    double = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
+    single = train_attention(instances(spark, bags), labels_frame(spark), replace(settings, single=True), model)
+    for name, a in double.model.arrays().items():
+        if name != "att_b":  # shifts all logits alike: its gradient is rounding only
+            np.testing.assert_allclose(single.model.arrays()[name], a, atol=1e-3)
+    p = {(r.bag_id, r.epoch): r.p for r in double.scores.collect()}
+    assert {(r.bag_id, r.epoch): r.p for r in single.scores.collect()} == pytest.approx(p, abs=1e-4)
+
+
 def test_learning(spark, small):
     rows, labels = fixtures.event_instances(spark, small), fixtures.event_bags(spark, small)
     settings = TrainSettings(epochs=12, lr=0.05, hidden=8, batch_bags=None)
