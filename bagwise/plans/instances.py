@@ -30,7 +30,9 @@ def signature_instances(
     """
     features = signature_features(fragments, tables)
     rows = fragments.withColumn("length_bin", normalise_bin("length_bin"))
-    joined = join_signatures(rows, tables, budget=budget)
+    # Likelihoods are parsed once per table row, not once per fragment; unmatched ones are 0 as well.
+    typed = {token: clean_columns(table, signature_columns(table)) for token, table in tables.items()}
+    joined = join_signatures(rows, typed, budget=budget)
     cleaned = clean_columns(
         joined.select(F.col("sample_name").alias("bag_id"), "instance_id", *[F.col(f"`{c}`") for c in features]), features
     )
