@@ -37,6 +37,7 @@ SAMPLE_FRACTION = 0.4
 SEED = 42
 FOLDS = 10
 CHOSEN_BAG = 7
+BATCH_BAGS = 16
 SCALED = ("l_quantity", "l_extendedprice", "l_discount", "always_one")
 TRAIN = {"epochs": 3, "lr": 0.05}
 
@@ -410,6 +411,14 @@ def train_attention_focal(spark, d):
     return round_all(training_history(_history(spark, d, loss="focal", weight_decay=1e-5)))
 
 
+@query
+def train_attention_minibatch(spark, d):
+    # How many steps there are depends on the table, so no fixed SQL says it: tests restate the steps.
+    settings = TrainSettings(epochs=1, lr=0.05, batch_bags=BATCH_BAGS, seed=SEED)
+    bags = settle(fx.event_bags(spark, d))
+    return round_all(training_history(train_attention(fx.event_instances(spark, d), bags, settings, fx.EVENT_MODEL).scores))
+
+
 @query
 def train_roc(spark, d):
     return round_all(training_roc(_history(spark, d)))

@@ -23,6 +23,8 @@ def slices(rows: int):
 
 
 def embed(model, x: np.ndarray) -> np.ndarray:
+    if x.shape[1] != model.dim:
+        raise ValueError(f"the model takes {model.dim} features, not {x.shape[1]}")
     hidden = x.astype(model.embed_w.dtype, copy=False) @ model.embed_w.T
     hidden += model.embed_b
     return np.maximum(hidden, 0.0, out=hidden)

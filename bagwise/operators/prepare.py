@@ -71,9 +71,16 @@ def assemble_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
     return df.select(*keep, feature_array(columns).alias("features"))
 
 
-def feature_dim(instances: DataFrame) -> int:
-    """Width of the feature arrays; an error if rows disagree."""
-    low, high = instances.agg(F.min(F.size("features")), F.max(F.size("features"))).first()
+def feature_dim(instances: DataFrame, *, every_row: bool = False) -> int:
+    """Width of the feature arrays, from one row; with ``every_row``, an error if rows disagree.
+
+    The scorers refuse rows of another width themselves, so reading one is enough before training.
+    """
+    width = F.size("features")
+    if every_row:
+        low, high = instances.agg(F.min(width), F.max(width)).first()
+    else:
+        low = high = next((r[0] for r in instances.select(width).take(1)), None)
     if low is None or low != high:
         raise ValueError(f"feature arrays must all have the same width, found {low} to {high}")
     return int(low)

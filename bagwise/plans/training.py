@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from bagwise.functions import losses
 from bagwise.operators import kernels
+from bagwise.operators.bags import require_instances
 from bagwise.operators.folds import shuffled_rank
 from bagwise.operators.metrics import auc, roc_curve
 from bagwise.operators.model import AttentionModel
@@ -187,13 +188,13 @@ def bag_states(
 
 def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionModel], state_bytes: int, budget: int) -> dict[int, np.ndarray]:
     """Summed loss gradient of each model over the rows' bags."""
-    # One entry per model: a list of fixed length.
-    listed = F.sort_array(F.collect_list(F.struct("fold", "top", "mass", "logit", "slope")))
-    per_bag = states.groupBy("bag_id").agg(listed.alias("s")).select(
-        "bag_id",
-        F.col("s.fold").alias("model"),
-        *[F.col(f"s.{n}").alias(n) for n in ("top", "mass", "logit", "slope")],
-    )
+    sent = ("fold", "top", "mass", "logit", "slope")
+    if len(models) == 1:
+        per_bag = states.select("bag_id", *[F.array(n).alias(n) for n in sent])
+    else:
+        # One entry per model: a list of fixed length.
+        listed = F.sort_array(F.collect_list(F.struct(*sent)))
+        per_bag = states.groupBy("bag_id").agg(listed.alias("s")).select("bag_id", *[F.col(f"s.{n}").alias(n) for n in sent])
     joined = lookup_join(rows.select("bag_id", "features"), per_bag, ["bag_id"], "inner", budget=budget, table_bytes=state_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionMo
             if not batch.num_rows:
                 continue
             x = kernels.feature_matrix(batch.column("features"))
-            lists = batch.column("model")
+            lists = batch.column("fold")
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             of = lists.flatten().to_numpy(zero_copy_only=False)
             top, mass, logit, slope = (
@@ -306,11 +307,15 @@ def _two_pass_step(rows: DataFrame, models: dict[int, AttentionModel], settings:
 def train_models(
     instances: DataFrame, bags: DataFrame, models: dict[int, AttentionModel], settings: TrainSettings
 ) -> Trained:
-    """Train the given models in place of one another; ``bags``: ``bag_id, label`` and maybe ``fold``."""
+    """Train the given models on ``bags``: ``bag_id, label`` and maybe ``fold``.
+
+    A bag without instances is an error, found once the first epoch has scored every other bag.
+    """
     if settings.epochs < 1:
         raise ValueError("no epoch to train")
     spark = instances.sparkSession
-    bags = settle(bags)
+    # Equal keys must be of equal type to hash into the same bucket.
+    bags = settle(bags.withColumn("bag_id", F.col("bag_id").cast(instances.schema["bag_id"].dataType)))
     rows = labelled_rows(instances, bags, settings.budget)
     whole = settings.batch_bags is None
     buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count() // (settings.batch_bags or 1)))
@@ -355,6 +360,9 @@ def train_models(
                 for f, g in gradients.items():
                     models[f] = models[f].with_flat(optimisers[f].step(models[f].flat(), g))
             flush(epoch)
+            if epoch == 1:
+                seen = spark.read.option("recursiveFileLookup", True).schema(scored).parquet(f"{path}/epoch={epoch}")
+                require_instances(bags, seen)
     finally:
         if whole and settings.cache:
             rows.unpersist()

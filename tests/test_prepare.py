@@ -32,9 +32,11 @@ def test_clean_and_assemble(spark):
     keyed = clean_columns(cells, ["a", "b"]).withColumn("instance_id", F.col("bag_id"))
     packed = assemble_features(keyed, ["b", "a"])
     assert sorted(r.features for r in packed.collect()) == [[0.0, 0.0], [0.0, 1.0], [2.0, 0.0]]
-    assert feature_dim(packed) == 2
+    assert feature_dim(packed) == feature_dim(packed, every_row=True) == 2
     with pytest.raises(ValueError):
-        feature_dim(packed.union(packed.withColumn("features", F.array(F.lit(1.0)))))
+        feature_dim(packed.union(packed.withColumn("features", F.array(F.lit(1.0)))), every_row=True)
+    with pytest.raises(ValueError):
+        feature_dim(packed.limit(0))
 
 
 def test_hash_sample_ignores_partitioning(spark):

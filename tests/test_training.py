@@ -162,8 +162,17 @@ def test_cross_validation(spark, bags, model, size):
     assert summary.n_folds == 3 and len(summary.aucs) == 3
 
 
+@pytest.mark.parametrize("size", [None, 2])
+def test_empty_bags_are_refused(spark, bags, size):
+    labels = labels_frame(spark).union(spark.createDataFrame([("gone", 1)], "bag_id string, label int"))
+    with pytest.raises(ValueError, match="gone"):
+        train_attention(instances(spark, bags), labels, TrainSettings(epochs=1, hidden=2, batch_bags=size))
+
+
 def test_settings_are_checked(spark, bags):
     with pytest.raises(ValueError):
         train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(loss="hinge", hidden=2))
     with pytest.raises(ValueError):
         train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(epochs=0, hidden=2))
+    with pytest.raises(Exception, match="takes 2 features"):
+        train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(), AttentionModel.random(2, 2))
