@@ -116,7 +116,7 @@ def line_signature_tables(spark: SparkSession, folder: str) -> dict[str, DataFra
 
 
 def supplier_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """A label file's columns for the suppliers; those without debt or savings worth noting are absent."""
+    """A label file's columns for the suppliers; poorer ones are absent, so some lookups miss."""
     tissue = F.when(F.col("s_acctbal") >= 5000, "Tumour").otherwise("Healthy")
     return table(spark, folder, "supplier").where(F.col("s_acctbal") >= 1000).select(
         F.concat(F.lit("S"), F.col("s_suppkey")).alias("V1"), tissue.alias("Tissue")

@@ -27,6 +27,13 @@ def require_instances(bags: DataFrame, instances: DataFrame, bag: str = "bag_id"
         raise ValueError(f"bags without instances, among them {missing}")
 
 
+def require_unique(bags: DataFrame, bag: str = "bag_id") -> None:
+    """Raise if some bag is listed twice: joining its rows would double them."""
+    repeated = [r[0] for r in bag_sizes(bags, bag).where("n > 1").take(5)]
+    if repeated:
+        raise ValueError(f"bags listed more than once, among them {repeated}")
+
+
 def union_bags(*frames: DataFrame) -> DataFrame:
     """All rows of all frames by column name; columns a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -65,5 +65,6 @@ def frequency_instances(fragments: DataFrame, *, budget: int = BROADCAST_BYTES)
 
 
 def bags_of(manifest: DataFrame) -> DataFrame:
-    """``bag_id, split, label_key`` of a manifest's samples."""
-    return manifest.select(F.col("sample_name").alias("bag_id"), "split", label_key("sample_name").alias("label_key"))
+    """``bag_id, split, label_key`` of a manifest's samples; several files of one sample are one bag."""
+    named = manifest.select(F.col("sample_name").alias("bag_id"), "split", label_key("sample_name").alias("label_key"))
+    return named.distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from bagwise.functions import losses
 from bagwise.operators import kernels
-from bagwise.operators.bags import require_instances
+from bagwise.operators.bags import require_instances, require_unique
 from bagwise.operators.folds import shuffled_rank
 from bagwise.operators.metrics import auc, roc_curve
 from bagwise.operators.model import AttentionModel
@@ -50,7 +50,7 @@ ONE_PASS_RECORDS = 16
 LARGEST_BOUND = 300.0
 SCORES_PER_FLUSH = 1000
 MOST_BUCKETS = 1024
-# Batches up to this many bags are chosen by a list of ids, larger ones by a join.
+# Batches up to this many bags may be chosen by a list of ids; larger ones are whole buckets.
 LISTED_BAGS = 1000
 
 
@@ -60,6 +60,7 @@ class TrainSettings:
 
     ``batch_bags=1`` takes one step per bag, bags in a new order every epoch. Larger batches average
     the gradient over their bags, ``None`` over all bags: fewer passes, but a different optimiser.
+    Batches as large as a storage bucket are made of whole buckets, so about ``batch_bags`` in size.
     Rows of such steps are stored by bag first, unless they are read from a bag store already: then
     ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
     """
@@ -316,9 +317,10 @@ def train_models(
     spark = instances.sparkSession
     # Equal keys must be of equal type to hash into the same bucket.
     bags = settle(bags.withColumn("bag_id", F.col("bag_id").cast(instances.schema["bag_id"].dataType)))
+    require_unique(bags)
     rows = labelled_rows(instances, bags, settings.budget)
     whole = settings.batch_bags is None
-    buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count() // (settings.batch_bags or 1)))
+    buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count()))
     if not whole and settings.stored_buckets is None:
         rows = _bucketed(rows.drop("bag_bucket"), buckets, settings)
     elif whole and settings.cache:
@@ -394,19 +396,24 @@ def _bucketed(rows: DataFrame, buckets: int, settings: TrainSettings) -> DataFra
 def _batches(
     rows: DataFrame, bags: DataFrame, buckets: int, epoch: int, settings: TrainSettings
 ) -> Iterator[DataFrame]:
-    """The stored rows of each batch of bags, in the epoch's order."""
-    n = bags.count()
-    ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
-    batch = F.floor((F.col("rank") - 1) / settings.batch_bags)
-    ranked = settle(ranked.select("bag_id", batch.alias("batch"), bag_bucket("bag_id", buckets).alias("bag_bucket")))
-    n_batches = -(-n // settings.batch_bags)
-    if settings.batch_bags > LISTED_BAGS:
-        for number in range(n_batches):
-            chosen = ranked.where(F.col("batch") == number).select("bag_id", "bag_bucket")
-            yield lookup_join(rows, chosen, ["bag_bucket", "bag_id"], "inner", budget=settings.budget)
+    """The stored rows of each batch of bags, in the epoch's order.
+
+    Every batch is a filter on folders, so an epoch reads each of them about once.
+    """
+    n, size = bags.count(), settings.batch_bags
+    if size > LISTED_BAGS or (n > buckets and size * buckets >= n):
+        # A batch is worth a bucket or more: it is made of whole buckets.
+        at_once = max(1, round(size * buckets / n))
+        every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bag_id")
+        order = [r.bag_id for r in shuffled_rank(every, settings.seed, epoch).orderBy("rank").collect()]
+        for start in range(0, buckets, at_once):
+            yield rows.where(F.col("bag_bucket").isin(order[start : start + at_once]))
         return
-    # Ids of a few batches at a time, as filters the scan can prune folders and row groups by.
-    at_once = LISTED_BAGS // settings.batch_bags
+    batch = F.floor((F.col("rank") - 1) / size).alias("batch")
+    ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
+    ranked = settle(ranked.select("bag_id", batch, bag_bucket("bag_id", buckets).alias("bag_bucket")))
+    # Ids of a few batches at a time, for the scan to prune folders and row groups by.
+    n_batches, at_once = -(-n // size), LISTED_BAGS // size
     for start in range(0, n_batches, at_once):
         listed = ranked.where(F.col("batch").between(start, start + at_once - 1)).collect()
         for number in range(start, min(start + at_once, n_batches)):

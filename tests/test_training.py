@@ -12,6 +12,7 @@ from bagwise.plans import training
 from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate
 from bagwise.sources import read_bags, write_bags
+from bagwise.sources.store import bag_bucket
 from bagwise.plans.training import NO_FOLD, Adam, TrainSettings, train_attention, training_history, training_roc
 
 LABELS = {f"bag{i}": i % 2 for i in range(6)}
@@ -89,12 +90,20 @@ def test_batches(spark, bags, model, size, one_pass, monkeypatch):
     assert history.loss == pytest.approx(sum(r.loss for r in scores))
 
 
-def test_larger_batches_are_joined(spark, bags, model, monkeypatch):
-    settings = TrainSettings(epochs=1, lr=0.02, batch_bags=4)
-    listed = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
-    monkeypatch.setattr(training, "LISTED_BAGS", 2)
-    joined = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
-    np.testing.assert_allclose(listed.model.flat(), joined.model.flat(), atol=1e-9)
+def test_large_batches_are_whole_buckets(spark, bags, model, monkeypatch):
+    monkeypatch.setattr(training, "MOST_BUCKETS", 3)
+    settings = TrainSettings(epochs=2, lr=0.02, batch_bags=2)
+    trained = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
+    scored = sorted((r.epoch, r.bag_id) for r in trained.scores.collect())
+    assert scored == [(e, b) for e in (1, 2) for b in sorted(LABELS)]
+    bucket = {r.bag_id: r.b for r in labels_frame(spark).select("bag_id", bag_bucket("bag_id", 3).alias("b")).collect()}
+    stored = training._bucketed(training.labelled_rows(instances(spark, bags), labels_frame(spark)), 3, settings)
+    met = []
+    for batch in training._batches(stored, labels_frame(spark), 3, 1, settings):
+        some = {r.bag_id for r in batch.select("bag_id").distinct().collect()}
+        assert some == {b for b in LABELS if bucket[b] in {bucket[c] for c in some}}
+        met += some
+    assert sorted(met) == sorted(LABELS)
 
 
 def test_stored_bags_are_read_in_place(spark, bags, model, tmp_path):
@@ -169,6 +178,12 @@ def test_empty_bags_are_refused(spark, bags, size):
         train_attention(instances(spark, bags), labels, TrainSettings(epochs=1, hidden=2, batch_bags=size))
 
 
+def test_repeated_bags_are_refused(spark, bags):
+    labels = labels_frame(spark).union(labels_frame(spark).where("bag_id = 'bag3'"))
+    with pytest.raises(ValueError, match="bag3"):
+        train_attention(instances(spark, bags), labels, TrainSettings(epochs=1, hidden=2))
+
+
 def test_settings_are_checked(spark, bags):
     with pytest.raises(ValueError):
         train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(loss="hinge", hidden=2))
