@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagwise.llm import exact_dedup, mixing, pii, quality_rules, url_filter
+from bagwise.llm import (
+    archives,
+    chat_format,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,6 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
+    "op6_warc": archives.op6_warc,
+    "op7_chat_format": chat_format.op7_chat_format,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_packing": packing.op9_packing,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 
@@ -23,4 +39,6 @@ def oracles() -> dict[str, str]:
         "op2_url_filter": url_filter.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op5_mixing": mixing.ORACLE,
+        "op6_warc": archives.op6_warc,
+    "op7_chat_format": chat_format.ORACLE,
     }
