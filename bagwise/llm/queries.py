@@ -39,6 +39,6 @@ def oracles() -> dict[str, str]:
         "op2_url_filter": url_filter.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op5_mixing": mixing.ORACLE,
-        "op6_warc": archives.op6_warc,
-    "op7_chat_format": chat_format.ORACLE,
+        "op6_warc": archives.ORACLE,
+        "op7_chat_format": chat_format.ORACLE,
     }
