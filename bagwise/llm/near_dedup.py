@@ -8,9 +8,10 @@ their Jaccard similarity, so a signature costs half the hash evaluations. Bands
 Documents with equal sets are one class and go through the search as one. In a bucket, every member is
 compared with the bucket's smallest id; after the components of those links are known, members outside
 the largest component of a bucket are compared with the members of the others, and so on until nothing
-new is linked. A pair of a bucket is left out only if both are in one component already, so components
-are those of all linked pairs of the buckets, without listing a group's pairs. Similarities are of full
-sets, compared by Spark.
+new is linked. A pair of a bucket is left out only if both are in one component already, or if sketches
+of the sets tell them apart: parities of hashed shingle counts, which never differ more than the sets do,
+and one bit of each signature value. So components are those of all linked pairs of the buckets, without
+listing a group's pairs. Similarities are of full sets, compared by Spark.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagwise.llm.common import lookup, table, without
@@ -32,6 +33,8 @@ ROWS = 128
 #: Words whose hashes a task remembers before it starts afresh.
 REMEMBERED = 400_000
 MASK = (1 << 64) - 1
+#: Counts of shingles by hash, of which a sketch keeps the parities; a power of two.
+PARITIES = 1024
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,8 @@ class NearSettings:
     """Five-word shingles, 75 % similarity; 64 bands of 3 permutations, two values each.
 
     At a similarity of exactly 0.75 a pair meets in no band with a chance of
-    ``(1 - 0.75 ** 6) ** 64``, about 4 in a million.
+    ``(1 - 0.75 ** 6) ** 64``, about 4 in a million. Of its 384 signature bits an eighth differs; more
+    than ``most_bits`` of them do with a chance below one in ten million.
     """
 
     shingle: int = 5
@@ -47,6 +51,7 @@ class NearSettings:
     bands: int = 64
     per_band: int = 3
     seed: int = 5
+    most_bits: int = 88
 
 
 class Shingler:
@@ -111,12 +116,22 @@ class MinMax:
                 np.maximum(high, image.max(axis=1), out=high)
         return np.stack([low, high], axis=1)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A key per band, and the sketch: the lowest bit of every value, then the parities."""
         values = self.signature(hashes).reshape(self.bands, self.per_band * 2)
+        low_bits = _words((values & np.uint64(1)).astype(np.uint8).ravel())
+        parity = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for j in range(values.shape[1]):
             key = _scrambled(key ^ values[:, j])
-        return key.view(np.int64)
+        return key.view(np.int64), np.concatenate([low_bits, _words(parity.astype(np.uint8))])
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Bits in as many 64-bit words as they fill."""
+    out = np.zeros(-(-len(bits) // 64) * 8, np.uint8)
+    out[: -(-len(bits) // 8)] = np.packbits(bits)
+    return out.view(np.int64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -126,7 +141,8 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """``doc_id, n_shingles, same, bands``; ``same`` is a 128-bit digest of the set, null for an empty one."""
+    """``doc_id, n_shingles, same, bands, bits``; ``same`` is a 128-bit digest of the set, null for an empty one."""
+    none = np.empty(0, np.int64)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minmax = Shingler(settings.shingle), MinMax(settings)
@@ -135,16 +151,16 @@ def sketch(docs: DataFrame, settings: NearSettings) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 sets = [shingler(t) for t in part.column("text").to_pylist()]
                 same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                keys = [minmax(s) if len(s) else np.empty(0, np.int64) for s in sets]
+                keys, bits = zip(*[minmax(s) if len(s) else (none, none) for s in sets])
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), sizes, pa.array(same, pa.binary()), _lists(keys)],
-                    ["doc_id", "n_shingles", "same", "bands"],
+                    [part.column("doc_id"), sizes, pa.array(same, pa.binary()), _lists(keys), _lists(bits)],
+                    ["doc_id", "n_shingles", "same", "bands", "bits"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        sketched, f"doc_id {kind}, n_shingles long, same binary, bands array<long>"
+        sketched, f"doc_id {kind}, n_shingles long, same binary, bands array<long>, bits array<long>"
     )
 
 
@@ -245,7 +261,7 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     # Equal sets are one class, named by its smallest id; its bands travel along once.
     named = sketches.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     first = named.groupBy("same").agg(
-        F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"), F.count(F.lit(1)).alias("copies")
+        F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("r"), F.count(F.lit(1)).alias("copies")
     )
     classes = stored(first.select("same", "copies", "r.*"), "classes")
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
@@ -263,7 +279,7 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     links = stored(linked(docs, tried, settings), "links")
     roots = components(links)
     while True:
-        pairs = stored(_untried(members, buckets, roots, tried, settings), "pairs")
+        pairs = stored(_untried(members, classes, roots, tried, settings), "pairs")
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
@@ -282,10 +298,11 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _untried(members: DataFrame, buckets: DataFrame, roots: DataFrame, tried: DataFrame, settings: NearSettings) -> DataFrame:
+def _untried(members: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFrame, settings: NearSettings) -> DataFrame:
     """Pairs of bucket members in different components that have not been compared.
 
-    One of the two is outside the bucket's largest component; sizes that rule a link out are left out.
+    One of the two is outside the bucket's largest component. Pairs whose sizes or signature bits rule
+    a link out are dropped by the join itself.
     """
     of = roots.select(F.col("node").alias("doc_id"), "root")
     placed = lookup(members.select("key", "doc_id", "n_shingles"), of, ["doc_id"])
@@ -293,12 +310,22 @@ def _untried(members: DataFrame, buckets: DataFrame, roots: DataFrame, tried: Da
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("n"))
     mixed = stored(largest.where("c > 1").select("key", F.col("top.root").alias("_top"), "n"), "mixed")
-    inside = stored(_bucket_join(placed, mixed.select("key", "_top"), mixed), "inside")
+    inside = _bucket_join(placed, mixed.select("key", "_top"), mixed)
+    inside = stored(lookup(inside, classes.select("doc_id", "bits"), ["doc_id"], "inner"), "inside")
     outside = inside.where(F.col("root") != F.col("_top")).select(
-        "key", F.col("doc_id").alias("_o"), F.col("n_shingles").alias("_na"), F.col("root").alias("_ro")
+        "key", F.col("doc_id").alias("_o"), F.col("n_shingles").alias("_na"), F.col("root").alias("_ro"), F.col("bits").alias("_bo")
     )
     near = 100 * F.least("_na", "n_shingles") >= settings.percent * F.greatest("_na", "n_shingles")
-    met = _bucket_join(inside, outside, mixed).where((F.col("root") != F.col("_ro")) & near)
+    first = -(-2 * settings.bands * settings.per_band // 64)
+
+    def apart(words: range) -> Column:
+        return sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bo")[i])) for i in words), F.lit(0))
+
+    # Sets of n and m shingles are linked if they differ in (n + m) * (100 - p) / (100 + p) or fewer.
+    p = settings.percent
+    unlike = (100 + p) * apart(range(first, first + PARITIES // 64)) > (100 - p) * (F.col("n_shingles") + F.col("_na"))
+    new = (F.col("root") != F.col("_ro")) & near & ~unlike & (apart(range(first)) <= settings.most_bits)
+    met = _bucket_join(inside, outside, mixed).where(new)
     pairs = met.select(F.least("doc_id", "_o").alias("a"), F.greatest("doc_id", "_o").alias("b")).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
