@@ -2,8 +2,8 @@
 
 A document is the set of its distinct shingles of five words. Every permutation gives two values of a
 signature, the smallest and the largest hash of the set; each agrees between two sets with a chance of
-their Jaccard similarity, so a signature costs half the hash evaluations. Bands of three permutations
-(six values) put documents into buckets.
+their Jaccard similarity, so a signature costs half the hash evaluations. Bands of four permutations
+(eight values) put documents into buckets.
 
 Documents with equal sets are one class and go through the search as one. In a bucket, every member is
 compared with the bucket's smallest id; after the components of those links are known, members outside
@@ -31,7 +31,7 @@ from bagwise.plans.scratch import stored
 
 ROWS = 128
 #: Words whose hashes a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MASK = (1 << 64) - 1
 #: Counts of shingles by hash, of which a sketch keeps the parities; a power of two.
 PARITIES = 1024
@@ -39,19 +39,20 @@ PARITIES = 1024
 
 @dataclass(frozen=True)
 class NearSettings:
-    """Five-word shingles, 75 % similarity; 64 bands of 3 permutations, two values each.
+    """Five-word shingles, 75 % similarity; 96 bands of 4 permutations, two values each.
 
-    At a similarity of exactly 0.75 a pair meets in no band with a chance of
-    ``(1 - 0.75 ** 6) ** 64``, about 4 in a million. Of its 384 signature bits an eighth differs; more
-    than ``most_bits`` of them do with a chance below one in ten million.
+    At a similarity of exactly 0.75 a pair meets in no band with a chance of ``(1 - 0.75 ** 8) ** 96``,
+    4 in 100,000, at 0.8 of 2 in 100 million; documents that share a third of their text meet in a band
+    with a chance of 1 in 100. Of a linked pair's 768 signature bits an eighth differs; more than
+    ``most_bits`` of them do with a chance below one in ten million.
     """
 
     shingle: int = 5
     percent: int = 75
-    bands: int = 64
-    per_band: int = 3
+    bands: int = 96
+    per_band: int = 4
     seed: int = 5
-    most_bits: int = 88
+    most_bits: int = 150
 
 
 class Shingler:
