@@ -17,6 +17,7 @@ import types
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ class PackSettings:
     #: Parts of a combination at most.
     parts: int = 4
     #: Tokens of a block, and the id that ends a document.
-    block: int = 4 << 20
+    block: int = 2 << 20
     end: int = 0
 
 
@@ -60,8 +61,12 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.special = special
-        self.full = tiktoken.Encoding("full", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
-        self.plain = tiktoken.Encoding("plain", pat_str=PLAIN_PIECES, mergeable_ranks=ranks, special_tokens=special)
+        self.make = lambda pieces: tiktoken.Encoding("bpe", pat_str=pieces, mergeable_ranks=ranks, special_tokens=special)
+        self.plain = self.make(PLAIN_PIECES)
+
+    @cached_property
+    def full(self):
+        return self.make(PIECES)
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
