@@ -35,6 +35,11 @@ def sample_from_path(path: Column | str) -> Column:
     return F.split_part(F.element_at(F.split(whole, "/"), -1), F.lit("_"), F.lit(1))
 
 
+def plain_path(uri: Column | str) -> Column:
+    """A scan's file path as it was given: scans report it with escapes, in which ``+`` stands for itself."""
+    return F.url_decode(F.replace(_col(uri), F.lit("+"), F.lit("%2B")))
+
+
 def label_key(sample: Column | str) -> Column:
     """Key into the label table: the sample name without any ``raw``."""
     return F.replace(_col(sample), F.lit(SAMPLE_SUFFIX), F.lit(""))

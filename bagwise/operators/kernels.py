@@ -9,12 +9,15 @@ SLICE_ROWS = 1024
 
 
 def feature_matrix(column: pa.Array) -> np.ndarray:
-    """List column to a dense (rows, D) matrix."""
+    """List column to a dense (rows, D) matrix; uneven rows, nulls and NaN are errors."""
     rows = len(column)
     flat = column.flatten()
-    if column.null_count or flat.null_count or (rows and len(flat) % rows):
+    if column.null_count or flat.null_count or (rows and np.ptp(np.diff(column.offsets.to_numpy()))):
         raise ValueError("features must be arrays of equal width without nulls")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if np.isnan(values).any():
+        raise ValueError("features must not be NaN")
+    return values.reshape(rows, len(flat) // rows if rows else 0)
 
 
 def slices(rows: int):

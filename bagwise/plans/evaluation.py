@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from bagwise.operators.bags import require_instances, require_unique
 from bagwise.operators.metrics import auc, confusion_matrix, roc_curve
 from bagwise.operators.model import AttentionModel
 from bagwise.operators.pooling import attention_weights, score_bags
@@ -30,7 +31,11 @@ def label_scores(scores: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def evaluate(instances: DataFrame, bags: DataFrame, model: AttentionModel, at: float = 0.5) -> Evaluation:
+    """Score the bags and compare with their labels; a bag without instances, or listed twice, is an error."""
+    bags = settle(bags)
+    require_unique(bags)
     scores = settle(label_scores(score_bags(instances, model, at), bags))
+    require_instances(bags, scores)
     return Evaluation(
         scores, auc(scores), confusion_matrix(scores), roc_curve(scores), attention_weights(instances, model, scores)
     )

@@ -35,7 +35,7 @@ from bagwise.operators.model import AttentionModel
 from bagwise.operators.pooling import _list_array, fold_batches, folded_table, key_codes, merged_means
 from bagwise.operators.prepare import feature_dim
 from bagwise.plans.lookup import BROADCAST_BYTES, ROW_OVERHEAD, lookup_join
-from bagwise.plans.scratch import scratch_path, settle
+from bagwise.plans.scratch import discard, scratch_path, settle
 from bagwise.sources.store import bag_bucket, write_bucketed
 
 NO_FOLD = -1
@@ -50,7 +50,7 @@ ONE_PASS_RECORDS = 16
 LARGEST_BOUND = 300.0
 SCORES_PER_FLUSH = 1000
 MOST_BUCKETS = 1024
-# Batches up to this many bags may be chosen by a list of ids; larger ones are whole buckets.
+# Batches up to this many bags may be chosen by a list of ids; rows of larger ones are written by batch.
 LISTED_BAGS = 1000
 
 
@@ -60,8 +60,7 @@ class TrainSettings:
 
     ``batch_bags=1`` takes one step per bag, bags in a new order every epoch. Larger batches average
     the gradient over their bags, ``None`` over all bags: fewer passes, but a different optimiser.
-    Batches as large as a storage bucket are made of whole buckets, so about ``batch_bags`` in size.
-    Rows of such steps are stored by bag first, unless they are read from a bag store already: then
+    Batches are slices of the epoch's order at every size of the table. Rows of such steps are stored by bag first, unless they are read from a bag store already: then
     ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
     """
 
@@ -321,8 +320,10 @@ def train_models(
     rows = labelled_rows(instances, bags, settings.budget)
     whole = settings.batch_bags is None
     buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count()))
+    copy = None
     if not whole and settings.stored_buckets is None:
-        rows = _bucketed(rows.drop("bag_bucket"), buckets, settings)
+        copy = scratch_path(spark, f"rows-{settings.run_id}")
+        rows = _bucketed(rows.drop("bag_bucket"), copy, buckets)
     elif whole and settings.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     path = scratch_path(spark, f"train-{settings.run_id}")
@@ -368,6 +369,8 @@ def train_models(
     finally:
         if whole and settings.cache:
             rows.unpersist()
+        if copy:
+            discard(spark, copy)
     read = spark.read.option("recursiveFileLookup", True).schema(scored)
     of_epoch = [
         read.parquet(f"{path}/epoch={e}").select(F.lit(settings.run_id).alias("run_id"), F.lit(e).alias("epoch"), *scored.names)
@@ -385,9 +388,8 @@ def _totals(states: DataFrame) -> tuple[dict[int, int], int]:
     return {r.fold: r.n for r in rows}, sum(r["size"] for r in rows)
 
 
-def _bucketed(rows: DataFrame, buckets: int, settings: TrainSettings) -> DataFrame:
+def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     """The rows stored by bag, so that a step reads its own bags' folders only."""
-    path = scratch_path(rows.sparkSession, f"rows-{settings.run_id}")
     write_bucketed(rows, path, buckets=buckets)
     schema = T.StructType([*rows.schema.fields, T.StructField("bag_bucket", T.IntegerType())])
     return rows.sparkSession.read.schema(schema).parquet(path)
@@ -396,24 +398,30 @@ def _bucketed(rows: DataFrame, buckets: int, settings: TrainSettings) -> DataFra
 def _batches(
     rows: DataFrame, bags: DataFrame, buckets: int, epoch: int, settings: TrainSettings
 ) -> Iterator[DataFrame]:
-    """The stored rows of each batch of bags, in the epoch's order.
+    """The stored rows of each batch of bags: slices of the epoch's order, whatever the sizes.
 
-    Every batch is a filter on folders, so an epoch reads each of them about once.
+    Small batches are filters on folders and ids. Where a batch would touch most folders, the rows are
+    written once for the epoch, by batch. Either way an epoch reads each row about once.
     """
     n, size = bags.count(), settings.batch_bags
-    if size > LISTED_BAGS or (n > buckets and size * buckets >= n):
-        # A batch is worth a bucket or more: it is made of whole buckets.
-        at_once = max(1, round(size * buckets / n))
-        every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bag_id")
-        order = [r.bag_id for r in shuffled_rank(every, settings.seed, epoch).orderBy("rank").collect()]
-        for start in range(0, buckets, at_once):
-            yield rows.where(F.col("bag_bucket").isin(order[start : start + at_once]))
-        return
     batch = F.floor((F.col("rank") - 1) / size).alias("batch")
     ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
     ranked = settle(ranked.select("bag_id", batch, bag_bucket("bag_id", buckets).alias("bag_bucket")))
+    n_batches = -(-n // size)
+    if size > LISTED_BAGS or (n > buckets and size * buckets >= n):
+        folder = scratch_path(rows.sparkSession, f"epoch-{settings.run_id}")
+        try:
+            of = ranked.select("bag_id", "batch")
+            numbered = lookup_join(rows, of, ["bag_id"], "inner", budget=settings.budget)
+            numbered.hint("rebalance", "batch").write.partitionBy("batch").parquet(folder)
+            written = rows.sparkSession.read.schema(numbered.schema).parquet(folder)
+            for number in range(n_batches):
+                yield written.where(F.col("batch") == number)
+        finally:
+            discard(rows.sparkSession, folder)
+        return
     # Ids of a few batches at a time, for the scan to prune folders and row groups by.
-    n_batches, at_once = -(-n // size), LISTED_BAGS // size
+    at_once = LISTED_BAGS // size
     for start in range(0, n_batches, at_once):
         listed = ranked.where(F.col("batch").between(start, start + at_once - 1)).collect()
         for number in range(start, min(start + at_once, n_batches)):

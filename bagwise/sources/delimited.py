@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bagwise.functions.columns import WHITESPACE, binarise_label, label_key, sample_from_path
+from bagwise.functions.columns import WHITESPACE, binarise_label, label_key, plain_path, sample_from_path
 from bagwise.operators.bags import union_bags
 from bagwise.operators.prepare import FRAGMENT_COLUMNS
 
@@ -84,7 +84,7 @@ def read_fragments(
         file = F.col("_metadata.file_path")
         scan = scan.select(
             "*",
-            sample_of(file).alias("sample_name"),
+            sample_of(plain_path(file)).alias("sample_name"),
             F.xxhash64(file, F.monotonically_increasing_id()).alias("instance_id"),
         )
         scans.append(scan if extra_features == "keep" else scan.drop(*[f"_c{i}" for i in range(len(FRAGMENT_COLUMNS), w)]))

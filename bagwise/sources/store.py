@@ -7,10 +7,11 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bagwise.operators.model import AttentionModel, GatedAttentionModel
+from bagwise.plans.scratch import discard
 
 # Fixed value: the kinds of stored model.
 MODEL_KINDS = {"attention": AttentionModel, "gated": GatedAttentionModel}
@@ -32,14 +33,31 @@ def write_bucketed(rows: DataFrame, path: str, *, buckets: int, within: tuple[st
         keyed.hint("rebalance", *folders)
         .sortWithinPartitions(*folders, "bag_id")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*folders)
         .parquet(path)
     )
 
 
 def write_bags(instances: DataFrame, path: str, *, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Store labelled instances (``split`` and ``label`` included), bucketed by bag within each split."""
-    write_bucketed(instances, path, buckets=buckets, within=("split",), mode=mode)
+    """Store labelled instances (``split`` and ``label`` included), bucketed by bag within each split.
+
+    Overwriting replaces the splits that are written; other splits of the store stay.
+    """
+    seen = Observation()
+    folder = F.concat_ws("/", "split", bag_bucket("bag_id", buckets).cast("string"))
+    write_bucketed(
+        instances.observe(seen, F.collect_set(folder).alias("folders")), path, buckets=buckets, within=("split",), mode=mode
+    )
+    if mode != "overwrite":
+        return
+    spark, kept = instances.sparkSession, set(seen.get["folders"])
+    splits = {f.rpartition("/")[0] for f in kept}
+    # Buckets of these splits that an earlier write had filled.
+    held = spark.read.schema("split string, bag_bucket int").parquet(path).distinct().collect() if kept else []
+    for r in held:
+        if r.split in splits and f"{r.split}/{r.bag_bucket}" not in kept:
+            discard(spark, f"{path}/split={r.split}/bag_bucket={r.bag_bucket}")
 
 
 def read_bags(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

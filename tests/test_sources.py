@@ -147,6 +147,26 @@ def test_bag_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bag_bucket" in plan and "EqualTo(bag_id,5)" in plan
 
 
+def test_splits_are_written_in_turn(spark, tmp_path):
+    def rows(ids, split):
+        return spark.createDataFrame([(b, b, [1.0], 1, split) for b in ids], "bag_id long, instance_id long, features array<double>, label int, split string")
+
+    path = str(tmp_path / "bags")
+    write_bags(rows(range(20), "train"), path, buckets=4)
+    write_bags(rows(range(5), "test"), path, buckets=4)
+    assert read_bags(spark, path, "train").count() == 20 and read_bags(spark, path, "test").count() == 5
+    write_bags(rows([3], "train"), path, buckets=4)
+    assert [r.bag_id for r in read_bags(spark, path, "train").collect()] == [3]
+    assert read_bags(spark, path, "test").count() == 5
+
+
+@pytest.mark.parametrize("name", ["S 1raw", "S%1raw", "S+1raw", "S#1raw"])
+def test_sample_names_with_escapes(spark, tmp_path, name):
+    path = tmp_path / f"{name}_x.bed"
+    path.write_text("chr1\t100\t260\t160-169\tCCCA\tTGGA\t0.42\t1.03\n")
+    assert read_fragments(spark, [str(path)], width=8).first().sample_name == name
+
+
 def test_hot_bag_is_split_when_written(spark, tmp_path):
     rows = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("bag_id"),

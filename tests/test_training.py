@@ -1,18 +1,19 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import auc as plain_auc
 from helpers import forward, instances, random_bags
 from pyspark.sql import functions as F
 
 from bagwise.catalogue import fixtures
+from bagwise.operators import kernels
 from bagwise.operators.model import AttentionModel
 from bagwise.plans import training
 from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate
 from bagwise.sources import read_bags, write_bags
-from bagwise.sources.store import bag_bucket
 from bagwise.plans.training import NO_FOLD, Adam, TrainSettings, train_attention, training_history, training_roc
 
 LABELS = {f"bag{i}": i % 2 for i in range(6)}
@@ -90,20 +91,32 @@ def test_batches(spark, bags, model, size, one_pass, monkeypatch):
     assert history.loss == pytest.approx(sum(r.loss for r in scores))
 
 
-def test_large_batches_are_whole_buckets(spark, bags, model, monkeypatch):
-    monkeypatch.setattr(training, "MOST_BUCKETS", 3)
-    settings = TrainSettings(epochs=2, lr=0.02, batch_bags=2)
+@pytest.mark.parametrize("size, buckets, listed", [(1, 3, 1000), (2, 3, 1000), (5, 3, 1000), (4, 1024, 3)])
+def test_batches_are_slices_of_the_order_at_every_size(spark, bags, model, size, buckets, listed, monkeypatch):
+    monkeypatch.setattr(training, "MOST_BUCKETS", buckets)
+    monkeypatch.setattr(training, "LISTED_BAGS", listed)
+    settings = TrainSettings(epochs=1, lr=0.02, batch_bags=size)
+    ranked = training.shuffled_rank(labels_frame(spark), settings.seed, 1).collect()
+    order = [r.bag_id for r in sorted(ranked, key=lambda r: r["rank"])]
+    batches = [order[i : i + size] for i in range(0, len(order), size)]
+    values, seen = plain_training(model, bags, batches, settings)
     trained = train_attention(instances(spark, bags), labels_frame(spark), settings, model)
-    scored = sorted((r.epoch, r.bag_id) for r in trained.scores.collect())
-    assert scored == [(e, b) for e in (1, 2) for b in sorted(LABELS)]
-    bucket = {r.bag_id: r.b for r in labels_frame(spark).select("bag_id", bag_bucket("bag_id", 3).alias("b")).collect()}
-    stored = training._bucketed(training.labelled_rows(instances(spark, bags), labels_frame(spark)), 3, settings)
-    met = []
-    for batch in training._batches(stored, labels_frame(spark), 3, 1, settings):
-        some = {r.bag_id for r in batch.select("bag_id").distinct().collect()}
-        assert some == {b for b in LABELS if bucket[b] in {bucket[c] for c in some}}
-        met += some
-    assert sorted(met) == sorted(LABELS)
+    np.testing.assert_allclose(trained.model.flat(), values, atol=1e-5)
+    assert {r.bag_id: r.p for r in trained.scores.collect()} == pytest.approx(dict(seen), abs=1e-5)
+
+
+@pytest.mark.parametrize("features, message", [([[1.0], [1.0, 2.0, 3.0]], "equal width"), ([[1.0, 2.0], [1.0, float("nan")]], "NaN")])
+def test_uneven_and_nan_features_are_refused(features, message):
+    with pytest.raises(ValueError, match=message):
+        kernels.feature_matrix(pa.array(features))
+
+
+def test_evaluation_counts_every_bag_once(spark, bags, model):
+    labels = labels_frame(spark)
+    with pytest.raises(ValueError, match="gone"):
+        evaluate(instances(spark, bags), labels.union(spark.createDataFrame([("gone", 1)], labels.schema)), model)
+    with pytest.raises(ValueError, match="bag3"):
+        evaluate(instances(spark, bags), labels.union(labels.where("bag_id = 'bag3'")), model)
 
 
 def test_stored_bags_are_read_in_place(spark, bags, model, tmp_path):
