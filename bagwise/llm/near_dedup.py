@@ -7,8 +7,8 @@ their Jaccard similarity, so a signature costs half the hash evaluations. Bands
 
 Documents with equal sets are one class and go through the search as one. In a bucket, every member is
 compared with the bucket's smallest id; after the components of those links are known, members outside
-the largest component of a bucket are compared with the members of the others, and so on until nothing
-new is linked. A pair of a bucket is left out only if both are in one component already, or if sketches
+the largest component of a bucket are compared with the members of the others. Buckets of equal members
+are one bucket. A pair of a bucket is left out only if both are in one component already, or if sketches
 of the sets tell them apart: parities of hashed shingle counts, which never differ more than the sets do,
 and one bit of each signature value. So components are those of all linked pairs of the buckets, without
 listing a group's pairs. Similarities are of full sets, compared by Spark.
@@ -266,10 +266,13 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     )
     classes = stored(first.select("same", "copies", "r.*"), "classes")
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"_x{i}") for i in range(2)]
     sizes = banded.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("first"), *marks
     )
-    buckets = stored(sizes.where("n > 1"), "buckets")
+    # Close copies meet in many bands: of buckets with equal members, one is as good as all.
+    alike = sizes.where("n > 1").groupBy("n", "first", "_x0", "_x1").agg(F.min("key").alias("key"))
+    buckets = stored(alike.select("key", "n", "first"), "buckets")
     heads = buckets.select("key", F.col("first.doc_id").alias("a"), F.col("first.n_shingles").alias("_na"))
     members = _bucket_join(banded, heads, buckets)
     members = stored(members.select("key", "doc_id", "n_shingles", "a", "_na"), "members")
@@ -279,16 +282,10 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     tried = stored(pairs, "pairs")
     links = stored(linked(docs, tried, settings), "links")
     roots = components(links)
-    while True:
-        pairs = stored(_untried(members, classes, roots, tried, settings), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        found = stored(linked(docs, pairs, settings), "links")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        roots = stored(components(links), "roots")
+    # All other pairs of a bucket that could still join two components: none is left after these.
+    found = stored(linked(docs, stored(_untried(members, classes, roots, tried, settings), "pairs"), settings), "links")
+    if not found.isEmpty():
+        roots = stored(components(links.unionByName(found)), "roots")
 
     of = roots.select(F.col("node").alias("doc_id"), "root")
     class_root = lookup(classes.select("same", "copies", "doc_id"), of, ["doc_id"])
