@@ -266,12 +266,13 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     )
     classes = stored(first.select("same", "copies", "r.*"), "classes")
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"_x{i}") for i in range(2)]
+    mark = F.bit_xor(F.xxhash64("doc_id")).alias("_mark")
     sizes = banded.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("first"), *marks
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("first"), mark
     )
-    # Close copies meet in many bands: of buckets with equal members, one is as good as all.
-    alike = sizes.where("n > 1").groupBy("n", "first", "_x0", "_x1").agg(F.min("key").alias("key"))
+    # Close copies meet in many bands: of buckets with equal members, one is as good as all. Only the
+    # bands of one first document are told apart by the 64-bit mark, so a clash is out of reach.
+    alike = sizes.where("n > 1").groupBy("n", "first", "_mark").agg(F.min("key").alias("key"))
     buckets = stored(alike.select("key", "n", "first"), "buckets")
     heads = buckets.select("key", F.col("first.doc_id").alias("a"), F.col("first.n_shingles").alias("_na"))
     members = _bucket_join(banded, heads, buckets)
