@@ -10,6 +10,7 @@ from bagwise.llm import (
     archives,
     chat_format,
     exact_dedup,
+    line_dedup,
     mixing,
     near_dedup,
     packing,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 
@@ -41,4 +43,5 @@ def oracles() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE,
         "op6_warc": archives.ORACLE,
         "op7_chat_format": chat_format.ORACLE,
+        "op11_line_dedup": line_dedup.ORACLE,
     }
