@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bagwise.llm import (
     archives,
+    centroids,
     chat_format,
     exact_dedup,
     line_dedup,
@@ -17,6 +18,7 @@ from bagwise.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    source_audit,
     url_filter,
 )
 
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
 
@@ -44,4 +48,6 @@ def oracles() -> dict[str, str]:
         "op6_warc": archives.ORACLE,
         "op7_chat_format": chat_format.ORACLE,
         "op11_line_dedup": line_dedup.ORACLE,
+        "op12_centroids": centroids.oracle(),
+        "op13_source_audit": source_audit.oracle(),
     }
