@@ -74,7 +74,7 @@ class Tournament:
     """Nearest centroids by linear tests between pairs; among equals, the smallest number."""
 
     def __init__(self, centroids: list[list[int]]):
-        values = np.array(centroids, dtype=object).reshape(len(centroids), -1)
+        values = np.array(centroids, dtype=object).reshape(len(centroids), len(centroids[0]) if centroids else 0)
         squares = (values * values).sum(axis=1)
         small = max((abs(v) for row in centroids for v in row), default=0) <= EXACT and values.shape[1] <= 256
         self._kinds = [np.float64] if small else []
