@@ -60,6 +60,20 @@ def event_bags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nation_instances(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as instances; nations are bags, 25 of them at every size of the tables."""
+    return table(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("bag_id"),
+        F.col("c_custkey").alias("instance_id"),
+        F.array(F.col("c_acctbal") / 10000, F.col("c_custkey") % 100 / 100).alias("features"),
+    )
+
+
+def nation_bags(spark: SparkSession, folder: str) -> DataFrame:
+    ends = F.max("c_acctbal") + F.min("c_acctbal")
+    return table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("bag_id")).agg((ends > 9000).cast("int").alias("label"))
+
+
 def embedding_instances(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.concat_ws("-", F.lit("group"), "label").alias("bag_id"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from bagwise.catalogue import fixtures as fx
-from bagwise.catalogue.queries import CHOSEN_BAG, DIGITS, FOLDS, SAMPLE_FRACTION, SCALED, SEED, TRAIN
+from bagwise.catalogue.queries import BATCHES, CHOSEN_BAG, DIGITS, FOLDS, SAMPLE_FRACTION, SCALED, SEED, TRAIN
 from bagwise.functions.losses import FOCAL_ALPHA, FOCAL_GAMMA
+from bagwise.operators.model import AttentionModel
 from bagwise.plans.training import ADAM_BETAS, ADAM_EPS
 
 R = DIGITS
@@ -26,6 +29,12 @@ bags AS (
   FROM events GROUP BY user_id)"""
 
 
+#: Customers by nation: 25 bags at every size of the tables.
+NATIONS = """
+inst AS (SELECT c_nationkey AS bag_id, c_custkey AS instance_id, c_acctbal / 10000 AS x1, (c_custkey % 100) / 100 AS x2 FROM customer),
+bags AS (SELECT c_nationkey AS bag_id, CAST(max(c_acctbal) + min(c_acctbal) > 9000 AS INTEGER) AS label FROM customer GROUP BY c_nationkey)"""
+
+
 def _forward(model, hidden: list[str]) -> str:
     """CTEs emb (hidden units), lg (logit), wt (attention) over ``inst``; ``hidden`` are unit expressions."""
     h = ", ".join(f"greatest({e}, 0) AS h{j + 1}" for j, e in enumerate(hidden))
@@ -94,8 +103,7 @@ SELECT {keys} round(threshold, {R}) AS threshold, round(fpr, {R}) AS fpr, round(
 
 # Training, restated: one set of common table expressions per epoch, parameters in one row per model.
 
-PARAMS = ["w11", "w12", "w21", "w22", "b1", "b2", "v11", "v12", "v21", "v22", "c1", "c2", "u1", "u2", "ub", "k1", "k2", "kb"]
-GRADIENTS = {
+PLAIN_GRADIENTS = {
     "w11": "dh1 * x1",
     "w12": "dh1 * x2",
     "w21": "dh2 * x1",
@@ -115,6 +123,24 @@ GRADIENTS = {
     "k2": "share * h2",
     "kb": "share",
 }
+GATED_GRADIENTS = {
+    **{n: PLAIN_GRADIENTS[n] for n in ("w11", "w12", "w21", "w22", "b1", "b2", "v11", "v12", "v21", "v22", "c1", "c2")},
+    "u11": "ds1 * i1",
+    "u12": "ds1 * i2",
+    "u21": "ds2 * i1",
+    "u22": "ds2 * i2",
+    "ub1": "ds1",
+    "ub2": "ds2",
+    "k1": "share1 * h1",
+    "k2": "share2 * h2",
+    "kb": "share1",
+    "g11": "e1 * h1",
+    "g12": "e1 * h2",
+    "g21": "e2 * h1",
+    "g22": "e2 * h2",
+    "gc1": "e1",
+    "gc2": "e2",
+}
 LOSSES = {
     "bce": (
         "-(greatest(ln(1 / (1 + exp(-z))), -100))",
@@ -128,76 +154,139 @@ LOSSES = {
 }
 
 
-def _start(models: str) -> str:
-    values = [float(v) for v in fx.EVENT_MODEL.flat()]
-    named = ", ".join(f"{v!r} AS {n}" for n, v in zip(PARAMS, values))
-    zeros = ", ".join(f"0.0::DOUBLE AS m_{n}, 0.0::DOUBLE AS s_{n}" for n in PARAMS)
+@dataclass(frozen=True)
+class Restated:
+    """How one kind of scorer is written in SQL: parameters with their gradients, and both passes."""
+
+    model: AttentionModel
+    gradients: dict[str, str]
+    forward: str  # attention logits of the rows of ``hidden``
+    pooled: str  # softmax sums and the logit of a bag, of rows with their bag's largest logits
+    tops: str
+    backward: str  # slopes of the inner activations, of rows with their bag's sums, down to ``dh1, dh2``
+
+
+PLAIN = Restated(
+    model=fx.EVENT_MODEL,
+    gradients=PLAIN_GRADIENTS,
+    forward="""
+  SELECT *, u1 * t1 + u2 * t2 + ub AS s, k1 * h1 + k2 * h2 AS unit FROM (
+    SELECT *, tanh(v11 * h1 + v12 * h2 + c1) AS t1, tanh(v21 * h1 + v22 * h2 + c2) AS t2 FROM hidden)""",
+    tops="max(s) AS top",
+    pooled="""max(top) AS top, sum(exp(s - top)) AS mass, sum(exp(s - top) * unit) / sum(exp(s - top)) AS mean,
+         sum(exp(s - top) * unit) / sum(exp(s - top)) + max(kb) AS logit""",
+    backward="""
+    SELECT *, (share * k1 + d1 * v11 + d2 * v21) * (h1 > 0)::INTEGER AS dh1,
+              (share * k2 + d1 * v12 + d2 * v22) * (h2 > 0)::INTEGER AS dh2 FROM (
+      SELECT *, ds * u1 * (1 - t1 * t1) AS d1, ds * u2 * (1 - t2 * t2) AS d2 FROM (
+        SELECT *, share * (unit - mean) AS ds FROM (SELECT *, slope * exp(s - top) / mass AS share FROM joined)))""",
+)
+GATED = Restated(
+    model=fx.EVENT_GATED_MODEL,
+    gradients=GATED_GRADIENTS,
+    forward="""
+  SELECT *, u11 * i1 + u12 * i2 + ub1 AS s1, u21 * i1 + u22 * i2 + ub2 AS s2 FROM (
+    SELECT *, t1 * q1 AS i1, t2 * q2 AS i2 FROM (
+      SELECT *, tanh(v11 * h1 + v12 * h2 + c1) AS t1, tanh(v21 * h1 + v22 * h2 + c2) AS t2,
+             1 / (1 + exp(-(g11 * h1 + g12 * h2 + gc1))) AS q1, 1 / (1 + exp(-(g21 * h1 + g22 * h2 + gc2))) AS q2 FROM hidden))""",
+    tops="max(s1) AS top1, max(s2) AS top2",
+    pooled="""max(top1) AS top1, max(top2) AS top2, sum(exp(s1 - top1)) AS z1, sum(exp(s2 - top2)) AS z2,
+         sum(exp(s1 - top1) * h1) / sum(exp(s1 - top1)) AS mean1, sum(exp(s2 - top2) * h2) / sum(exp(s2 - top2)) AS mean2,
+         max(k1) * mean1 + max(k2) * mean2 + max(kb) AS logit""",
+    backward="""
+    SELECT *, (share1 * k1 + d1 * v11 + d2 * v21 + e1 * g11 + e2 * g21) * (h1 > 0)::INTEGER AS dh1,
+              (share2 * k2 + d1 * v12 + d2 * v22 + e1 * g12 + e2 * g22) * (h2 > 0)::INTEGER AS dh2 FROM (
+      SELECT *, di1 * q1 * (1 - t1 * t1) AS d1, di2 * q2 * (1 - t2 * t2) AS d2,
+             di1 * t1 * q1 * (1 - q1) AS e1, di2 * t2 * q2 * (1 - q2) AS e2 FROM (
+        SELECT *, ds1 * u11 + ds2 * u21 AS di1, ds1 * u12 + ds2 * u22 AS di2 FROM (
+          SELECT *, share1 * k1 * (h1 - mean1) AS ds1, share2 * k2 * (h2 - mean2) AS ds2 FROM (
+            SELECT *, slope * exp(s1 - top1) / z1 AS share1, slope * exp(s2 - top2) / z2 AS share2 FROM joined))))""",
+)
+
+
+def _start(models: str, kind: Restated = PLAIN) -> str:
+    values = [float(v) for v in kind.model.flat()]
+    named = ", ".join(f"{v!r} AS {n}" for n, v in zip(kind.gradients, values))
+    zeros = ", ".join(f"0.0::DOUBLE AS m_{n}, 0.0::DOUBLE AS s_{n}" for n in kind.gradients)
     return f"p1 AS MATERIALIZED (SELECT f, {named}, {zeros} FROM {models})"
 
 
-def _states(e: int, loss: str, match: str) -> str:
-    """Forward pass and bag scores of epoch ``e``."""
+def _states(e: int, loss: str, match: str, kind: Restated = PLAIN) -> str:
+    """Forward pass and bag scores of step ``e``."""
     value, slope = LOSSES[loss]
     return f"""
 f{e} AS MATERIALIZED (
-  SELECT *, u1 * t1 + u2 * t2 + ub AS s, k1 * h1 + k2 * h2 AS unit FROM (
-    SELECT *, tanh(v11 * h1 + v12 * h2 + c1) AS t1, tanh(v21 * h1 + v22 * h2 + c2) AS t2 FROM (
+  WITH hidden AS (
       SELECT *, greatest(w11 * x1 + w12 * x2 + b1, 0) AS h1, greatest(w21 * x1 + w22 * x2 + b2, 0) AS h2
-      FROM inst JOIN folded USING (bag_id) JOIN p{e} ON {match}))),
-m{e} AS MATERIALIZED (SELECT f, bag_id, max(s) AS top FROM f{e} GROUP BY f, bag_id),
-z{e} AS MATERIALIZED (
-  SELECT f, bag_id, label, max(top) AS top, sum(exp(s - top)) AS mass,
-         sum(exp(s - top) * unit) / sum(exp(s - top)) AS mean, sum(exp(s - top) * unit) / sum(exp(s - top)) + max(kb) AS logit
-  FROM f{e} JOIN m{e} USING (f, bag_id) GROUP BY f, bag_id, label),
+      FROM inst JOIN folded USING (bag_id) JOIN p{e} ON {match}){kind.forward}),
+m{e} AS MATERIALIZED (SELECT f, bag_id, {kind.tops} FROM f{e} GROUP BY f, bag_id),
+z{e} AS MATERIALIZED (SELECT f, bag_id, label, {kind.pooled} FROM f{e} JOIN m{e} USING (f, bag_id) GROUP BY f, bag_id, label),
 b{e} AS MATERIALIZED (
   SELECT *, 1 / (1 + exp(-logit)) AS p, {value} AS loss, {slope} AS slope
   FROM (SELECT *, (2 * label - 1) * logit AS z FROM z{e}))"""
 
 
-def _update(e: int, lr: float, decay: float) -> str:
-    """Gradient and optimiser step after epoch ``e``."""
+def _update(e: int, lr: float, decay: float, kind: Restated = PLAIN) -> str:
+    """Gradient and optimiser step after step ``e``."""
     b1, b2 = ADAM_BETAS
-    sums = ", ".join(f"sum({g}) / n + {decay!r} * max({n}) AS g_{n}" for n, g in GRADIENTS.items())
-    first = {n: f"({b1} * m_{n} + {1 - b1!r} * g_{n})" for n in PARAMS}
-    second = {n: f"({b2} * s_{n} + {1 - b2!r} * g_{n} * g_{n})" for n in PARAMS}
+    params = list(kind.gradients)
+    sums = ", ".join(f"sum({g}) / n + {decay!r} * max({n}) AS g_{n}" for n, g in kind.gradients.items())
+    first = {n: f"({b1} * m_{n} + {1 - b1!r} * g_{n})" for n in params}
+    second = {n: f"({b2} * s_{n} + {1 - b2!r} * g_{n} * g_{n})" for n in params}
     moved = ", ".join(
-        f"{n} - {lr!r} * ({first[n]} / {1 - b1**e!r}) / (sqrt({second[n]} / {1 - b2**e!r}) + {ADAM_EPS!r}) AS {n}" for n in PARAMS
+        f"{n} - {lr!r} * ({first[n]} / {1 - b1**e!r}) / (sqrt({second[n]} / {1 - b2**e!r}) + {ADAM_EPS!r}) AS {n}" for n in params
     )
-    kept = ", ".join(f"{first[n]} AS m_{n}, {second[n]} AS s_{n}" for n in PARAMS)
+    kept = ", ".join(f"{first[n]} AS m_{n}, {second[n]} AS s_{n}" for n in params)
     return f"""
 g{e} AS MATERIALIZED (
-  SELECT f, {sums} FROM (
-    SELECT *, (share * k1 + d1 * v11 + d2 * v21) * (h1 > 0)::INTEGER AS dh1,
-              (share * k2 + d1 * v12 + d2 * v22) * (h2 > 0)::INTEGER AS dh2 FROM (
-      SELECT *, ds * u1 * (1 - t1 * t1) AS d1, ds * u2 * (1 - t2 * t2) AS d2 FROM (
-        SELECT *, share * (unit - mean) AS ds FROM (
-          SELECT f{e}.*, mean, slope * exp(s - top) / mass AS share, n
-          FROM f{e} JOIN b{e} USING (f, bag_id) JOIN (SELECT f, count(*) AS n FROM b{e} GROUP BY f) USING (f)))))
-  GROUP BY f, n),
+  WITH joined AS (
+    SELECT f{e}.*, b{e}.* EXCLUDE (f, bag_id, label), n
+    FROM f{e} JOIN b{e} USING (f, bag_id) JOIN (SELECT f, count(*) AS n FROM b{e} GROUP BY f) USING (f))
+  SELECT f, {sums} FROM ({kind.backward}) GROUP BY f, n),
 p{e + 1} AS MATERIALIZED (SELECT f, {moved}, {kept} FROM p{e} JOIN g{e} USING (f))"""
 
 
-def _training(epochs: int, lr: float, loss: str, decay: float) -> str:
-    parts = [EVENTS, "folded AS (SELECT bag_id, label, -2 AS fold FROM bags)", _start("(SELECT -1 AS f)")]
+def _training(epochs: int, lr: float, loss: str, decay: float, kind: Restated = PLAIN) -> str:
+    """One step per epoch, over all bags."""
+    parts = [EVENTS, "folded AS (SELECT bag_id, label, -2 AS fold FROM bags)", _start("(SELECT -1 AS f)", kind)]
     for e in range(1, epochs + 1):
-        parts.append(_states(e, loss, "f <> fold"))
+        parts.append(_states(e, loss, "f <> fold", kind))
         if e < epochs:
-            parts.append(_update(e, lr, decay))
+            parts.append(_update(e, lr, decay, kind))
+    return f"WITH {', '.join([*parts, _scores({e: e for e in range(1, epochs + 1)})])}"
+
+
+def _scores(epoch_of: dict[int, int]) -> str:
+    """Bag scores of all steps, by the epoch each step belongs to."""
     scores = " UNION ALL ".join(
-        f"SELECT 'run0' AS run_id, CAST(f AS INTEGER) AS fold, CAST({e} AS INTEGER) AS epoch, bag_id, label, p, loss FROM b{e}"
-        for e in range(1, epochs + 1)
+        f"SELECT 'run0' AS run_id, CAST(f AS INTEGER) AS fold, CAST({epoch} AS INTEGER) AS epoch, bag_id, label, p, loss FROM b{step}"
+        for step, epoch in epoch_of.items()
     )
-    parts.append(f"scores AS MATERIALIZED ({scores})")
-    return "WITH " + ", ".join(parts)
+    return f"scores AS MATERIALIZED ({scores})"
+
+
+def _stepwise(tables: str, batches: int, lr: float) -> str:
+    """One epoch of ``batches`` steps over shares of the shuffled order."""
+    share = f"ntile({batches}) OVER (ORDER BY md5('{SEED}|1|' || bag_id), bag_id)"
+    parts = [tables, f"folded AS MATERIALIZED (SELECT bag_id, label, {share} AS batch FROM bags)", _start("(SELECT -1 AS f)")]
+    for step in range(1, batches + 1):
+        parts.append(_states(step, "bce", f"batch = {step}"))
+        if step < batches:
+            parts.append(_update(step, lr, 0.0))
+    return f"WITH {', '.join([*parts, _scores(dict.fromkeys(range(1, batches + 1), 1))])}"
 
 
-def _history(loss: str, decay: float = 0.0) -> str:
-    return f"""{_training(TRAIN['epochs'], TRAIN['lr'], loss, decay)}
+def _history_of(training: str) -> str:
+    return f"""{training}
 SELECT run_id, fold, epoch, round(loss, {R}) AS loss, round(auc, {R}) AS auc
 FROM (SELECT run_id, fold, epoch, sum(loss) AS loss FROM scores GROUP BY ALL)
 JOIN ({_auc('scores', 'run_id, fold, epoch,')}) USING (run_id, fold, epoch)"""
 
 
+def _history(loss: str, decay: float = 0.0, kind: Restated = PLAIN) -> str:
+    return _history_of(_training(TRAIN["epochs"], TRAIN["lr"], loss, decay, kind))
+
+
 FOLDED = f"SELECT bag_id, label, CAST(ntile({FOLDS}) OVER (ORDER BY md5('{SEED}|' || bag_id), bag_id) - 1 AS INTEGER) AS fold"
 
 
@@ -397,6 +486,10 @@ SELECT round(avg(auc), {R}) AS mean_auc, round(stddev_pop(auc), {R}) AS std_auc,
        count(auc) AS n_valid_folds, count(*) AS n_folds FROM per_fold""",
         "train_attention_bce": _history("bce"),
         "train_attention_focal": _history("focal", 1e-5),
+        "train_attention_gated": _history("bce", kind=GATED),
+        "train_attention_minibatch": _history_of(_stepwise(EVENTS, BATCHES, TRAIN["lr"])),
+        "train_attention_stepwise": f"""{_stepwise(NATIONS, 25, TRAIN['lr'])}
+SELECT epoch, bag_id, label, round(p, {R}) AS p, round(loss, {R}) AS loss FROM scores""",
         "train_roc": f"{_training(TRAIN['epochs'], TRAIN['lr'], 'bce', 0.0)}, {_roc('scores', 'run_id, fold,')}",
         "cross_validation": _cross_validation(),
         "bag_store": f"""WITH {EVENTS}

@@ -37,7 +37,7 @@ SAMPLE_FRACTION = 0.4
 SEED = 42
 FOLDS = 10
 CHOSEN_BAG = 7
-BATCH_BAGS = 16
+BATCHES = 8
 SCALED = ("l_quantity", "l_extendedprice", "l_discount", "always_one")
 TRAIN = {"epochs": 3, "lr": 0.05}
 
@@ -391,12 +391,12 @@ def cv_summary(spark, d):
     return round_all(summary.drop("aucs"))
 
 
-def _history(spark, d, **settings):
+def _history(spark, d, model=fx.EVENT_MODEL, **settings):
     trained = train_attention(
         fx.event_instances(spark, d),
         settle(fx.event_bags(spark, d)),
-        TrainSettings(batch_bags=None, seed=SEED, **TRAIN, **settings),
-        fx.EVENT_MODEL,
+        TrainSettings(seed=SEED, **{"batch_bags": None, **TRAIN, **settings}),
+        model,
     )
     return trained.scores
 
@@ -411,12 +411,23 @@ def train_attention_focal(spark, d):
     return round_all(training_history(_history(spark, d, loss="focal", weight_decay=1e-5)))
 
 
+@query
+def train_attention_gated(spark, d):
+    return round_all(training_history(_history(spark, d, fx.EVENT_GATED_MODEL)))
+
+
 @query
 def train_attention_minibatch(spark, d):
-    # How many steps there are depends on the table, so no fixed SQL says it: tests restate the steps.
-    settings = TrainSettings(epochs=1, lr=0.05, batch_bags=BATCH_BAGS, seed=SEED)
-    bags = settle(fx.event_bags(spark, d))
-    return round_all(training_history(train_attention(fx.event_instances(spark, d), bags, settings, fx.EVENT_MODEL).scores))
+    return round_all(training_history(_history(spark, d, epochs=1, n_batches=BATCHES)))
+
+
+@query
+def train_attention_stepwise(spark, d):
+    """A step per bag, in a drawn order: 25 nations of customers."""
+    bags = settle(fx.nation_bags(spark, d))
+    settings = TrainSettings(epochs=1, lr=TRAIN["lr"], seed=SEED)
+    scores = train_attention(fx.nation_instances(spark, d), bags, settings, fx.EVENT_MODEL).scores
+    return round_all(scores.select("epoch", "bag_id", "label", "p", "loss"))
 
 
 @query

@@ -16,7 +16,7 @@ def shuffled_rank(bags: DataFrame, *seeds: int, name: str = "rank") -> DataFrame
     return global_rank(keyed, [F.col("_digest"), F.col("bag_id")], name).drop("_digest")
 
 
-def _tile(rank: Column, n: Column, k: int) -> Column:
+def tile(rank: Column, n: Column, k: int) -> Column:
     """Zero-based share of ``rank`` when n rows are cut into k shares, the first n % k one larger."""
     small = F.floor(n / F.lit(k))
     larger = n % F.lit(k)
@@ -32,7 +32,7 @@ def kfold_assign(bags: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     n = bags.agg(F.count(F.lit(1))).first()[0]
     if k < 2 or n < k:
         raise ValueError(f"cannot cut {n} bags into {k} folds")
-    return ranked.withColumn("fold", _tile(F.col("_rank"), F.lit(n), k)).drop("_rank")
+    return ranked.withColumn("fold", tile(F.col("_rank"), F.lit(n), k)).drop("_rank")
 
 
 def cv_summary(fold_aucs: DataFrame) -> DataFrame:

@@ -55,16 +55,66 @@ def row_scores(model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, unit
 
 
+def gated_branches(model, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner activation and gate of each row."""
+    gate = hidden @ model.gate_u.T
+    gate += model.gate_c
+    np.negative(gate, out=gate)
+    np.exp(gate, out=gate)
+    gate += 1.0
+    np.reciprocal(gate, out=gate)
+    t = hidden @ model.att_v.T
+    t += model.att_c
+    return np.tanh(t, out=t), gate
+
+
 def gated_attention(model, hidden: np.ndarray) -> np.ndarray:
     """Attention logits per row and hidden unit."""
     logits = np.empty_like(hidden)
     for at in slices(len(hidden)):
-        t = np.tanh(hidden[at] @ model.att_v.T + model.att_c)
-        t /= 1.0 + np.exp(-(hidden[at] @ model.gate_u.T + model.gate_c))
+        t, gate = gated_branches(model, hidden[at])
+        t *= gate
         logits[at] = t @ model.att_w.T + model.att_b
     return logits
 
 
+def gated_gradient(model, x, ends, pooled, slope) -> np.ndarray:
+    """Like :func:`pooled_gradient` for a softmax per hidden unit.
+
+    Of each row's bag: ``ends``, the logarithm of every unit's summed exponentials, the pooled
+    embedding, and the loss slope.
+    """
+    kind, total = model.embed_w.dtype, 0.0
+    for at in slices(len(x)):
+        hidden = embed(model, x[at])
+        t, gate = gated_branches(model, hidden)
+        inner = t * gate
+        share = np.exp(inner @ model.att_w.T + model.att_b - ends[at])
+        share = (share * slope[at][:, None]).astype(kind, copy=False)
+        direct = share * model.cls_w
+        d_logit = (direct * (hidden - pooled[at])).astype(kind, copy=False)
+        d_inner = d_logit @ model.att_w
+        d_gate = d_inner * inner * (1.0 - gate)
+        d_t = d_inner * gate * (1.0 - t * t)
+        d_hidden = (direct + d_t @ model.att_v + d_gate @ model.gate_u) * (hidden > 0.0)
+        total = total + np.concatenate(
+            [
+                (d_hidden.T @ x[at].astype(kind, copy=False)).ravel(),
+                d_hidden.sum(axis=0),
+                (d_t.T @ hidden).ravel(),
+                d_t.sum(axis=0),
+                (d_logit.T @ inner).ravel(),
+                d_logit.sum(axis=0),
+                (share * hidden).sum(axis=0),
+                [share[:, 0].sum()],
+                (d_gate.T @ hidden).ravel(),
+                d_gate.sum(axis=0),
+            ],
+            dtype=np.float64,
+        )
+    return total
+
+
 def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that puts equal codes together, the start of each run, and the code of each run."""
     order = np.argsort(codes, kind="stable")
@@ -131,8 +181,8 @@ def pooled_gradient(model, x, top, mass, logit, slope) -> np.ndarray:
 
 
 def logit_bound(model) -> float:
-    """No attention logit is larger: the inner activation stays within ±1."""
-    return float(np.abs(model.att_w).sum() + abs(model.att_b[0]))
+    """No attention logit is larger: the inner activation stays within ±1, gated or not."""
+    return float(np.max(np.abs(model.att_w).sum(axis=-1) + np.abs(model.att_b)))
 
 
 def bag_moments(model, x) -> np.ndarray:

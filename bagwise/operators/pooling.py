@@ -1,8 +1,10 @@
 """Softmax-attention pooling as a mergeable aggregate.
 
 Every task folds its rows into one small record per bag: the largest logit (``top``), the softmax
-mass relative to it, and means under that mass. Merging records is a weighted mean, done by Spark
-with map-side combining, so the size or skew of bags never gathers rows anywhere.
+mass relative to it, and means under that mass. Records are merged by plain sums, which Spark combines
+before the shuffle: no window, and a bag of any size is one record per task. A scorer's parameters bound
+its logits; within ``PLAIN_LOGIT``, exponentials are summed as they are. Beyond it, sums are kept per
+range of logits, and the few ranges that a bag's records fall into are put together at the end.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,10 @@ from bagwise.plans.scratch import settle
 
 # Records a task holds before it hands them on; bounds a worker's memory, not the result.
 FOLD_ROWS = 20_000
+# Sums of exponentials of logits up to this size stay within doubles.
+PLAIN_LOGIT = 300.0
+# Width of the ranges by which larger logits are summed.
+RANGE = 300.0
 
 
 def _list_array(matrix: np.ndarray) -> pa.Array:
@@ -159,37 +165,59 @@ def bag_partials(instances: DataFrame, model: AttentionModel, *, vectors: bool =
     return instances.select("bag_id", "features").mapInArrow(run, schema)
 
 
-def merged_weight(keys: list[str]) -> tuple[Column, Column]:
-    """The keys' largest logit, and each record's mass relative to it."""
-    top = F.max("top").over(Window.partitionBy(*keys))
-    return top, F.col("mass") * F.exp(F.col("top") - top)
+def _range_of(top: Column, plain: bool) -> Column:
+    return F.lit(0).cast("long") if plain else F.floor(top / RANGE)
 
 
-def attention_pool(instances: DataFrame, model: AttentionModel) -> DataFrame:
-    """``bag_id, top, mass, pooled``: the attention-weighted mean embedding of each bag."""
-    top, weight = merged_weight(["bag_id"])
-    records = bag_partials(instances, model).select("bag_id", top.alias("top"), weight.alias("weight"), "mean")
-    # A record whose weight vanished beside its bag's largest logit adds nothing.
-    vector = array_to_vector(F.col("mean"))
-    return records.groupBy("bag_id").agg(
-        F.max("top").alias("top"),
-        F.sum("weight").alias("mass"),
-        vector_to_array(Summarizer.mean(vector, F.col("weight"))).alias("pooled"),
-    )
+def _is_array(records: DataFrame, name: str) -> bool:
+    return isinstance(records.schema[name].dataType, T.ArrayType)
 
 
-def merged_means(records: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys…, top, mass, mean`` from records with a scalar mean."""
-    top, weight = merged_weight(keys)
-    return (
-        records.select(*keys, top.alias("top"), weight.alias("weight"), "mean")
-        .groupBy(*keys)
-        .agg(
-            F.max("top").alias("top"),
-            F.sum("weight").alias("mass"),
-            (F.sum(F.col("weight") * F.col("mean")) / F.sum("weight")).alias("mean"),
-        )
+def _plus(a: Column, b: Column, vector: bool) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y) if vector else a + b
+
+
+def _times(a: Column, factor: Column, vector: bool) -> Column:
+    return F.transform(a, lambda x: x * factor) if vector else a * factor
+
+
+def merged_records(records: DataFrame, keys: list[str], bound: float) -> DataFrame:
+    """``keys…, top, mass, mean`` of all records with equal keys; ``mean`` is a number or an array.
+
+    ``bound`` is the largest size a logit can have (:func:`kernels.logit_bound`).
+    """
+    plain, vector = bound <= PLAIN_LOGIT, _is_array(records, "mean")
+    weight = F.col("mass") * F.exp(F.col("top") - F.col("_range") * RANGE)
+    if vector:
+        # A record whose weight is zero adds nothing.
+        mean = vector_to_array(Summarizer.mean(array_to_vector("mean"), F.col("_weight")))
+    else:
+        mean = F.sum(F.col("_weight") * F.col("mean")) / F.sum("_weight")
+    placed = records.withColumn("_range", _range_of(F.col("top"), plain)).withColumn("_weight", weight)
+    summed = placed.groupBy(*keys, *([] if plain else ["_range"])).agg(
+        F.max("top").alias("top"), F.sum("_weight").alias("_weight"), mean.alias("mean")
     )
+    if plain:
+        return summed.select(*keys, "top", (F.col("_weight") * F.exp(-F.col("top"))).alias("mass"), "mean")
+    # At most 2 * bound / RANGE + 1 ranges of a bag meet here.
+    each = F.collect_list(F.struct("_range", "_weight", "mean"))
+    listed = summed.groupBy(*keys).agg(F.max("top").alias("top"), F.max("_range").alias("_highest"), each.alias("_each"))
+    none = F.transform(F.col("_each")[0]["mean"], lambda _: F.lit(0.0)) if vector else F.lit(0.0)
+
+    def weighed(r: Column) -> Column:
+        return r["_weight"] * F.exp((r["_range"] - F.col("_highest")) * RANGE)
+
+    total = F.aggregate("_each", none, lambda acc, r: _plus(acc, _times(r["mean"], weighed(r), vector), vector))
+    mass = F.aggregate("_each", F.lit(0.0), lambda acc, r: acc + weighed(r))
+    lifted = F.exp(F.col("_highest") * RANGE - F.col("top"))
+    merged = listed.select(*keys, "top", mass.alias("_mass"), total.alias("_total"), lifted.alias("_lifted"))
+    return merged.select(*keys, "top", (F.col("_mass") * F.col("_lifted")).alias("mass"), _times(F.col("_total"), 1 / F.col("_mass"), vector).alias("mean"))
+
+
+def attention_pool(instances: DataFrame, model: AttentionModel) -> DataFrame:
+    """``bag_id, top, mass, pooled``: the attention-weighted mean embedding of each bag."""
+    merged = merged_records(bag_partials(instances, model), ["bag_id"], kernels.logit_bound(model))
+    return merged.withColumnRenamed("mean", "pooled")
 
 
 def _dot(array: Column, weights: np.ndarray) -> Column:
@@ -204,7 +232,8 @@ def score_bags(instances: DataFrame, model: AttentionModel, at: float = 0.5) ->
         logit = _dot(F.col("pooled"), model.cls_w) + F.lit(float(model.cls_b[0]))
         scored = gated_attention_pool(instances, model).select("bag_id", logit.alias("logit"))
     else:
-        merged = merged_means(bag_partials(instances, model, vectors=False), ["bag_id"])
+        records = bag_partials(instances, model, vectors=False)
+        merged = merged_records(records, ["bag_id"], kernels.logit_bound(model))
         scored = merged.select("bag_id", "top", "mass", F.col("mean").alias("logit"))
     return scored.withColumn("p", sigmoid(F.col("logit"))).withColumn("pred", threshold("p", at))
 
@@ -234,15 +263,20 @@ def score_with_attention(instances: DataFrame, model: AttentionModel, at: float
     return bags, attention_weights(instances, model, bags)
 
 
+def unit_partials(model: GatedAttentionModel, x: np.ndarray, source: pa.Table | pa.RecordBatch, keys: list[str]) -> pa.Table:
+    """Records of the rows' bags under a gated scorer."""
+    hidden = kernels.embed(model, x)
+    logits = kernels.gated_attention(model, hidden)
+    return folded_table(source, keys, logits, np.ones_like(logits), hidden)
+
+
 def gated_partials(instances: DataFrame, model: GatedAttentionModel) -> DataFrame:
     """Records ``bag_id, top, mass, mean``, each an array over hidden units."""
     vector = T.ArrayType(T.DoubleType())
     schema = T.StructType([instances.schema["bag_id"], *[T.StructField(n, vector) for n in ("top", "mass", "mean")]])
 
     def to_partial(batch: pa.RecordBatch) -> pa.Table:
-        hidden = kernels.embed(model, kernels.feature_matrix(batch.column("features")))
-        logits = kernels.gated_attention(model, hidden)
-        return folded_table(batch, ["bag_id"], logits, np.ones_like(logits), hidden)
+        return unit_partials(model, kernels.feature_matrix(batch.column("features")), batch, ["bag_id"])
 
     def run(batches):
         return fold_batches(batches, to_partial, ["bag_id"])
@@ -250,21 +284,58 @@ def gated_partials(instances: DataFrame, model: GatedAttentionModel) -> DataFram
     return instances.select("bag_id", "features").mapInArrow(run, schema)
 
 
-def _gated_units(instances: DataFrame, model: GatedAttentionModel) -> DataFrame:
-    """``bag_id, tops, masses, pooled``: finished softmax sums per bag, one entry per hidden unit."""
-    records = gated_partials(instances, model).select(
-        "bag_id", F.posexplode(F.arrays_zip("top", "mass", "mean")).alias("unit", "r")
+def merged_units(records: DataFrame, keys: list[str], bound: float) -> DataFrame:
+    """``keys…, tops, masses, pooled``: finished softmax sums, arrays with one entry per hidden unit.
+
+    Records are added up as whole vectors. Each unit's mass is relative to its own entry of ``tops``.
+    """
+    plain, top, mass, mean = bound <= PLAIN_LOGIT, F.col("top"), F.col("mass"), F.col("mean")
+    # A record's units may fall into several ranges: it adds to each of them, with zeros for its other units.
+    ranges = F.array_distinct(F.transform(top, lambda t: _range_of(t, plain)))
+    placed = records.select(*keys, "top", "mass", "mean", F.explode(ranges).alias("_range"))
+    inside = F.zip_with(top, mass, lambda t, m: F.when(
+        _range_of(t, plain) == F.col("_range"), m * F.exp(t - F.col("_range") * RANGE)
+    ).otherwise(0.0))
+    weighed = placed.select(*keys, "_range", inside.alias("_weights"), "mean")
+    totals = F.zip_with("_weights", mean, lambda w, m: w * m)
+    sums = vector_to_array(Summarizer.sum(array_to_vector(F.concat("_weights", totals))))
+    summed = weighed.groupBy(*keys, "_range").agg(sums.alias("_sums"))
+    half = (F.size("_sums") / 2).cast("int")
+    units = F.zip_with(
+        F.slice("_sums", F.lit(1), half), F.slice("_sums", half + 1, half),
+        lambda w, t: F.struct(F.col("_range").alias("range"), w.alias("weight"), t.alias("total")),
     )
-    units = merged_means(records.select("bag_id", "unit", "r.*"), ["bag_id", "unit"])
-    # One entry per hidden unit of the model: a list of fixed length.
-    ordered = F.sort_array(F.collect_list(F.struct("unit", "top", "mass", "mean")))
-    return (
-        units.groupBy("bag_id")
-        .agg(ordered.alias("u"))
-        .select("bag_id", F.col("u.top").alias("tops"), F.col("u.mass").alias("masses"), F.col("u.mean").alias("pooled"))
+    if plain:
+        one = summed.select(*keys, units.alias("_units"))
+    else:
+        listed = summed.select(*keys, "_range", units.alias("_units")).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct("_range", "_units")), asc=False).alias("_each")
+        )
+
+        def under(a: Column, u: Column) -> Column:
+            """A unit's sums in its highest range, with those of a lower one added."""
+            factor = F.exp((u["range"] - a["range"]) * RANGE)
+            both = F.struct(
+                a["range"].alias("range"), (a["weight"] + u["weight"] * factor).alias("weight"), (a["total"] + u["total"] * factor).alias("total")
+            )
+            return F.when(a["weight"] == 0, u).otherwise(both)
+
+        rest = F.slice("_each", F.lit(2), F.size("_each"))
+        folded = F.aggregate(rest, F.col("_each")[0]["_units"], lambda acc, r: F.zip_with(acc, r["_units"], under))
+        one = listed.select(*keys, folded.alias("_units"))
+    unit = F.col("_units")
+    return one.select(
+        *keys,
+        F.transform(unit, lambda u: u["range"] * RANGE).alias("tops"),
+        F.transform(unit, lambda u: u["weight"]).alias("masses"),
+        F.transform(unit, lambda u: u["total"] / u["weight"]).alias("pooled"),
     )
 
 
+def _gated_units(instances: DataFrame, model: GatedAttentionModel) -> DataFrame:
+    return merged_units(gated_partials(instances, model), ["bag_id"], kernels.logit_bound(model))
+
+
 def gated_attention_pool(instances: DataFrame, model: GatedAttentionModel) -> DataFrame:
     """``bag_id, pooled`` with a softmax of its own for every hidden unit."""
     return _gated_units(instances, model).select("bag_id", "pooled")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if configured is None:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[[^-]*\])?$", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             configured = tempfile.mkdtemp(prefix="bagwise-")
         context.setCheckpointDir(configured)
@@ -39,6 +40,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a written table; nothing happens if there is none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

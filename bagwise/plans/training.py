@@ -14,7 +14,7 @@ Several models train in the same two passes: model ``f`` sees every bag whose ``
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,20 +22,20 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bagwise.functions import losses
 from bagwise.operators import kernels
 from bagwise.operators.bags import require_instances, require_unique
-from bagwise.operators.folds import shuffled_rank
+from bagwise.operators.folds import shuffled_rank, tile
 from bagwise.operators.metrics import auc, roc_curve
-from bagwise.operators.model import AttentionModel
-from bagwise.operators.pooling import _list_array, fold_batches, folded_table, key_codes, merged_means
+from bagwise.operators.model import AttentionModel, GatedAttentionModel
+from bagwise.operators.pooling import _dot, _list_array, fold_batches, folded_table, key_codes, merged_records, merged_units, unit_partials
 from bagwise.operators.prepare import feature_dim
 from bagwise.plans.lookup import BROADCAST_BYTES, ROW_OVERHEAD, lookup_join
-from bagwise.plans.scratch import discard, scratch_path, settle
+from bagwise.plans.scratch import children, discard, scratch_path, settle
 from bagwise.sources.store import bag_bucket, write_bucketed
 
 NO_FOLD = -1
@@ -50,8 +50,10 @@ ONE_PASS_RECORDS = 16
 LARGEST_BOUND = 300.0
 SCORES_PER_FLUSH = 1000
 MOST_BUCKETS = 1024
-# Batches up to this many bags may be chosen by a list of ids; rows of larger ones are written by batch.
+# Batches are fetched this many bags at a time, or one by one if they are larger.
 LISTED_BAGS = 1000
+# Bags that one scan of a batch names, but for further bags of its last folder.
+PRUNED_BAGS = 200
 
 
 @dataclass(frozen=True)
@@ -60,14 +62,19 @@ class TrainSettings:
 
     ``batch_bags=1`` takes one step per bag, bags in a new order every epoch. Larger batches average
     the gradient over their bags, ``None`` over all bags: fewer passes, but a different optimiser.
-    Batches are slices of the epoch's order at every size of the table. Rows of such steps are stored by bag first, unless they are read from a bag store already: then
-    ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
+    ``n_batches`` cuts the order into that many shares instead, whatever the number of bags. Batches are slices
+    of the epoch's order at every size of the table. Rows of such steps are stored by bag once, unless they are read
+    from a bag store already: then ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
+    ``gated`` draws a scorer with a softmax per hidden unit, whose steps take two passes at every batch size.
+    ``run_folder`` keeps every epoch's parameters, moments and scores under ``run_id``: the same call after an
+    interruption goes on behind the last complete epoch.
     """
 
     epochs: int = 10
     lr: float = 1e-3
     hidden: int = 128
     batch_bags: int | None = 1
+    n_batches: int | None = None
     loss: str = "bce"
     alpha: float = losses.FOCAL_ALPHA
     gamma: float = losses.FOCAL_GAMMA
@@ -78,8 +85,14 @@ class TrainSettings:
     cache: bool = True
     stored_buckets: int | None = None
     single: bool = False
+    gated: bool = False
+    run_folder: str | None = None
     budget: int = BROADCAST_BYTES
 
+    @property
+    def kind(self) -> type[AttentionModel]:
+        return GatedAttentionModel if self.gated else AttentionModel
+
     def loss_columns(self, logit: Column, label: Column) -> tuple[Column, Column]:
         """Loss and its slope at the logit."""
         if self.loss == "bce":
@@ -138,20 +151,34 @@ def training_roc(scores: DataFrame) -> DataFrame:
     return roc_curve(scores, ["run_id", "fold"])
 
 
+def is_gated(models: dict[int, AttentionModel]) -> bool:
+    kinds = {isinstance(m, GatedAttentionModel) for m in models.values()}
+    if len(kinds) != 1:
+        raise ValueError("plain and gated scorers do not train together")
+    return kinds.pop()
+
+
+# What a row needs to know of its bag for the gradient, by kind of scorer.
+SENT = {False: ("fold", "top", "mass", "logit", "slope"), True: ("fold", "ends", "pooled", "slope")}
+
+
 def bag_states(
     rows: DataFrame, models: dict[int, AttentionModel], *, held_out: bool = False
 ) -> DataFrame:
     """``fold, bag_id, label, top, mass, logit, p`` of each bag under each model that may see it.
 
     ``rows`` carry ``bag_id, label, fold, features``. Model ``f`` sees the bags outside fold ``f``,
-    or only those inside with ``held_out``.
+    or only those inside with ``held_out``. A gated scorer has arrays over its hidden units in place of
+    ``top, mass``: ``ends``, the logarithms of the summed exponentials, and ``pooled``.
     """
+    gated = is_gated(models)
+    kind = T.ArrayType(T.DoubleType()) if gated else T.DoubleType()
     schema = T.StructType(
         [
             T.StructField("model", T.IntegerType()),
             rows.schema["bag_id"],
             T.StructField("label", T.IntegerType()),
-            *[T.StructField(n, T.DoubleType()) for n in ("top", "mass", "mean")],
+            *[T.StructField(n, kind) for n in ("top", "mass", "mean")],
         ]
     )
     keys = ["model", "bag_id", "label"]
@@ -164,7 +191,6 @@ def bag_states(
             seen = np.flatnonzero((fold == f) if held_out else (fold != f) | (f == NO_FOLD))
             if not len(seen):
                 continue
-            s, unit = kernels.row_scores(model, x[seen])
             source = pa.table(
                 {
                     "model": pa.array(np.full(len(seen), f, dtype=np.int32)),
@@ -172,23 +198,36 @@ def bag_states(
                     "label": batch.column("label").take(pa.array(seen)),
                 }
             )
-            parts.append(folded_table(source, keys, s, np.ones(len(s)), unit))
+            if gated:
+                parts.append(unit_partials(model, x[seen], source, keys))
+            else:
+                s, unit = kernels.row_scores(model, x[seen])
+                parts.append(folded_table(source, keys, s, np.ones(len(s)), unit))
         return pa.concat_tables(parts) if parts else schema_table
 
-    names = {"model": pa.int32(), "top": pa.float64(), "mass": pa.float64(), "mean": pa.float64()}
+    number = pa.list_(pa.float64()) if gated else pa.float64()
+    names = {"model": pa.int32(), "top": number, "mass": number, "mean": number}
     schema_table = pa.table({n: pa.array([], type=t) for n, t in names.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fold_batches(batches, to_partial, keys)
 
     records = rows.select("bag_id", "label", "fold", "features").mapInArrow(run, schema)
-    merged = merged_means(records, keys)
-    return merged.withColumnsRenamed({"mean": "logit", "model": "fold"}).withColumn("p", losses.sigmoid(F.col("logit")))
+    bound = max(kernels.logit_bound(m) for m in models.values())
+    if gated:
+        ends = F.zip_with("tops", "masses", lambda top, mass: top + F.ln(mass)).alias("ends")
+        of = [F.when(F.col("model") == f, _dot(F.col("pooled"), m.cls_w) + F.lit(float(m.cls_b[0]))) for f, m in models.items()]
+        merged = merged_units(records, keys, bound).select(*keys, ends, "pooled", F.coalesce(*of).alias("logit"))
+    else:
+        merged = merged_records(records, keys, bound).withColumnRenamed("mean", "logit")
+    return merged.withColumnRenamed("model", "fold").withColumn("p", losses.sigmoid(F.col("logit")))
 
 
 def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionModel], state_bytes: int, budget: int) -> dict[int, np.ndarray]:
     """Summed loss gradient of each model over the rows' bags."""
-    sent = ("fold", "top", "mass", "logit", "slope")
+    gated = is_gated(models)
+    sent = SENT[gated]
+    gradient = kernels.gated_gradient if gated else kernels.pooled_gradient
     if len(models) == 1:
         per_bag = states.select("bag_id", *[F.array(n).alias(n) for n in sent])
     else:
@@ -197,6 +236,11 @@ def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionMo
         per_bag = states.groupBy("bag_id").agg(listed.alias("s")).select("bag_id", *[F.col(f"s.{n}").alias(n) for n in sent])
     joined = lookup_join(rows.select("bag_id", "features"), per_bag, ["bag_id"], "inner", budget=budget, table_bytes=state_bytes)
 
+    def values(column: pa.Array) -> np.ndarray:
+        """A number, or one row of numbers, for each entry of each row's list."""
+        flat = column.flatten()
+        return kernels.feature_matrix(flat) if pa.types.is_list(flat.type) else flat.to_numpy(zero_copy_only=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -205,14 +249,11 @@ def _gradients(rows: DataFrame, states: DataFrame, models: dict[int, AttentionMo
             x = kernels.feature_matrix(batch.column("features"))
             lists = batch.column("fold")
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            of = lists.flatten().to_numpy(zero_copy_only=False)
-            top, mass, logit, slope = (
-                batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("top", "mass", "logit", "slope")
-            )
+            of, *of_bag = (values(batch.column(n)) for n in sent)
             for f, model in models.items():
                 at = np.flatnonzero(of == f)
                 if len(at):
-                    g = kernels.pooled_gradient(model, x[owner[at]], top[at], mass[at], logit[at], slope[at])
+                    g = gradient(model, x[owner[at]], *(v[at] for v in of_bag))
                     sums[f] = sums[f] + g if f in sums else g
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -318,18 +359,23 @@ def train_models(
     bags = settle(bags.withColumn("bag_id", F.col("bag_id").cast(instances.schema["bag_id"].dataType)))
     require_unique(bags)
     rows = labelled_rows(instances, bags, settings.budget)
-    whole = settings.batch_bags is None
-    buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, bags.count()))
+    whole = settings.batch_bags is None and settings.n_batches is None
+    n_bags = bags.count()
+    size = None if whole else -(-n_bags // settings.n_batches) if settings.n_batches else settings.batch_bags
+    buckets = settings.stored_buckets or max(1, min(MOST_BUCKETS, n_bags))
+    models = dict(models)
+    optimisers = {f: Adam(settings.lr, settings.weight_decay) for f in models}
+    path = f"{settings.run_folder}/{settings.run_id}" if settings.run_folder else scratch_path(spark, f"train-{settings.run_id}")
+    done = resume(spark, path, models, optimisers, settings) if settings.run_folder else 0
     copy = None
-    if not whole and settings.stored_buckets is None:
+    if done >= settings.epochs:
+        pass
+    elif not whole and settings.stored_buckets is None:
         copy = scratch_path(spark, f"rows-{settings.run_id}")
         rows = _bucketed(rows.drop("bag_bucket"), copy, buckets)
     elif whole and settings.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    path = scratch_path(spark, f"train-{settings.run_id}")
-    models = dict(models)
-    optimisers = {f: Adam(settings.lr, settings.weight_decay) for f in models}
-    few = not whole and settings.batch_bags * len(models) <= ONE_PASS_RECORDS
+    few = not whole and size * len(models) <= ONE_PASS_RECORDS and not is_gated(models)
     scored = T.StructType(
         [
             T.StructField("fold", T.IntegerType()),
@@ -348,7 +394,7 @@ def train_models(
             held.clear()
 
     try:
-        for epoch in range(1, settings.epochs + 1):
+        for epoch in range(done + 1, settings.epochs + 1):
             batches = iter([rows]) if whole else _batches(rows, bags, buckets, epoch, settings)
             for step, some in enumerate(batches):
                 bounded = max(kernels.logit_bound(m) for m in models.values()) <= bound
@@ -366,6 +412,8 @@ def train_models(
             if epoch == 1:
                 seen = spark.read.option("recursiveFileLookup", True).schema(scored).parquet(f"{path}/epoch={epoch}")
                 require_instances(bags, seen)
+            if settings.run_folder:
+                save_epoch(spark, path, epoch, models, optimisers, settings)
     finally:
         if whole and settings.cache:
             rows.unpersist()
@@ -379,11 +427,56 @@ def train_models(
     return Trained(models, reduce(DataFrame.unionByName, of_epoch))
 
 
+# What may differ between a run and its continuation.
+FREE_SETTINGS = ("epochs", "cache", "stored_buckets", "run_folder", "budget")
+STATE = "epoch int, fold int, steps int, settings string, value array<double>, first array<double>, second array<double>"
+
+
+def _settings_said(settings: TrainSettings) -> str:
+    return repr({k: v for k, v in asdict(settings).items() if k not in FREE_SETTINGS})
+
+
+def save_epoch(
+    spark: SparkSession, path: str, epoch: int, models: dict[int, AttentionModel], optimisers: dict[int, Adam], settings: TrainSettings
+) -> None:
+    """Parameters and moments behind an epoch, a row per model. Complete once its ``_SUCCESS`` is there."""
+    rows = [
+        (epoch, f, o.steps, _settings_said(settings), m.flat().tolist(), o.first.tolist(), o.second.tolist())
+        for f, m in models.items()
+        for o in (optimisers[f],)
+    ]
+    folder = f"{path}/state-{epoch}"
+    discard(spark, folder)
+    spark.createDataFrame(rows, STATE).coalesce(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
+
+
+def resume(spark: SparkSession, path: str, models: dict[int, AttentionModel], optimisers: dict[int, Adam], settings: TrainSettings) -> int:
+    """Put models and optimisers into their state behind the last complete epoch, and say which one it is.
+
+    Scores of an epoch that was not completed are removed.
+    """
+    kept = [int(n[6:]) for n in children(spark, path) if n.startswith("state-") and "_SUCCESS" in children(spark, f"{path}/{n}")]
+    last = max((e for e in kept if e <= settings.epochs), default=0)
+    for name in children(spark, path):
+        if name.startswith("epoch=") and int(name[6:]) > max(kept, default=0):
+            discard(spark, f"{path}/{name}")
+    if last:
+        rows = spark.read.schema(STATE).parquet(f"{path}/state-{last}").collect()
+        if {r.fold for r in rows} != set(models) or {r.settings for r in rows} != {_settings_said(settings)}:
+            raise ValueError(f"run {settings.run_id!r} was begun with other models or settings")
+        for r in rows:
+            models[r.fold] = models[r.fold].with_flat(np.array(r.value))
+            optimisers[r.fold].steps = r.steps
+            optimisers[r.fold].first, optimisers[r.fold].second = np.array(r.first), np.array(r.second)
+    return last
+
+
 def _totals(states: DataFrame) -> tuple[dict[int, int], int]:
     """Bags per model, and the size the states have once broadcast; one row per model."""
     kind = states.schema["bag_id"].dataType
     key = F.octet_length("bag_id") + 16 if isinstance(kind, T.StringType) else F.lit(8)
-    size = F.sum((key + ROW_OVERHEAD + 5 * 16).cast("long")).alias("size")
+    arrays = [F.size(f.name) * 8 + 32 for f in states.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    size = F.sum(sum(arrays, key + ROW_OVERHEAD + 5 * 16).cast("long")).alias("size")
     rows = states.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), size).collect()
     return {r.fold: r.n for r in rows}, sum(r["size"] for r in rows)
 
@@ -398,47 +491,65 @@ def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
 def _batches(
     rows: DataFrame, bags: DataFrame, buckets: int, epoch: int, settings: TrainSettings
 ) -> Iterator[DataFrame]:
-    """The stored rows of each batch of bags: slices of the epoch's order, whatever the sizes.
+    """The stored rows of each batch of bags: slices of the epoch's order, read where they are.
 
-    Small batches are filters on folders and ids. Where a batch would touch most folders, the rows are
-    written once for the epoch, by batch. Either way an epoch reads each row about once.
+    A batch names its folders and ids. Rows are sorted by bag within their files, so the smallest and
+    largest ids that Parquet keeps of every page are an index from bags to pages: a scan reads the
+    footers of its folders and the pages that may hold its bags. An epoch so reads each row about once
+    and writes none.
     """
     n, size = bags.count(), settings.batch_bags
-    batch = F.floor((F.col("rank") - 1) / size).alias("batch")
     ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
-    ranked = settle(ranked.select("bag_id", batch, bag_bucket("bag_id", buckets).alias("bag_bucket")))
-    n_batches = -(-n // size)
-    if size > LISTED_BAGS or (n > buckets and size * buckets >= n):
-        folder = scratch_path(rows.sparkSession, f"epoch-{settings.run_id}")
-        try:
-            of = ranked.select("bag_id", "batch")
-            numbered = lookup_join(rows, of, ["bag_id"], "inner", budget=settings.budget)
-            numbered.hint("rebalance", "batch").write.partitionBy("batch").parquet(folder)
-            written = rows.sparkSession.read.schema(numbered.schema).parquet(folder)
-            for number in range(n_batches):
-                yield written.where(F.col("batch") == number)
-        finally:
-            discard(rows.sparkSession, folder)
-        return
-    # Ids of a few batches at a time, for the scan to prune folders and row groups by.
-    at_once = LISTED_BAGS // size
+    if settings.n_batches:
+        if not 1 <= settings.n_batches <= n:
+            raise ValueError(f"cannot cut {n} bags into {settings.n_batches} batches")
+        batch, size = tile(F.col("rank"), F.lit(n), settings.n_batches), -(-n // settings.n_batches)
+        n_batches = settings.n_batches
+    else:
+        batch, n_batches = F.floor((F.col("rank") - 1) / size), -(-n // size)
+    ranked = settle(ranked.select("bag_id", batch.alias("batch"), bag_bucket("bag_id", buckets).alias("bag_bucket")))
+    # Ids of a few batches at a time; a large batch comes as ids alone, a few numbers a bag.
+    at_once = max(1, LISTED_BAGS // size)
     for start in range(0, n_batches, at_once):
         listed = ranked.where(F.col("batch").between(start, start + at_once - 1)).collect()
         for number in range(start, min(start + at_once, n_batches)):
-            chosen = [r for r in listed if r.batch == number]
-            ids, folders = [r.bag_id for r in chosen], sorted({r.bag_bucket for r in chosen})
-            yield rows.where(F.col("bag_bucket").isin(folders) & F.col("bag_id").isin(ids))
+            yield in_place(rows, [(r.bag_bucket, r.bag_id) for r in listed if r.batch == number])
+
+
+def in_place(rows: DataFrame, chosen: list[tuple]) -> DataFrame:
+    """The stored rows of the chosen (bucket, bag) pairs.
+
+    Each folder is in one scan, and each scan has few enough ids to compare every one with a page's ends.
+    """
+    chosen = sorted(chosen, key=lambda c: c[0])
+    scans, at = [], 0
+    while at < len(chosen):
+        end = min(at + PRUNED_BAGS, len(chosen))
+        while end < len(chosen) and chosen[end][0] == chosen[end - 1][0]:
+            end += 1  # the rest of the folder
+        part = chosen[at:end]
+        folders, ids = sorted({b for b, _ in part}), [i for _, i in part]
+        scans.append(rows.where(F.col("bag_bucket").isin(folders) & any_of([F.col("bag_id") == F.lit(i) for i in ids])))
+        at = end
+    return reduce(DataFrame.union, scans)
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """Their disjunction, as a tree of small depth: unlike a long list of values, it reaches the pages' ends as it is."""
+    while len(conditions) > 1:
+        conditions = [reduce(Column.__or__, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
 
 
 def train_attention(
     instances: DataFrame, bags: DataFrame, settings: TrainSettings = TrainSettings(), model: AttentionModel | None = None
 ) -> Trained:
-    """Train one scorer on all bags, from seeded random parameters unless given."""
+    """Train one scorer, plain or gated, on all bags, from seeded random parameters unless given."""
     if model is None:
-        model = AttentionModel.random(feature_dim(instances), settings.hidden, settings.seed)
+        model = settings.kind.random(feature_dim(instances), settings.hidden, settings.seed)
     return train_models(instances, bags.select("bag_id", "label"), {NO_FOLD: model}, settings)
 
 
 def fold_models(dim: int, folds: Sequence[int], settings: TrainSettings) -> dict[int, AttentionModel]:
     """A fresh model per fold, each from its own seed."""
-    return {f: AttentionModel.random(dim, settings.hidden, settings.seed + 1 + f) for f in folds}
+    return {f: settings.kind.random(dim, settings.hidden, settings.seed + 1 + f) for f in folds}

@@ -4,12 +4,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import auc as plain_auc
-from helpers import forward, instances, random_bags
+from helpers import forward, gated_forward, instances, random_bags
 from pyspark.sql import functions as F
 
 from bagwise.catalogue import fixtures
 from bagwise.operators import kernels
-from bagwise.operators.model import AttentionModel
+from bagwise.operators.model import AttentionModel, GatedAttentionModel
 from bagwise.plans import training
 from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate
@@ -204,3 +204,112 @@ def test_settings_are_checked(spark, bags):
         train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(epochs=0, hidden=2))
     with pytest.raises(Exception, match="takes 2 features"):
         train_attention(instances(spark, bags), labels_frame(spark), TrainSettings(), AttentionModel.random(2, 2))
+
+
+def gated_loss(values, model, bags, kind="bce"):
+    total = 0.0
+    for bag, x in bags.items():
+        p = gated_forward(model.with_flat(values), x)[0]
+        q = p if LABELS[bag] else 1 - p
+        total += -np.log(q) if kind == "bce" else -0.25 * (1 - q) ** 2 * np.log(q)
+    return total / len(bags)
+
+
+@pytest.mark.parametrize("kind", ["bce", "focal"])
+@pytest.mark.parametrize("steep", [1, 4000])
+def test_gated_gradients(spark, bags, kind, steep, tmp_path):
+    """Against finite differences, also where logits need several ranges."""
+    drawn = GatedAttentionModel.random(3, 4, seed=5)
+    model = drawn if steep == 1 else GatedAttentionModel(**{**drawn.arrays(), "att_b": drawn.att_b + np.array([0, 900.0, -900.0, 0])})
+    rows = training.labelled_rows(instances(spark, bags), labels_frame(spark)).repartition(5).cache()
+    at, step = model.flat(), 1e-5
+    eye = np.eye(at.size) * step
+    expected = np.array([(gated_loss(at + e, model, bags, kind) - gated_loss(at - e, model, bags, kind)) / (2 * step) for e in eye])
+    for n, budget in enumerate((64 << 20, -1)):
+        found = training._two_pass_step(rows, {NO_FOLD: model}, TrainSettings(loss=kind, budget=budget), str(tmp_path / f"{kind}{n}"))
+        np.testing.assert_allclose(found[NO_FOLD], expected, atol=1e-7)
+
+
+def test_gated_training_over_batches_and_folds(spark, bags):
+    rows, labels = instances(spark, bags), labels_frame(spark)
+    settings = TrainSettings(epochs=2, hidden=4, lr=0.05, batch_bags=4, gated=True)
+    trained = train_attention(rows, labels, settings)
+    assert isinstance(trained.model, GatedAttentionModel) and trained.scores.count() == 12
+    losses = {r.epoch: r.loss for r in training_history(trained.scores).collect()}
+    assert losses[2] < losses[1]
+    result = cross_validate(rows, labels, replace(settings, batch_bags=None), k=3)
+    held_out = {r.bag_id: (r.fold, r.p) for r in result.scores.collect()}
+    for bag, x in bags.items():
+        fold, p = held_out[bag]
+        assert p == pytest.approx(gated_forward(result.trained.models[fold], x)[0])
+    with pytest.raises(ValueError, match="together"):
+        training.is_gated({0: trained.model, 1: AttentionModel.random(3, 4)})
+
+
+@pytest.mark.parametrize("options", [{"batch_bags": 1}, {"batch_bags": None}, {"n_batches": 4, "gated": True}])
+def test_a_stopped_run_goes_on_as_if_unbroken(spark, bags, tmp_path, monkeypatch, options):
+    rows, labels = instances(spark, bags), labels_frame(spark)
+    settings = TrainSettings(epochs=3, hidden=4, lr=0.02, weight_decay=1e-3, **options)
+    whole = train_attention(rows, labels, settings)
+    kept = replace(settings, run_folder=str(tmp_path / "runs"))
+    taken, after = [], training.Adam.step
+
+    def failing(self, values, gradient):
+        taken.append(1)
+        if len(taken) == stop:
+            raise RuntimeError("executor pool gone")
+        return after(self, values, gradient)
+
+    steps = {1: 6, None: 1}.get(settings.batch_bags if settings.n_batches is None else 4, 4)
+    stop = 2 * steps + max(1, steps // 2)  # within the third epoch
+    monkeypatch.setattr(training.Adam, "step", failing)
+    with pytest.raises(RuntimeError):
+        train_attention(rows, labels, kept)
+    monkeypatch.setattr(training.Adam, "step", after)
+    again = train_attention(rows, labels, kept)
+    np.testing.assert_allclose(again.model.flat(), whole.model.flat(), rtol=1e-9, atol=1e-12)
+    score = lambda t: {(r.epoch, r.bag_id): r.p for r in t.scores.collect()}
+    assert score(again) == pytest.approx(score(whole)) and again.scores.count() == 18
+    # A finished run is read back; a longer one goes on from its end; another one is refused.
+    assert score(train_attention(rows, labels, kept)) == score(again)
+    assert train_attention(rows, labels, replace(kept, epochs=4)).scores.count() == 24
+    with pytest.raises(ValueError, match="other models or settings"):
+        train_attention(rows, labels, replace(kept, lr=0.5))
+
+
+def scanned_rows(df) -> int:
+    """Rows that came out of the file scans of an executed frame."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    plans = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(p.metrics().get("numOutputRows").get().value() for p in plans)
+
+
+def test_batches_read_their_bags_in_place(spark, tmp_path, monkeypatch):
+    """Ten epochs of random batches write no rows, and a batch reads the pages of its bags only."""
+    n, each = 20, 30_000
+    rows = spark.range(n * each).select(
+        (F.col("id") % n).alias("bag_id"), F.array(F.rand(1), F.rand(2)).alias("features"), F.lit(1).alias("label"), F.lit(NO_FOLD).alias("fold")
+    )
+    stored = training._bucketed(rows, str(tmp_path / "rows"), 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bags = spark.range(n).select(F.col("id").alias("bag_id"), (F.col("id") % 2).cast("int").alias("label")).cache()
+        monkeypatch.setattr(training, "PRUNED_BAGS", 3)
+        written = []
+        monkeypatch.setattr(training, "write_bucketed", lambda *a, **k: written.append(a))
+        for epoch in range(1, 11):
+            seen = []
+            for batch in training._batches(stored, bags, 2, epoch, TrainSettings(n_batches=5)):
+                found = batch.select("bag_id")
+                ids = [r.bag_id for r in found.collect()]
+                seen += ids
+                if epoch == 1:
+                    assert len(ids) == 4 * each and scanned_rows(found) < 3 * len(ids)
+                else:
+                    break
+            assert epoch > 1 or sorted(seen) == sorted(i for i in range(n) for _ in range(each))
+        assert not written
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+        assert "Or(" in plan[plan.index("PushedFilters") :]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
