@@ -1,8 +1,8 @@
 """How far the sources of each language diverge in their terms, from in-mapper stripes.
 
 Each task folds whole documents into stripes: per language and term the number of documents that hold it
-and its count in every source. A task that holds many entries hands its stripes on and starts afresh.
-Stripes are merged by key, one at a time from sorted partitions, so a frequent term is one row per task.
+and its count in every source. After so many bytes of text a task hands its stripes on and starts afresh.
+Stripes are merged by key from sorted partitions as they stream by, so a frequent term is a few rows a task.
 
 Divergences come straight from the merged stripes. A pair of sources sums f over all kept terms, but most
 terms occur in few sources, so the sum is put together from what differs from "in neither": the terms of
@@ -12,13 +12,12 @@ inside tasks. All of it is integer arithmetic.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +25,14 @@ from bagwise.llm.common import lookup, table
 from bagwise.llm.line_dedup import LOWER, UPPER
 from bagwise.plans.scratch import stored
 
-#: Terms in lower-cased UTF-8: ASCII letters and everything beyond ASCII.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-BREAK = re.compile(rb"[^a-z\x80-\xff]")
-#: Bytes of a text that are cut into terms at a time.
-PIECE = 1 << 20
-#: (source, term) entries a task holds before it hands on its stripes; rows of a batch it returns.
-ENTRIES = 200_000
-BATCH = 20_000
-#: Sources whose pairs a task adds up in one table; a larger stripe is met half by half.
-SOURCES = 1024
+#: Bytes in lower case, with a space for each that is no ASCII letter and not beyond ASCII.
+TERM_BYTES = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
+#: Bytes of text after which a task hands its stripes on; rows it merges, and pairs it works out, at a time.
+UNIT = 24 << 20
+ROWS = 20_000
+PAIRS = 1 << 20
 STRIPE = "lang string, term string, docs long, sources array<string>, counts array<long>"
+STRIPE_NAMES = ["lang", "term", "docs", "sources", "counts"]
 
 
 @dataclass(frozen=True)
@@ -49,57 +45,75 @@ class AuditSettings:
     top: int = 10
 
 
-def terms_of(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a whole text in order, in lists of bounded size."""
-    low, at = text.lower(), 0
-    while at < len(low):
-        found = BREAK.search(low, at + PIECE)
-        end = found.start() if found else len(low)
-        yield TERM.findall(low, at, end)
-        at = end
-
-
-class Stripes:
-    """Document frequency and counts by source of the terms of each language."""
-
-    def __init__(self):
-        self.docs: dict[bytes, Counter] = {}
-        self.counts: dict[bytes, dict[bytes, Counter]] = {}
-        self.entries = 0
-
-    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        of = self.counts.setdefault(lang, {}).setdefault(source, Counter())
-        before, seen = len(of), set()
-        for terms in terms_of(text):
-            of.update(terms)
-            seen.update(terms)
-        self.docs.setdefault(lang, Counter()).update(seen)
-        self.entries += len(of) - before
-
-    def rows(self) -> Iterator[tuple]:
-        for lang, docs in self.docs.items():
-            stripes = {term: ([], []) for term in docs}
-            for source, counts in self.counts[lang].items():
-                for term, n in counts.items():
-                    stripes[term][0].append(source)
-                    stripes[term][1].append(n)
-            for term, (sources, counts) in stripes.items():
-                yield lang, term, docs[term], sources, counts
-
-
-def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-
-
-STRIPE_TYPES = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-STRIPE_NAMES = ["lang", "term", "docs", "sources", "counts"]
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    changes = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(np.r_[True, changes])
+
+
+def _lists(values: pa.Array, starts: np.ndarray, total: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, total].astype(np.int32)), values)
+
+
+def stripes_of(langs: list[str], sources: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    """The stripes of some documents."""
+    lists = pc.ascii_split_whitespace(pa.array([t.translate(TERM_BYTES).strip() for t in texts], pa.string()))
+    terms = lists.flatten().dictionary_encode()
+    term = terms.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if len(terms.dictionary):
+        some = pc.binary_length(terms.dictionary).to_numpy() > 0  # a text without terms is one empty one
+        term, doc = term[some[term]], doc[some[term]]
+    # Groups are numbered by language first, so those of a language are neighbours.
+    groups = sorted(set(zip(langs, sources)))
+    number = {g: i for i, g in enumerate(groups)}
+    group = np.array([number[g] for g in zip(langs, sources)], np.int64)
+    lang_of = np.unique([lang for lang, _ in groups], return_inverse=True)[1]
+    # A count for every term of a document, then sums for every term of a group.
+    width = len(terms.dictionary)
+    pairs, counts = np.unique(doc * width + term, return_counts=True)
+    key = pairs % max(width, 1) * len(groups) + group[pairs // max(width, 1)]
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[order]
+    at = runs(key)
+    entries, docs = key[at], np.diff(np.r_[at, len(key)])
+    counts = np.add.reduceat(counts, at) if len(at) else counts
+    term, of = entries // len(groups), entries % len(groups)
+    stripe = runs(term, lang_of[of])
+    docs = np.add.reduceat(docs, stripe) if len(stripe) else docs
+    names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
+    columns = [
+        names[0].take(pa.array(of[stripe])),
+        terms.dictionary.take(pa.array(term[stripe])),
+        pa.array(docs, pa.int64()),
+        _lists(names[1].take(pa.array(of)), stripe, len(of)),
+        _lists(pa.array(counts, pa.int64()), stripe, len(of)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, STRIPE_NAMES)
+
+
+def merge_stripes(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """One stripe for each run of rows; ``starts`` says where runs begin."""
+    lists, counts = rows.column("sources"), rows.column("counts").flatten().to_numpy()
+    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, rows.num_rows]))
+    entry = np.repeat(run, np.diff(lists.offsets.to_numpy()))
+    sources = lists.flatten().dictionary_encode()
+    key = entry * len(sources.dictionary) + sources.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = runs(key)
+    entry = key[at] // max(len(sources.dictionary), 1)
+    first = np.searchsorted(entry, np.arange(len(starts)))
+    columns = [
+        rows.column("lang").take(pa.array(starts)),
+        rows.column("term").take(pa.array(starts)),
+        pa.array(np.add.reduceat(rows.column("docs").to_numpy(), starts) if len(starts) else [], pa.int64()),
+        _lists(sources.dictionary.take(pa.array(key[at] % max(len(sources.dictionary), 1))), first, len(at)),
+        _lists(pa.array(np.add.reduceat(counts[order], at) if len(at) else [], pa.int64()), first, len(at)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, STRIPE_NAMES)
 
 
 def _sources(docs: DataFrame) -> list[Column]:
@@ -110,39 +124,51 @@ def task_stripes(docs: DataFrame) -> DataFrame:
     """Stripes of each task's documents; a term comes once per task and handing-on."""
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = Stripes()
+        held, size = ([], [], []), 0
         for batch in batches:
-            columns = [batch.column(c).cast(pa.binary()) for c in ("lang", "source", "text")]
-            for at in range(batch.num_rows):
-                stripes.add(*(c[at].as_py() for c in columns))
-                if stripes.entries > ENTRIES:
-                    yield from _batches(stripes.rows(), STRIPE_TYPES, STRIPE_NAMES)
-                    stripes = Stripes()
-        yield from _batches(stripes.rows(), STRIPE_TYPES, STRIPE_NAMES)
+            texts = batch.column("text").cast(pa.binary())
+            langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
+            for lang, source, text in zip(langs, sources, texts):
+                for values, value in zip(held, (lang, source, text.as_py())):
+                    values.append(value)
+                size += len(held[2][-1])
+                if size >= UNIT:
+                    yield stripes_of(*held)
+                    held, size = ([], [], []), 0
+        if held[0]:
+            yield stripes_of(*held)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     return docs.select(*_sources(docs), text).mapInArrow(folded, STRIPE)
 
 
 def merged_stripes(parts: DataFrame, settings: AuditSettings) -> DataFrame:
-    """One stripe per kept term of a language. A task holds one stripe at a time."""
+    """One stripe per kept term of a language. A task holds a batch of rows, and of a longer run one row."""
+
+    def kept(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+        ends = np.r_[starts[1:], rows.num_rows]
+        some = docs >= settings.least_docs
+        lengths = (ends - starts)[some]
+        inside = np.repeat(starts[some] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        return merge_stripes(rows.take(pa.array(inside)), np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)[: some.sum()])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            key, docs, counts = None, 0, {}
-            for batch in batches:
-                for lang, term, n, sources, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (lang, term) != key:
-                        if docs >= settings.least_docs:
-                            yield *key, docs, list(counts), list(counts.values())
-                        key, docs, counts = (lang, term), 0, {}
-                    docs += n
-                    for source, count in zip(sources, ns):
-                        counts[source] = counts.get(source, 0) + count
-            if docs >= settings.least_docs:
-                yield *key, docs, list(counts), list(counts.values())
-
-        yield from _batches(rows(), STRIPE_TYPES, STRIPE_NAMES)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            codes = [rows.column(c).dictionary_encode().indices.to_numpy() for c in ("lang", "term")]
+            starts = runs(*codes)
+            last = int(starts[-1])
+            if last:
+                yield kept(rows.slice(0, last), starts[:-1])
+            held = rows.slice(last)
+            if held.num_rows > ROWS:
+                held = merge_stripes(held, np.zeros(1, np.int64))
+        if held is not None:
+            yield kept(held, np.zeros(1, np.int64))
 
     return parts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merged, STRIPE)
 
@@ -163,61 +189,71 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-class PairTable:
-    """Sums over pairs of sources, for as many sources as fit; sources are numbered as they come."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.sums = np.zeros((2 * SOURCES, 2 * SOURCES), np.int64)
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    at = runs(keys)
+    return keys[at], np.add.reduceat(values, at) if len(at) else values
 
-    def fits(self, sources: list[str]) -> bool:
-        return len(self.number) + sum(s not in self.number for s in sources) <= len(self.sums)
 
-    def add(self, sources: list[str], values: np.ndarray) -> None:
-        at = np.array([self.number.setdefault(s, len(self.number)) for s in sources])
-        self.sums[np.ix_(at, at)] += values
+def pair_parts(lengths: np.ndarray, number: np.ndarray, p: np.ndarray, z: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys ``number << 32 | number`` and values of all pairs within stripes, some pairs at a time.
 
-    def rows(self, lang: str) -> Iterator[tuple]:
-        names = list(self.number)
-        for a, b in zip(*np.nonzero(self.sums)):
-            yield lang, names[a], names[b], int(self.sums[a, b])
+    Each entry meets the later ones of its stripe.
+    """
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    later = ends - np.arange(len(ends)) - 1
+    upto = np.cumsum(later)
+    at = 0
+    while at < len(ends):
+        done = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        n = later[at:stop]
+        a = np.repeat(np.arange(at, stop), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        value = _f(p[a], p[b]) - _f(p[a], z[b]) - _f(z[a], p[b]) + _f(z[a], z[b])
+        low, high = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
+        yield _summed(low << 32 | high, value)
+        at = stop
 
 
 def _both(stripes: DataFrame) -> DataFrame:
     """``lang, source, item, value``: what a term of both sources adds to their sums beyond either's own part.
 
     With p for the term's probability in a source and z for that of an absent term, it is
-    f(p, p') - f(p, z') - f(z, p') + f(z, z'). Tasks add it up by pair, both ways round.
+    f(p, p') - f(p, z') - f(z, p') + f(z, z'). Tasks add it up by pair and return both ways round.
     """
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            tables: dict[str, PairTable] = {}
-            for batch in batches:
-                for lang, entries in zip(batch.column("lang").to_pylist(), batch.column("entries").to_pylist()):
-                    halves = [entries[at : at + SOURCES] for at in range(0, len(entries), SOURCES)]
-                    for i, one in enumerate(halves):
-                        for other in halves[i:]:
-                            part = one if one is other else one + other
-                            names = [e["source"] for e in part]
-                            if lang not in tables or not tables[lang].fits(names):
-                                if lang in tables:
-                                    yield from tables[lang].rows(lang)
-                                elif len(tables) == 4:  # languages at a time
-                                    oldest = next(iter(tables))
-                                    yield from tables.pop(oldest).rows(oldest)
-                                tables[lang] = PairTable()
-                            p, z = (np.array([e[k] for e in part], np.int64) for k in ("p", "z"))
-                            value = _f(p[:, None], p) - _f(p[:, None], z) - _f(z[:, None], p) + _f(z[:, None], z)
-                            inside = np.arange(len(part)) < len(one)
-                            # A half has met itself in its own turn.
-                            value[inside[:, None] == inside] *= one is other
-                            np.fill_diagonal(value, 0)
-                            tables[lang].add(names, value)
-            for lang, pairs in tables.items():
-                yield from pairs.rows(lang)
-
-        yield from _batches(rows(), [pa.string()] * 3 + [pa.int64()], ["lang", "source", "item", "value"])
+        numbers: dict[tuple[str, str], int] = {}
+        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            names = list(numbers)
+            for at in range(0, len(keys), ROWS):
+                some = [(names[k >> 32], names[k & 0xFFFFFFFF], v) for k, v in zip(keys[at : at + ROWS].tolist(), values[at : at + ROWS].tolist())]
+                both = [(a[0], a[1], b[1], v) for a, b, v in some] + [(a[0], b[1], a[1], v) for a, b, v in some]
+                columns = [pa.array(c, t) for c, t in zip(zip(*both), [pa.string()] * 3 + [pa.int64()])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "value"])
+
+        for batch in batches:
+            entries = batch.column("entries")
+            flat, lengths = entries.flatten(), np.diff(entries.offsets.to_numpy())
+            langs = batch.column("lang").dictionary_encode()
+            sources = flat.field("source").dictionary_encode()
+            # Numbers for the (language, source) pairs that occur; a pair of codes is looked up once.
+            codes = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * max(len(sources.dictionary), 1) + sources.indices.to_numpy()
+            found, where = np.unique(codes, return_inverse=True)
+            of = [(langs.dictionary[int(c) // len(sources.dictionary)].as_py(), sources.dictionary[int(c) % len(sources.dictionary)].as_py()) for c in found]
+            number = np.array([numbers.setdefault(g, len(numbers)) for g in of], np.int64)[where]
+            p, z = (flat.field(c).to_numpy() for c in ("p", "z"))
+            for k, v in pair_parts(lengths, number, p, z):
+                keys, values = _summed(np.r_[keys, k], np.r_[values, v])
+                if len(keys) > PAIRS:
+                    yield from rows()
+                    keys, values = keys[:0], values[:0]
+        if len(keys):
+            yield from rows()
 
     return stripes.select("lang", "entries").mapInArrow(met, "lang string, source string, item string, value long")
 

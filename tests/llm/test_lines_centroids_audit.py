@@ -197,18 +197,23 @@ def test_audit(spark):
 
 
 def test_audit_with_small_bounds(spark, monkeypatch):
-    """Stripes handed on early, long texts cut, and stripes of more sources than one table takes."""
-    for name, value in (("PIECE", 16), ("ENTRIES", 7), ("BATCH", 3), ("SOURCES", 2)):
+    """Stripes handed on early, long runs of a key folded, few pairs at a time."""
+    for name, value in (("UNIT", 40), ("ROWS", 2), ("PAIRS", 3)):
         monkeypatch.setattr(source_audit, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     rows = audit_rows()
     s = source_audit.AuditSettings(least_docs=2)
-    assert sorted(map(tuple, source_audit.audited(made(spark, rows), s).collect())) == plain_audit(rows, s)
+    try:
+        assert sorted(map(tuple, source_audit.audited(made(spark, rows), s).collect())) == plain_audit(rows, s)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_terms_of_long_texts():
-    text = ("café " * 100 + "x" * 5000 + " ").encode()
-    found = [t for part in source_audit.terms_of(text * 300) for t in part]
-    assert found == ("café " * 100 + "x" * 5000 + " ").encode().split() * 300
+def test_stripes_of_long_texts():
+    text = "Café " * 100 + "x" * 5000 + "-1 "
+    rows = source_audit.stripes_of(["en", "de"], ["a", "b"], [text.encode() * 300, b" 12 "]).to_pylist()
+    assert [(r["term"], r["docs"], r["counts"]) for r in rows] == [("café", 1, [30000]), ("x" * 5000, 1, [300])]
+    assert source_audit.stripes_of(["en"], ["a"], [b""]).num_rows == 0
 
 
 @pytest.mark.parametrize("count", [0, 5, 10**15])
