@@ -28,7 +28,7 @@ from bagwise.plans.scratch import stored
 #: Bytes in lower case, with a space for each that is no ASCII letter and not beyond ASCII.
 TERM_BYTES = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
 #: Bytes of text after which a task hands its stripes on; rows it merges, and pairs it works out, at a time.
-UNIT = 24 << 20
+UNIT = 12 << 20
 ROWS = 20_000
 PAIRS = 1 << 20
 STRIPE = "lang string, term string, docs long, sources array<string>, counts array<long>"
