@@ -87,9 +87,12 @@ def length_bin(value: Column) -> Column:
     return F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string"))
 
 
-def line_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines in the shape of fragment rows; the supplier is the sample."""
-    return table(spark, folder, "lineitem").select(
+def line_fragments(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
+    """Order lines in the shape of fragment rows; the supplier is the sample.
+
+    ``wide`` rows have all ten columns and an eleventh, and cells here and there that cannot be read.
+    """
+    rows = table(spark, folder, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey"), F.lit("raw")).alias("sample_name"),
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("chromosome"),
         F.unix_date(F.lit("1992-01-01").cast("date")).cast("long").alias("frag_start"),
@@ -99,7 +102,18 @@ def line_fragments(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_linestatus").alias("in5p"),
         F.col("l_discount").cast("string").alias("gc_content"),
         F.col("l_tax").cast("string").alias("gc_weight"),
+        *([F.col(c) for c in ("l_orderkey", "l_linenumber", "l_quantity")] if wide else []),
     )
+    if not wide:
+        return rows
+    seventh = F.col("l_orderkey") % 7
+    spoilt = {
+        "frag_end": F.when(seventh == 0, "1e3").when(seventh == 1, "").otherwise(F.col("frag_end").cast("string")),
+        "gc_content": F.when(seventh == 2, "NaN").when(seventh == 3, " ").otherwise(F.col("gc_content")),
+        "gc_weight": F.when(seventh == 4, "-Infinity").when(seventh == 5, "x").otherwise(F.concat(F.lit(" "), "gc_weight")),
+    }
+    full = {"is_shifted": F.lit("0"), "cnv_weight": F.col("l_linenumber").cast("string"), "further": F.col("l_quantity").cast("string")}
+    return rows.withColumns({**spoilt, **full}).drop("l_orderkey", "l_linenumber", "l_quantity")
 
 
 def line_signatures(fragments: DataFrame, token: str) -> DataFrame:
@@ -146,10 +160,10 @@ def sample_of_folder(path: Column) -> Column:
     return F.split_part(folder, F.lit("_"), F.lit(1))
 
 
-def write_line_files(spark: SparkSession, folder: str) -> dict[str, str]:
+def write_line_files(spark: SparkSession, folder: str, wide: bool = False) -> dict[str, str]:
     """The order lines as the engine's text inputs, written to the scratch folder."""
     root = scratch_path(spark, "line-files")
-    fragments = line_fragments(spark, folder)
+    fragments = line_fragments(spark, folder, wide)
     file = F.concat(F.col("sample_name"), F.lit(FILE_SUFFIX))
     (
         fragments.withColumn("file", file)

@@ -310,6 +310,14 @@ frag AS (
          CAST(floor(l_quantity / 10) * 10 AS INTEGER) || '-' || (CAST(floor(l_quantity / 10) * 10 AS INTEGER) + 9) AS length_bin,
          l_returnflag AS out5p, l_linestatus AS in5p, l_discount AS gc_content, l_tax AS gc_weight
   FROM lineitem)"""
+#: The wide rows: what can be read of them, and which of seven kinds of damage a row has.
+WIDE = """
+wide AS (
+  SELECT 'S' || l_suppkey || 'raw' AS sample_name, l_orderkey % 7 AS seventh, l_returnflag AS out5p, l_linestatus AS in5p,
+         CAST(DATE '1992-01-01' - DATE '1970-01-01' AS BIGINT) AS frag_start,
+         CASE WHEN l_orderkey % 7 > 1 THEN CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) END AS ends,
+         CASE WHEN l_orderkey % 7 NOT IN (2, 3) THEN l_discount END AS gc, l_quantity AS further
+  FROM lineitem)"""
 
 
 def _signature(name: str, token: str) -> str:
@@ -510,9 +518,24 @@ LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 1000) ON s_suppkey = s.k"""
 scaled AS (SELECT sample_name, {', '.join(_scaled(c, 'sample_name') for c in SIGNATURE_FEATURES)} FROM signed)
 {_sums('scaled', SIGNATURE_FEATURES)}""",
         "frequency_path": f"""WITH {FRAGMENTS},
-enc AS (SELECT sample_name, gc_content, frag_end - frag_start AS fragment_length,
+enc AS (SELECT sample_name, gc_content, CAST(frag_end - frag_start AS DOUBLE) AS fragment_length,
                count(*) OVER (PARTITION BY sample_name, out5p) AS out5p_freq,
                count(*) OVER (PARTITION BY sample_name, in5p) AS in5p_freq FROM frag),
 scaled AS (SELECT sample_name, gc_content, {', '.join(_scaled(c, 'sample_name') for c in frequency[1:])} FROM enc)
 {_sums('scaled', frequency)}""",
+        "frequency_path_wide": f"""WITH {FRAGMENTS}, {WIDE},
+enc AS (SELECT sample_name, coalesce(gc, 0) AS gc_content, further AS c10, CAST(ends - frag_start AS DOUBLE) AS fragment_length,
+               count(*) OVER (PARTITION BY sample_name, out5p) AS out5p_freq,
+               count(*) OVER (PARTITION BY sample_name, in5p) AS in5p_freq FROM wide),
+scaled AS (SELECT sample_name, gc_content, c10, {', '.join(_scaled(c, 'sample_name') for c in frequency[1:])} FROM enc),
+filled AS (SELECT * REPLACE (coalesce(fragment_length, 0) AS fragment_length) FROM scaled)
+{_sums('filled', ['gc_content', 'c10', *frequency[1:]])}""",
+        "fragment_ids": f"""WITH {FRAGMENTS}
+SELECT sample_name, length_bin, out5p, in5p, count(*) AS n, count(*) AS n_ids FROM frag GROUP BY ALL""",
+        "cell_faults": f"""WITH {FRAGMENTS}, {WIDE},
+f AS (SELECT sample_name, count(*) FILTER (seventh = 0) AS ends, count(*) FILTER (seventh = 2) AS nan,
+             count(*) FILTER (seventh = 4) AS infinite, count(*) FILTER (seventh = 5) AS x FROM wide GROUP BY sample_name)
+SELECT sample_name, 'frag_end' AS "column", ends AS n_malformed, 0::BIGINT AS n_nan, 0::BIGINT AS n_infinite FROM f WHERE ends > 0
+UNION ALL SELECT sample_name, 'gc_content', 0, nan, 0 FROM f WHERE nan > 0
+UNION ALL SELECT sample_name, 'gc_weight', x, 0, infinite FROM f WHERE x + infinite > 0""",
     }

@@ -14,17 +14,19 @@ from bagwise.operators import folds, joins, metrics, pooling, prepare, reports,
 from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate as run_evaluation
 from bagwise.plans.evaluation import label_scores
-from bagwise.plans.instances import bags_of, frequency_instances, signature_features, signature_instances
+from bagwise.plans.instances import bags_of, frequency_features, frequency_instances, signature_features, signature_instances
 from bagwise.plans.scratch import scratch_path, settle, stored
 from bagwise.plans.training import TrainSettings, train_attention, training_history, training_roc
 from bagwise.sources import (
     load_model,
     read_bags,
+    read_fragment_cells,
     read_fragments,
     read_labels,
     read_manifest,
     read_signatures,
     save_model,
+    with_row_ids,
     write_bags,
 )
 
@@ -471,20 +473,39 @@ def _feature_sums(instances: DataFrame, names: list[str]) -> DataFrame:
     return round_all(instances.groupBy("bag_id").agg(F.count(F.lit(1)).alias("n"), *sums))
 
 
-def _scanned(spark, d):
-    files = fx.write_line_files(spark, d)
+def _paths(spark, files) -> list[str]:
+    """A manifest is a list of files; the rows in them stay on the executors."""
     manifest = read_manifest(spark, files["manifest"], "train")
-    # A manifest is a list of files; the rows in them stay on the executors.
-    paths = [r.path for r in manifest.select("path").collect()]
-    return files, paths, read_fragments(spark, paths, width=8, sample_of=fx.sample_of_folder)
+    return [r.path for r in manifest.select("path").collect()]
+
+
+def _scanned(spark, d, wide=False, **options):
+    files = fx.write_line_files(spark, d, wide)
+    return files, read_fragments(spark, _paths(spark, files), sample_of=fx.sample_of_folder, **options)
 
 
 @query
 def fragment_scan(spark, d):
-    _, _, rows = _scanned(spark, d)
+    _, rows = _scanned(spark, d, distinct_ids=False)
     return rows.drop("instance_id")
 
 
+@query
+def fragment_ids(spark, d):
+    """Lines without what tells them apart: equal rows of a supplier have as many ids as there are rows."""
+    lines = fx.line_fragments(spark, d).select("sample_name", "length_bin", "out5p", "in5p")
+    ids = with_row_ids(lines)
+    n = F.count(F.lit(1)).alias("n")
+    return ids.groupBy(*lines.columns).agg(n, F.countDistinct("instance_id").alias("n_ids"))
+
+
+@query
+def cell_faults(spark, d):
+    files = fx.write_line_files(spark, d, wide=True)
+    cells = read_fragment_cells(spark, _paths(spark, files), sample_of=fx.sample_of_folder)
+    return prepare.cell_faults(cells, ["gc_content", "gc_weight", "_c10"], ["frag_start", "frag_end"])
+
+
 @query
 def label_scan(spark, d):
     files = fx.write_line_files(spark, d)
@@ -495,19 +516,26 @@ def label_scan(spark, d):
 
 @query
 def signature_path(spark, d):
-    files, _, rows = _scanned(spark, d)
+    files, rows = _scanned(spark, d)
     tables = {t: read_signatures(spark, files[t]) for t in ("out5p", "in5p", "length_bin")}
     return _feature_sums(signature_instances(rows, tables), signature_features(rows, tables))
 
 
 @query
 def signature_path_scaled(spark, d):
-    files, _, rows = _scanned(spark, d)
+    files, rows = _scanned(spark, d)
     tables = {t: read_signatures(spark, files[t]) for t in ("out5p", "in5p", "length_bin")}
     return _feature_sums(signature_instances(rows, tables, scale=True), signature_features(rows, tables))
 
 
 @query
 def frequency_path(spark, d):
-    _, _, rows = _scanned(spark, d)
-    return _feature_sums(frequency_instances(rows), ["gc_content", "fragment_length", "out5p_freq", "in5p_freq"])
+    _, rows = _scanned(spark, d, distinct_ids=False)
+    return _feature_sums(frequency_instances(rows), frequency_features(rows))
+
+
+@query
+def frequency_path_wide(spark, d):
+    """Files with an eleventh column, which is a feature, and unreadable cells, which are 0."""
+    _, rows = _scanned(spark, d, wide=True, distinct_ids=False)
+    return _feature_sums(frequency_instances(rows), [n.strip("_") for n in frequency_features(rows)])

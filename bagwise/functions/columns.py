@@ -26,12 +26,13 @@ def extract_sample_id(c: Column | str) -> Column:
     return F.regexp_extract(_col(c), SAMPLE_ID_PATTERN, 1)
 
 
-def sample_from_path(path: Column | str) -> Column:
+def sample_from_path(path: Column | str, *, part_folders: bool = True) -> Column:
     """Base name of a path up to its first ``_``.
 
-    A sample may also be a folder of Spark part files; then the folder name counts.
+    A sample may also be a folder of Spark part files; then the folder name counts. Without
+    ``part_folders`` a file named like a part file is a sample of its own.
     """
-    whole = F.regexp_replace(_col(path), r"/part-[^/]*$", "")
+    whole = F.regexp_replace(_col(path), r"/part-[^/]*$", "") if part_folders else _col(path)
     return F.split_part(F.element_at(F.split(whole, "/"), -1), F.lit("_"), F.lit(1))
 
 
@@ -50,15 +51,48 @@ def binarise_label(tissue: Column | str) -> Column:
     return F.when(_col(tissue) == NEGATIVE_TISSUE, 0).otherwise(1)
 
 
+def _cell(c: Column | str) -> Column:
+    return F.nullif(F.trim(_col(c).cast("string")), F.lit(""))
+
+
+def _finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
 def clean_numeric(c: Column | str) -> Column:
-    """Text cell to double; null, blank and malformed cells become 0."""
-    return F.coalesce(F.nullif(F.trim(_col(c).cast("string")), F.lit("")).try_cast("double"), F.lit(0.0))
+    """Text cell to double; null, blank and malformed cells become 0, and so do NaN and infinities."""
+    value = _cell(c).try_cast("double")
+    return F.when(_finite(value), value).otherwise(0.0)
+
+
+def clean_position(c: Column | str) -> Column:
+    """Text cell to a whole number; null where it holds none."""
+    return _cell(c).try_cast("long")
+
+
+# What can be wrong with a cell that holds text.
+FAULTS = ("malformed", "nan", "infinite")
+
+
+def cell_fault(c: Column | str, *, whole: bool = False) -> Column:
+    """Which of :data:`FAULTS` a text cell has; null for a readable, blank or missing one.
+
+    A ``whole`` cell must hold an integer; another one may hold any finite number.
+    """
+    text = _cell(c)
+    if whole:
+        return F.when(text.isNotNull() & text.try_cast("long").isNull(), "malformed")
+    value = text.try_cast("double")
+    return (
+        F.when(text.isNotNull() & value.isNull(), "malformed")
+        .when(F.isnan(value), "nan")
+        .when(F.abs(value) == float("inf"), "infinite")
+    )
 
 
 def is_malformed(c: Column | str) -> Column:
     """True where a cell holds text that :func:`clean_numeric` had to replace."""
-    text = F.nullif(F.trim(_col(c).cast("string")), F.lit(""))
-    return text.isNotNull() & text.try_cast("double").isNull()
+    return cell_fault(c).isNotNull()
 
 
 def fragment_length(start: Column | str, end: Column | str) -> Column:

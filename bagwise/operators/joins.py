@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagwise.functions.columns import extract_sample_id
@@ -37,13 +37,16 @@ def join_signatures(
     suffixes: dict[str, str] = SIGNATURE_SUFFIXES,
     budget: int = BROADCAST_BYTES,
     warn_duplicates: bool = True,
+    copy: str | None = None,
 ) -> DataFrame:
     """Left-join one signature table per token column on (token, sample).
 
     ``tables`` maps a token column to its table (``Sample``, ``Motif``, likelihoods). Likelihood
-    columns get the token's suffix. Repeated keys multiply rows, with a warning.
+    columns get the token's suffix. Repeated keys multiply rows, with a warning. ``copy`` names a column
+    that tells the rows apart which came from one: null for an only one, else a hash of which rows of the
+    tables it met.
     """
-    keyed = {}
+    keyed, copies = {}, []
     for token, table in tables.items():
         names = signature_columns(table)
         wide = suffix_columns(table.select(*[F.col(f"`{c}`") for c in names], "Motif", "Sample"), suffixes[token])
@@ -54,6 +57,11 @@ def join_signatures(
         )
     out, large = rows, []
     for token, size, most in _table_facts(keyed, sample):
+        if copy and most > 1:
+            # Equal rows of a key get different numbers; which one gets which does not matter.
+            copies.append(f"_nth{suffixes[token]}")
+            order = Window.partitionBy(sample, token).orderBy(*[F.col(f"`{c}`") for c in keyed[token].columns])
+            keyed[token] = keyed[token].withColumn(copies[-1], F.row_number().over(order))
         if warn_duplicates and most > 1:
             warnings.warn(f"signature table for {token} repeats keys: matching rows multiply", stacklevel=2)
         if size <= budget:
@@ -64,7 +72,12 @@ def join_signatures(
         # Every table is keyed by the sample too: the rows move once, by sample.
         out = salted_lookups(out, large, [sample])
     order = [f"{c}{suffixes[t]}" for t, table in tables.items() for c in signature_columns(table)]
-    return out.select(*[F.col(f"`{c}`") for c in [*rows.columns, *order]])
+    told = []
+    if copy:
+        nth = [F.coalesce(F.col(c), F.lit(1)) for c in copies]
+        only = F.greatest(F.lit(1), F.lit(1), *nth) == 1
+        told = [F.when(~only, F.xxhash64(*nth)).alias(copy) if nth else F.lit(None).cast("long").alias(copy)]
+    return out.select(*[F.col(f"`{c}`") for c in [*rows.columns, *order]], *told)
 
 
 def _table_facts(keyed: dict[str, DataFrame], sample: str) -> list[tuple[str, int, int]]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bagwise.functions.columns import clean_numeric, is_malformed
+from bagwise.functions.columns import FAULTS, cell_fault, clean_numeric, is_malformed
 
 # The positional names of a fragment file.
 FRAGMENT_COLUMNS = (
@@ -62,6 +62,30 @@ def malformed_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
+def _faults(numbers: Sequence[str], positions: Sequence[str]) -> dict[str, Column]:
+    own = {c: cell_fault(F.col(f"`{c}`")) for c in numbers}
+    return {**own, **{c: cell_fault(F.col(f"`{c}`"), whole=True) for c in positions}}
+
+
+def cell_faults(
+    df: DataFrame, numbers: Sequence[str], positions: Sequence[str] = (), by: str = "sample_name"
+) -> DataFrame:
+    """``by, column, n_malformed, n_nan, n_infinite`` of each file and column with unreadable cells.
+
+    One aggregate over the cells as text; only rows with a fault are grouped.
+    """
+    each = [F.struct(F.lit(c).alias("column"), fault.alias("fault")) for c, fault in _faults(numbers, positions).items()]
+    found = F.filter(F.array(*each), lambda x: x["fault"].isNotNull())
+    counts = [F.count_if(F.col("fault") == f).alias(f"n_{f}") for f in FAULTS]
+    return df.select(by, F.inline(found)).groupBy(by, "column").agg(*counts)
+
+
+def observe_faults(df: DataFrame, numbers: Sequence[str], positions: Sequence[str], seen: Observation) -> DataFrame:
+    """The rows as they are; ``seen`` gets ``<column>_<fault>`` counts from the job that reads them."""
+    counts = [F.count_if(fault == f).alias(f"{c}_{f}") for c, fault in _faults(numbers, positions).items() for f in FAULTS]
+    return df.observe(seen, *counts)
+
+
 def feature_array(columns: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
 

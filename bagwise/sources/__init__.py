@@ -1,14 +1,23 @@
-from bagwise.sources.delimited import read_fragments, read_labels, read_manifest, read_signatures
+from bagwise.sources.delimited import (
+    read_fragment_cells,
+    read_fragments,
+    read_labels,
+    read_manifest,
+    read_signatures,
+    with_row_ids,
+)
 from bagwise.sources.store import load_model, read_bags, save_model, write_bags, write_run
 
 __all__ = [
     "load_model",
     "read_bags",
+    "read_fragment_cells",
     "read_fragments",
     "read_labels",
     "read_manifest",
     "read_signatures",
     "save_model",
+    "with_row_ids",
     "write_bags",
     "write_run",
 ]

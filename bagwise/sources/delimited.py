@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bagwise.functions.columns import WHITESPACE, binarise_label, label_key, plain_path, sample_from_path
+from bagwise.functions.columns import WHITESPACE, binarise_label, clean_position, label_key, plain_path, sample_from_path
 from bagwise.operators.bags import union_bags
-from bagwise.operators.prepare import FRAGMENT_COLUMNS
+from bagwise.operators.prepare import FRAGMENT_COLUMNS, observe_faults
+from bagwise.plans.lookup import lookup_join
+from bagwise.plans.ordered import global_rank
+from bagwise.plans.scratch import settle
 
-# First lines asked for in one job.
-HEADS_PER_JOB = 64
+# Cells of a fragment file that hold whole numbers, and those that hold any.
+POSITIONS = ("frag_start", "frag_end")
+NUMBERS = ("gc_content", "gc_weight")
+# No file is cut below this size where only its head is read.
+WHOLE = 1 << 50
+HEAD_LINES = 64
 
 
 def read_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -31,27 +38,66 @@ def read_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def fragment_schema(width: int) -> T.StructType:
-    """Tokens and numbers stay text until cleaned; positions are typed at the scan."""
+    """All cells stay text at the scan, so that what cannot be read is still there to be counted."""
     names = [FRAGMENT_COLUMNS[i] if i < len(FRAGMENT_COLUMNS) else f"_c{i}" for i in range(width)]
-    return T.StructType(
-        [T.StructField(n, T.LongType() if n in ("frag_start", "frag_end") else T.StringType()) for n in names]
-    )
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, value``: the first line of every file that has one, in one scan that stops behind it.
+
+    Each file is one partition and each task ends with its first line, so a file costs its head only.
+    The scan has a session of its own for that; settings of the caller's session stay as they are.
+    """
+    heads = spark.newSession()
+    heads.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE))
+    heads.conf.set("spark.sql.files.openCostInBytes", str(WHOLE))
+    heads.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HEAD_LINES))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    lines = heads.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
+    return lines.where(F.col("value") != "").mapInArrow(first, "file string, value string")
+
+
+def fragment_widths(spark: SparkSession, paths: Sequence[str]) -> dict[int, list[str]]:
+    """The files of each width, by their first lines; if there is one width only, ``paths`` as they are."""
+    widths = first_lines(spark, paths).select("file", F.size(F.split("value", "\t")).alias("width"))
+    found = [r.width for r in widths.select("width").distinct().collect()]
+    if len(found) <= 1:
+        return {w: list(paths) for w in found}
+    groups: dict[int, list[str]] = defaultdict(list)
+    for r in widths.select(plain_path("file").alias("file"), "width").collect():
+        groups[r.width].append(r.file)
+    return dict(groups)
 
 
-def fragment_widths(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
-    """Columns of each file, by its first line; reads one line per file, many files per job."""
-    widths: dict[str, int] = {}
-    for at in range(0, len(paths), HEADS_PER_JOB):
-        some = paths[at : at + HEADS_PER_JOB]
-        heads = [
-            spark.read.text(p)
-            .where(F.col("value") != "")
-            .limit(1)
-            .select(F.lit(p).alias("path"), F.size(F.split("value", "\t")).alias("width"))
-            for p in some
-        ]
-        widths.update({r.path: r.width for r in reduce(DataFrame.union, heads).collect()})
-    return widths
+def with_row_ids(rows: DataFrame, *, distinct: bool = True) -> DataFrame:
+    """Add ``instance_id``, the same for the same rows of a sample however files are split or scanned.
+
+    It is a hash of the sample and the row's cells. Equal rows of a sample are numbered by a running
+    count, which gives them different ids; which of them gets which does not matter, as they are equal.
+    Counting reads the rows once more, and moves one number per row; only rows that repeat are ordered.
+    Without ``distinct``, equal rows share an id and no job runs.
+    """
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in rows.columns]
+    marked = rows.withColumn("instance_id", F.xxhash64(*cells))
+    if not distinct:
+        return marked
+    counted = marked.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = settle(counted.select("instance_id", F.lit(True).alias("_again")))
+    if repeated.isEmpty():
+        return marked
+    flagged = lookup_join(marked, repeated, ["instance_id"], "left")
+    once = flagged.where(F.col("_again").isNull()).drop("_again")
+    again = flagged.where("_again").drop("_again").withColumn("_nth", F.monotonically_increasing_id())
+    numbered = global_rank(again, [F.col("instance_id"), F.col("_nth")], "_copy", ["instance_id"])
+    own = F.when(F.col("_copy") == 1, F.col("instance_id")).otherwise(F.xxhash64("instance_id", "_copy"))
+    return once.unionByName(numbered.withColumn("instance_id", own).select(*once.columns))
 
 
 def read_fragments(
@@ -61,34 +107,43 @@ def read_fragments(
     width: int | None = None,
     extra_features: str = "keep",
     sample_of: Callable[[Column], Column] = sample_from_path,
+    distinct_ids: bool = True,
+    faults: Observation | None = None,
 ) -> DataFrame:
     """All fragment files in one distributed scan, with ``sample_name`` and ``instance_id`` per row.
 
     Files of different width are scanned once per width and united by name. Give ``width`` to skip
     looking at first lines. Columns past the tenth are kept as further features or dropped.
-    ``instance_id`` comes from the file and the row's place in the scan; store the rows
-    (:func:`write_bags`) before using the ids in several jobs of a cluster that grows or shrinks.
+    Ids are those of :func:`with_row_ids`; counting equal rows for them runs a job, unless
+    ``distinct_ids`` is off. Positions that are no whole numbers become null. ``faults`` receives the
+    numbers of unreadable cells (:func:`observe_faults`) from whatever job reads the rows.
     """
     if extra_features not in ("keep", "drop"):
         raise ValueError("extra_features must be 'keep' or 'drop'")
-    groups: dict[int, list[str]] = defaultdict(list)
-    widths = dict.fromkeys(paths, width) if width else fragment_widths(spark, paths)
-    for p in paths:
-        if p in widths:  # an empty file has no first line and no rows
-            groups[widths[p]].append(p)
-    if not groups:
-        groups[len(FRAGMENT_COLUMNS)] = list(paths)
+    groups = {width: list(paths)} if width else fragment_widths(spark, paths)
     scans = []
-    for w, some in sorted(groups.items()):
+    for w, some in sorted((groups or {len(FRAGMENT_COLUMNS): list(paths)}).items()):
         scan = spark.read.schema(fragment_schema(w)).option("sep", "\t").csv(some)
-        file = F.col("_metadata.file_path")
-        scan = scan.select(
-            "*",
-            sample_of(plain_path(file)).alias("sample_name"),
-            F.xxhash64(file, F.monotonically_increasing_id()).alias("instance_id"),
-        )
+        scan = scan.select("*", sample_of(plain_path(F.col("_metadata.file_path"))).alias("sample_name"))
         scans.append(scan if extra_features == "keep" else scan.drop(*[f"_c{i}" for i in range(len(FRAGMENT_COLUMNS), w)]))
-    return union_bags(*scans)
+    rows = with_row_ids(union_bags(*scans), distinct=distinct_ids)
+    if faults is not None:
+        rows = observe_faults(rows, number_columns(rows), [c for c in POSITIONS if c in rows.columns], faults)
+    return rows.withColumns({c: clean_position(c) for c in POSITIONS if c in rows.columns})
+
+
+def read_fragment_cells(
+    spark: SparkSession, paths: Sequence[str], *, sample_of: Callable[[Column], Column] = sample_from_path
+) -> DataFrame:
+    """The rows with all cells as text, as :func:`cell_faults` counts them by file."""
+    groups = fragment_widths(spark, paths) or {len(FRAGMENT_COLUMNS): list(paths)}
+    scans = [spark.read.schema(fragment_schema(w)).option("sep", "\t").csv(some) for w, some in sorted(groups.items())]
+    return union_bags(*[s.select("*", sample_of(plain_path(F.col("_metadata.file_path"))).alias("sample_name")) for s in scans])
+
+
+def number_columns(fragments: DataFrame) -> list[str]:
+    """The file's own numbers, in feature order."""
+    return [*[c for c in NUMBERS if c in fragments.columns], *extra_columns(fragments)]
 
 
 def extra_columns(fragments: DataFrame) -> list[str]:

@@ -1,13 +1,19 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from bagwise.functions.columns import sample_from_path
 from bagwise.operators.joins import attach_labels
 from bagwise.operators.model import AttentionModel, GatedAttentionModel
+from bagwise.operators.pooling import attention_weights
+from bagwise.operators.prepare import cell_faults
 from bagwise.plans.instances import bags_of, frequency_instances, signature_features, signature_instances
+from bagwise.plans.scratch import settle
 from bagwise.sources import (
     load_model,
     read_bags,
+    read_fragment_cells,
     read_fragments,
     read_labels,
     read_manifest,
@@ -16,7 +22,7 @@ from bagwise.sources import (
     write_bags,
     write_run,
 )
-from bagwise.sources.delimited import fragment_widths
+from bagwise.sources.delimited import first_lines, fragment_widths
 from bagwise.sources.store import read_bag
 
 
@@ -68,7 +74,8 @@ def test_unknown_label_can_be_an_error(spark, files):
 def test_widths_and_extra_columns(spark, files):
     some = paths(spark, files)
     widths = fragment_widths(spark, some)
-    assert {p.rsplit("/", 1)[1]: w for p, w in widths.items()} == {"S1raw_frag.bed": 10, "S2raw_frag.bed": 8, "S3raw_frag.bed": 11}
+    names = {w: [p.rsplit("/", 1)[1] for p in some] for w, some in widths.items()}
+    assert names == {10: ["S1raw_frag.bed"], 8: ["S2raw_frag.bed"], 11: ["S3raw_frag.bed"]}
     kept = read_fragments(spark, some)
     assert "_c10" in kept.columns
     assert {(r.sample_name, r._c10) for r in kept.collect()} == {("S1raw", None), ("S2raw", None), ("S3raw", "7.5")}
@@ -119,12 +126,12 @@ def test_frequency_path(spark, files):
     found = sorted((r.bag_id, r.features) for r in made.collect())
     assert found == sorted(
         [
-            ("S1raw", [0.42, 0.0, 1.0, 0.0]),
-            ("S1raw", [0.0, 1.0, 1.0, 0.0]),
-            ("S1raw", [0.5, 0.0, 0.0, 0.0]),
-            ("S2raw", [0.1, 0.0, 0.0, 0.0]),
-            ("S2raw", [0.0, 1.0, 0.0, 0.0]),
-            ("S3raw", [0.9, 0.0, 0.0, 0.0]),
+            ("S1raw", [0.42, 0.0, 0.0, 1.0, 0.0]),
+            ("S1raw", [0.0, 0.0, 1.0, 1.0, 0.0]),
+            ("S1raw", [0.5, 0.0, 0.0, 0.0, 0.0]),
+            ("S2raw", [0.1, 0.0, 0.0, 0.0, 0.0]),
+            ("S2raw", [0.0, 0.0, 1.0, 0.0, 0.0]),
+            ("S3raw", [0.9, 7.5, 0.0, 0.0, 0.0]),
         ]
     )
 
@@ -208,3 +215,105 @@ def test_model_store(spark, tmp_path):
             np.testing.assert_array_equal(loaded.arrays()[name], a)
     with pytest.raises(ValueError):
         load_model(spark, path, "absent")
+
+
+def identified(spark, folder, **options):
+    """Rows with their ids, under a size of scan splits."""
+    rows = read_fragments(spark, [str(p) for p in sorted(folder.iterdir())], **options)
+    return sorted(map(str, rows.collect()))
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """Files with equal rows in one file and in two files of a sample."""
+    root = tmp_path_factory.mktemp("many")
+    line = "chr{}\t{}\t{}\t160-169\tCCCA\tTGGA\t0.42\t1.03"
+    for name in ("S1raw_a.bed", "S1raw_b.bed", "S2raw_a.bed"):
+        lines = [line.format(i % 3, i % 50, i % 50 + 160) for i in range(400)] + [line.format(9, 1, 2)] * 300
+        (root / name).write_text("\n".join(lines) + "\n")
+    return root
+
+
+def test_ids_do_not_depend_on_the_scan(spark, many):
+    found = identified(spark, many)
+    assert len(set(found)) == len(found) == 2100
+    for size in (1000, 4096):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            assert identified(spark, many) == found
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    shared = identified(spark, many, distinct_ids=False)
+    assert len(shared) == 2100 and len(set(shared)) == 2 * 151
+
+
+def test_ids_survive_another_name(spark, many, tmp_path):
+    for p in many.iterdir():
+        (tmp_path / p.name.replace("_", "_moved_")).write_text(p.read_text())
+    assert identified(spark, tmp_path) == identified(spark, many)
+
+
+def test_attention_joins_back_to_fragments(spark, files):
+    rows = read_fragments(spark, paths(spark, files)).where("sample_name <> 'S3raw'").cache()
+    tables = {t: read_signatures(spark, str(files / f"{t}.csv")) for t in ("out5p", "in5p", "length_bin")}
+    twice = {**tables, "length_bin": tables["length_bin"].union(tables["length_bin"])}  # equal signature rows
+    only = {"out5p": tables["out5p"], "in5p": tables["in5p"]}
+    made = signature_instances(rows, only)
+    weights = attention_weights(made, AttentionModel.random(7, 4)).join(rows, "instance_id")
+    assert weights.count() == rows.count() == 5
+    with pytest.warns(UserWarning):
+        several = signature_instances(rows, twice, fragment_ids=True).collect()
+    assert len({r.instance_id for r in several}) == len(several) == 2 + 1 + 2 + 4 + 1
+    ids = {r.instance_id for r in rows.collect()}
+    assert {r.fragment_id for r in several} == ids and ids <= {r.instance_id for r in several}
+    with pytest.warns(UserWarning):
+        again = signature_instances(rows, twice, fragment_ids=True, budget=-1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, several))
+
+
+def test_first_lines_come_from_one_scan(spark, files, tmp_path):
+    big = tmp_path / "S9raw_big.bed"
+    big.write_text("\n\n" + "a\tb\n" * 300_000)
+    some = [*paths(spark, files), str(big)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    heads = first_lines(spark, some)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+    assert sorted(r.value.count("\t") + 1 for r in heads.collect()) == [2, 8, 10, 11]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_faults_are_counted_while_rows_are_read(spark, tmp_path):
+    cells = [("1e3", "10", "NaN", "1"), ("1", " 2 ", "x", " inf "), ("", "x", "1e3", "0.5"), ("7", "NaN", " ", "-Infinity")]
+    for name, some in (("S1raw_x.bed", cells[:2]), ("S2raw_x.bed", cells[2:])):
+        (tmp_path / name).write_text("".join(f"chr1\t{a}\t{b}\t1-2\tC\tT\t{c}\t{d}\n" for a, b, c, d in some))
+    some = [str(p) for p in tmp_path.iterdir()]
+    seen = Observation()
+    rows = read_fragments(spark, some, faults=seen).collect()
+    assert sorted((r.frag_start, r.frag_end) for r in rows if r.frag_start) == [(1, 2), (7, None)]
+    assert {k: v for k, v in seen.get.items() if v} == {
+        "frag_start_malformed": 1, "frag_end_malformed": 2, "gc_content_nan": 1, "gc_content_malformed": 1, "gc_weight_infinite": 2,
+    }
+    found = cell_faults(read_fragment_cells(spark, some), ["gc_content", "gc_weight"], ["frag_start", "frag_end"])
+    assert sorted(map(tuple, found.collect())) == [
+        ("S1raw", "frag_start", 1, 0, 0), ("S1raw", "gc_content", 1, 1, 0), ("S1raw", "gc_weight", 0, 0, 1),
+        ("S2raw", "frag_end", 2, 0, 0), ("S2raw", "gc_weight", 0, 0, 1),
+    ]
+    # One bad cell is no reason to stop: it is 0 from here on.
+    assert sorted(r.features[0] for r in frequency_instances(read_fragments(spark, some)).collect()) == [0, 0, 0, 1000]
+
+
+def test_frequency_path_reads_its_rows_twice(spark, files, monkeypatch):
+    from bagwise.plans import instances
+
+    rows, settled = read_fragments(spark, paths(spark, files), width=10, distinct_ids=False), []
+    monkeypatch.setattr(instances, "settle", lambda df: settled.append(df) or settle(df))
+    made = frequency_instances(rows)
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("] csv") for df in (*settled, made)]
+    assert scans == [1, 0, 1]
+
+
+def test_part_files_can_be_samples(spark):
+    path = spark.range(1).select(F.lit("/x/S1_a/part-7_b.bed").alias("p"))
+    assert path.select(sample_from_path("p")).first()[0] == "S1"
+    assert path.select(sample_from_path("p", part_folders=False)).first()[0] == "part-7"
