@@ -35,6 +35,10 @@ EMBEDDING_MODEL = AttentionModel.of(
         "embed_w": [[((7 * d + 3 * j) % 11 - 5) / 20 for d in range(EMBEDDING_DIM)] for j in range(2)],
     }
 )
+#: Over the eight features of the signature path.
+LINE_MODEL = AttentionModel.of(
+    **{**EVENT_MODEL.arrays(), "embed_w": [[((5 * d + 3 * j) % 7 - 3) / 10 for d in range(8)] for j in range(2)]}
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

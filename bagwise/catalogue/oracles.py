@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from bagwise.catalogue import fixtures as fx
 from bagwise.catalogue.queries import BATCHES, CHOSEN_BAG, DIGITS, FOLDS, SAMPLE_FRACTION, SCALED, SEED, TRAIN
@@ -85,7 +85,8 @@ FROM (SELECT *, sum(neg) OVER ({by} ORDER BY p) AS upto
       FROM (SELECT {keys} p, sum(label) AS pos, sum(1 - label) AS neg FROM {source} GROUP BY {keys} p)) {group}"""
 
 
-def _roc(source: str, keys: str = "") -> str:
+def _roc(source: str, keys: str = "", name: str = "") -> str:
+    """Points of the curve; as a table expression of that name, or as the final query."""
     by = f"PARTITION BY {keys.rstrip(', ')}" if keys else ""
     return f"""
 cnt AS (SELECT {keys} p, sum(label) AS pos, sum(1 - label) AS neg FROM {source} GROUP BY {keys} p),
@@ -98,31 +99,35 @@ roc AS (
   WHERE nth = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg
   UNION ALL
   SELECT DISTINCT {keys} CAST('Infinity' AS DOUBLE), 0 / nullif(all_neg, 0), 0 / nullif(all_pos, 0) FROM cum)
-SELECT {keys} round(threshold, {R}) AS threshold, round(fpr, {R}) AS fpr, round(tpr, {R}) AS tpr FROM roc"""
+""" + (f", {name} AS (SELECT * FROM roc)" if name else f"""
+SELECT {keys} round(threshold, {R}) AS threshold, round(fpr, {R}) AS fpr, round(tpr, {R}) AS tpr FROM roc""")
 
 
 # Training, restated: one set of common table expressions per epoch, parameters in one row per model.
 
-PLAIN_GRADIENTS = {
-    "w11": "dh1 * x1",
-    "w12": "dh1 * x2",
-    "w21": "dh2 * x1",
-    "w22": "dh2 * x2",
-    "b1": "dh1",
-    "b2": "dh2",
-    "v11": "d1 * h1",
-    "v12": "d1 * h2",
-    "v21": "d2 * h1",
-    "v22": "d2 * h2",
-    "c1": "d1",
-    "c2": "d2",
-    "u1": "ds * t1",
-    "u2": "ds * t2",
-    "ub": "ds",
-    "k1": "share * h1",
-    "k2": "share * h2",
-    "kb": "share",
-}
+def _plain_gradients(dims: int) -> dict[str, str]:
+    """Parameters in the order of a flat model, each with its gradient over a row."""
+    embedding = {f"w{j}{d}": f"dh{j} * x{d}" for j in (1, 2) for d in range(1, dims + 1)}
+    return {
+        **embedding,
+        "b1": "dh1",
+        "b2": "dh2",
+        "v11": "d1 * h1",
+        "v12": "d1 * h2",
+        "v21": "d2 * h1",
+        "v22": "d2 * h2",
+        "c1": "d1",
+        "c2": "d2",
+        "u1": "ds * t1",
+        "u2": "ds * t2",
+        "ub": "ds",
+        "k1": "share * h1",
+        "k2": "share * h2",
+        "kb": "share",
+    }
+
+
+PLAIN_GRADIENTS = _plain_gradients(2)
 GATED_GRADIENTS = {
     **{n: PLAIN_GRADIENTS[n] for n in ("w11", "w12", "w21", "w22", "b1", "b2", "v11", "v12", "v21", "v22", "c1", "c2")},
     "u11": "ds1 * i1",
@@ -164,6 +169,12 @@ class Restated:
     pooled: str  # softmax sums and the logit of a bag, of rows with their bag's largest logits
     tops: str
     backward: str  # slopes of the inner activations, of rows with their bag's sums, down to ``dh1, dh2``
+    dims: int = 2
+
+    @property
+    def hidden(self) -> str:
+        units = ["greatest(" + " + ".join(f"w{j}{d} * x{d}" for d in range(1, self.dims + 1)) + f" + b{j}, 0) AS h{j}" for j in (1, 2)]
+        return ", ".join(units)
 
 
 PLAIN = Restated(
@@ -217,8 +228,7 @@ def _states(e: int, loss: str, match: str, kind: Restated = PLAIN) -> str:
     return f"""
 f{e} AS MATERIALIZED (
   WITH hidden AS (
-      SELECT *, greatest(w11 * x1 + w12 * x2 + b1, 0) AS h1, greatest(w21 * x1 + w22 * x2 + b2, 0) AS h2
-      FROM inst JOIN folded USING (bag_id) JOIN p{e} ON {match}){kind.forward}),
+      SELECT *, {kind.hidden} FROM inst JOIN folded USING (bag_id) JOIN p{e} ON {match}){kind.forward}),
 m{e} AS MATERIALIZED (SELECT f, bag_id, {kind.tops} FROM f{e} GROUP BY f, bag_id),
 z{e} AS MATERIALIZED (SELECT f, bag_id, label, {kind.pooled} FROM f{e} JOIN m{e} USING (f, bag_id) GROUP BY f, bag_id, label),
 b{e} AS MATERIALIZED (
@@ -246,9 +256,9 @@ g{e} AS MATERIALIZED (
 p{e + 1} AS MATERIALIZED (SELECT f, {moved}, {kept} FROM p{e} JOIN g{e} USING (f))"""
 
 
-def _training(epochs: int, lr: float, loss: str, decay: float, kind: Restated = PLAIN) -> str:
+def _training(epochs: int, lr: float, loss: str, decay: float, kind: Restated = PLAIN, tables: str = EVENTS) -> str:
     """One step per epoch, over all bags."""
-    parts = [EVENTS, "folded AS (SELECT bag_id, label, -2 AS fold FROM bags)", _start("(SELECT -1 AS f)", kind)]
+    parts = [tables, "folded AS (SELECT bag_id, label, -2 AS fold FROM bags)", _start("(SELECT -1 AS f)", kind)]
     for e in range(1, epochs + 1):
         parts.append(_states(e, loss, "f <> fold", kind))
         if e < epochs:
@@ -256,6 +266,35 @@ def _training(epochs: int, lr: float, loss: str, decay: float, kind: Restated =
     return f"WITH {', '.join([*parts, _scores({e: e for e in range(1, epochs + 1)})])}"
 
 
+def _whole_job() -> str:
+    """Features of the order lines, training steps over all bags, and the scores of the trained scorer."""
+    kind = replace(PLAIN, model=fx.LINE_MODEL, gradients=_plain_gradients(len(SIGNATURE_FEATURES)), dims=len(SIGNATURE_FEATURES))
+    named = ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(SIGNATURE_FEATURES))
+    tables = f"""{SIGNED.removeprefix('WITH ')},
+inst AS MATERIALIZED (SELECT sample_name AS bag_id, {named} FROM signed),
+bags AS (
+  SELECT bag_id, CAST(CASE WHEN s_acctbal < 5000 THEN 0 ELSE 1 END AS INTEGER) AS label
+  FROM (SELECT DISTINCT bag_id FROM inst)
+  LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 1000) ON bag_id = 'S' || s_suppkey || 'raw')"""
+    parts = [tables, "folded AS (SELECT bag_id, label, -2 AS fold FROM bags)", _start("(SELECT -1 AS f)", kind)]
+    epochs = TRAIN["epochs"]
+    for e in range(1, epochs + 1):
+        parts += [_states(e, "bce", "f <> fold", kind), _update(e, TRAIN["lr"], 0.0, kind)]
+    parts += [_states(epochs + 1, "bce", "f <> fold", kind)]
+    return f"""WITH {', '.join(parts)}
+SELECT bag_id, label, round(p, {R}) AS p, CAST(logit >= 0 AS INTEGER) AS pred FROM b{epochs + 1}"""
+
+
+def _cv_reports() -> str:
+    """Confusion, AUC and ROC points of the held-out bags of every fold."""
+    cells = ", ".join(f"count(*) FILTER (label = {y} AND (p >= 0.5) = ({q} = 1)) AS c{y}{q}" for y in (0, 1) for q in (0, 1))
+    return f"""WITH held AS ({_cross_validation(digits=15)}), {_roc('held', 'fold,', name='curve')}
+SELECT fold, c00, c01, c10, c11, round(auc, {R}) AS auc, n_points, round(area, {R}) AS area
+FROM (SELECT fold, {cells} FROM held GROUP BY fold)
+JOIN ({_auc('held', 'fold,')}) USING (fold)
+JOIN (SELECT fold, count(*) AS n_points, sum(fpr + tpr) AS area FROM curve GROUP BY fold) USING (fold)"""
+
+
 def _scores(epoch_of: dict[int, int]) -> str:
     """Bag scores of all steps, by the epoch each step belongs to."""
     scores = " UNION ALL ".join(
@@ -290,13 +329,13 @@ def _history(loss: str, decay: float = 0.0, kind: Restated = PLAIN) -> str:
 FOLDED = f"SELECT bag_id, label, CAST(ntile({FOLDS}) OVER (ORDER BY md5('{SEED}|' || bag_id), bag_id) - 1 AS INTEGER) AS fold"
 
 
-def _cross_validation(epochs: int = 2, lr: float = 0.05) -> str:
+def _cross_validation(epochs: int = 2, lr: float = 0.05, digits: int = R) -> str:
     parts = [EVENTS, f"folded AS MATERIALIZED ({FOLDED} FROM bags)"]
     parts.append(_start(f"(SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS f)"))
     for e in range(1, epochs + 1):
         parts += [_states(e, "bce", "f <> fold"), _update(e, lr, 0.0)]
     parts.append(_states(epochs + 1, "bce", "f = fold"))
-    return f"WITH {', '.join(parts)} SELECT f AS fold, bag_id, label, round(p, {R}) AS p FROM b{epochs + 1}"
+    return f"WITH {', '.join(parts)} SELECT f AS fold, bag_id, label, round(p, {digits}) AS p FROM b{epochs + 1}"
 
 
 # Order lines as fragments
@@ -500,6 +539,16 @@ SELECT round(avg(auc), {R}) AS mean_auc, round(stddev_pop(auc), {R}) AS std_auc,
 SELECT epoch, bag_id, label, round(p, {R}) AS p, round(loss, {R}) AS loss FROM scores""",
         "train_roc": f"{_training(TRAIN['epochs'], TRAIN['lr'], 'bce', 0.0)}, {_roc('scores', 'run_id, fold,')}",
         "cross_validation": _cross_validation(),
+        "cv_reports": _cv_reports(),
+        "whole_job": _whole_job(),
+        "exact_sample": f"""
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('{SEED}|' || key)) AS nth,
+             floor(count(*) OVER (PARTITION BY l_suppkey) * {SAMPLE_FRACTION} + 0.5) AS share
+      FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS key FROM lineitem))
+WHERE nth <= share""",
+        "bernoulli_sample": """
+SELECT count(*) AS n_rows, 0::BIGINT AS n_strange, true AS near_share, true AS repeats FROM lineitem""",
         "bag_store": f"""WITH {EVENTS}
 SELECT bag_id, instance_id, label,
        CASE WHEN CAST('0x' || substr(md5('{SEED}|' || bag_id), 1, 8) AS BIGINT) / {float(16**8)!r} < 0.7

@@ -15,6 +15,7 @@ from bagwise.plans.crossval import cross_validate
 from bagwise.plans.evaluation import evaluate as run_evaluation
 from bagwise.plans.evaluation import label_scores
 from bagwise.plans.instances import bags_of, frequency_features, frequency_instances, signature_features, signature_instances
+from bagwise.plans.lookup import lookup_join
 from bagwise.plans.scratch import scratch_path, settle, stored
 from bagwise.plans.training import TrainSettings, train_attention, training_history, training_roc
 from bagwise.sources import (
@@ -157,9 +158,31 @@ def hash_sample(spark, d):
     return sampling.hash_sample(lines, key, SAMPLE_FRACTION, SEED)
 
 
+@query
+def exact_sample(spark, d):
+    names = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    lines = fx.table(spark, d, "lineitem").select(*names)
+    return sampling.exact_sample(lines, F.concat_ws("-", *names[1:]), SAMPLE_FRACTION, SEED, ["l_suppkey"])
+
+
 @query
 def bernoulli_sample(spark, d):
-    return sampling.bernoulli_sample(fx.table(spark, d, "lineitem"), SAMPLE_FRACTION, SEED)
+    """Which rows it takes depends on partitions; what holds of any: all are rows of the table, about the
+    right share of them, and the same ones again for the same seed and partitions."""
+    lines = fx.table(spark, d, "lineitem")
+    n = lines.count()
+    drawn, again = (sampling.bernoulli_sample(lines, SAMPLE_FRACTION, SEED) for _ in range(2))
+    mark = F.bit_xor(F.xxhash64(*lines.columns))
+    facts = drawn.agg(F.count(F.lit(1)).alias("n"), mark.alias("mark"))
+    once_more = again.agg(mark.alias("again"))
+    strange = drawn.exceptAll(lines).agg(F.count(F.lit(1)).alias("n_strange"))
+    spread = 6 * (n * SAMPLE_FRACTION * (1 - SAMPLE_FRACTION)) ** 0.5
+    return facts.select(
+        F.lit(n).cast("long").alias("n_rows"),
+        strange.scalar().alias("n_strange"),
+        (F.abs(F.col("n") - n * SAMPLE_FRACTION) <= spread).alias("near_share"),
+        F.col("mark").eqNullSafe(once_more.scalar()).alias("repeats"),
+    )
 
 
 # Joins and labels
@@ -437,13 +460,25 @@ def train_roc(spark, d):
     return round_all(training_roc(_history(spark, d)))
 
 
-@query
-def cross_validation(spark, d):
+def _cross_validated(spark, d):
     settings = TrainSettings(batch_bags=None, seed=SEED, epochs=2, lr=0.05)
     bags = settle(fx.event_bags(spark, d))
     fold_models = {f: fx.EVENT_MODEL for f in range(FOLDS)}
-    result = cross_validate(fx.event_instances(spark, d), bags, settings, k=FOLDS, fold_seed=SEED, models=fold_models)
-    return round_all(result.scores.select("fold", "bag_id", "label", "p"))
+    return cross_validate(fx.event_instances(spark, d), bags, settings, k=FOLDS, fold_seed=SEED, models=fold_models)
+
+
+@query
+def cross_validation(spark, d):
+    return round_all(_cross_validated(spark, d).scores.select("fold", "bag_id", "label", "p"))
+
+
+@query
+def cv_reports(spark, d):
+    """Every fold's confusion, AUC, and the number and sum of its ROC points."""
+    reports = _cross_validated(spark, d).reports
+    cells = [F.sum(F.when((F.col("label") == y) & (F.col("pred") == q), F.col("n"))).alias(f"c{y}{q}") for y in (0, 1) for q in (0, 1)]
+    points = reports.roc.groupBy("fold").agg(F.count(F.lit(1)).alias("n_points"), F.sum(F.col("fpr") + F.col("tpr")).alias("area"))
+    return round_all(reports.confusion.groupBy("fold").agg(*cells).join(reports.auc, "fold").join(points, "fold"))
 
 
 # Sources and sinks
@@ -539,3 +574,20 @@ def frequency_path_wide(spark, d):
     """Files with an eleventh column, which is a feature, and unreadable cells, which are 0."""
     _, rows = _scanned(spark, d, wide=True, distinct_ids=False)
     return _feature_sums(frequency_instances(rows), [n.strip("_") for n in frequency_features(rows)])
+
+
+@query
+def whole_job(spark, d):
+    """From text files to the scores of a trained scorer: scan, features, labels, store, training, evaluation."""
+    files, rows = _scanned(spark, d)
+    tables = {t: read_signatures(spark, files[t]) for t in ("out5p", "in5p", "length_bin")}
+    manifest = read_manifest(spark, files["manifest"], "train").withColumn("sample_name", fx.sample_of_folder(F.col("path")))
+    bags = settle(joins.attach_labels(bags_of(manifest), read_labels(spark, files["labels"])))
+    labelled = lookup_join(signature_instances(rows, tables), bags.select("bag_id", "label", "split"), ["bag_id"], "inner")
+    path = scratch_path(spark, "bags")
+    write_bags(labelled, path, buckets=8)
+    instances = read_bags(spark, path, "train")
+    settings = TrainSettings(batch_bags=None, seed=SEED, **TRAIN)
+    trained = train_attention(instances, bags, settings, fx.LINE_MODEL)
+    scores = run_evaluation(instances, bags, trained.model).scores
+    return round_all(scores.select("bag_id", "label", "p", "pred"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from bagwise.functions.columns import threshold
 from bagwise.operators.folds import cv_summary, kfold_assign
-from bagwise.operators.metrics import auc
+from bagwise.operators.metrics import Reports, keyed_reports
 from bagwise.operators.model import AttentionModel
 from bagwise.operators.prepare import feature_dim
 from bagwise.plans.scratch import settle
@@ -17,13 +17,17 @@ from bagwise.plans.training import Trained, TrainSettings, bag_states, fold_mode
 
 @dataclass(frozen=True)
 class CrossValidation:
-    """``scores`` of held-out bags, ``fold_aucs`` and their ``summary``, and the trained fold models."""
+    """``scores`` of held-out bags, reports by fold, the ``summary`` of their AUCs, and the trained fold models."""
 
     trained: Trained
     scores: DataFrame
-    fold_aucs: DataFrame
+    reports: Reports
     summary: DataFrame
 
+    @property
+    def fold_aucs(self) -> DataFrame:
+        return self.reports.auc
+
 
 def cross_validate(
     instances: DataFrame,
@@ -42,5 +46,5 @@ def cross_validate(
     rows = labelled_rows(instances, assigned, settings.budget)
     held_out = bag_states(rows, trained.models, held_out=True).select("fold", "bag_id", "label", "p")
     scores = settle(held_out.withColumn("pred", threshold("p")))
-    fold_aucs = auc(scores, ["fold"])
-    return CrossValidation(trained, scores, fold_aucs, cv_summary(fold_aucs))
+    reports = keyed_reports(scores, ["fold"])
+    return CrossValidation(trained, scores, reports, cv_summary(reports.auc))

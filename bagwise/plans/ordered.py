@@ -7,6 +7,7 @@ are put end to end by a table with one row per range.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def in_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return settle(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()))
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which a null one equals a null one; the keys come from the left."""
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_other_{k}" for k in keys])
+
+
 def running_totals(
     sliced: DataFrame, order: Sequence[Column], sums: dict[str, Column], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -36,7 +44,7 @@ def running_totals(
     )
     local = sliced.withColumns({f"_in_{n}": F.sum(c).over(within) for n, c in sums.items()})
     # The slice totals are far fewer than the rows; without a hint, runtime statistics decide.
-    joined = local.join(starts, [*by, SLICE])
+    joined = join_by(local, starts, [*by, SLICE])
     return joined.withColumns({n: F.col(f"_{n}") + F.col(f"_in_{n}") for n in sums}).select(
         *[c for c in sliced.columns if c != SLICE], *sums
     )

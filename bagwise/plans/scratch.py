@@ -47,6 +47,19 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
 
 
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all; one that is there already is never replaced."""
+    context, parent = spark._jvm.org.apache.hadoop.fs, path.rpartition("/")[0]
+    place, draft = context.Path(path), context.Path(f"{parent}/.{uuid.uuid4().hex}")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(place) or not system.rename(draft, place):
+        system.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a written table; nothing happens if there is none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

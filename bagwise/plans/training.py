@@ -35,6 +35,7 @@ from bagwise.operators.model import AttentionModel, GatedAttentionModel
 from bagwise.operators.pooling import _dot, _list_array, fold_batches, folded_table, key_codes, merged_records, merged_units, unit_partials
 from bagwise.operators.prepare import feature_dim
 from bagwise.plans.lookup import BROADCAST_BYTES, ROW_OVERHEAD, lookup_join
+from bagwise.plans.ordered import join_by
 from bagwise.plans.scratch import children, discard, scratch_path, settle
 from bagwise.sources.store import bag_bucket, write_bucketed
 
@@ -143,7 +144,7 @@ def training_history(scores: DataFrame) -> DataFrame:
     """``run_id, fold, epoch, loss, auc``: summed bag losses and running AUC of each epoch."""
     keys = ["run_id", "fold", "epoch"]
     total = scores.groupBy(*keys).agg(F.sum("loss").alias("loss"))
-    return total.join(auc(scores, keys), keys)
+    return join_by(total, auc(scores, keys), keys)
 
 
 def training_roc(scores: DataFrame) -> DataFrame:

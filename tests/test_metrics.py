@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from helpers import auc as plain_auc
@@ -6,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bagwise.operators import folds, metrics, reports
+from bagwise.operators.sampling import exact_sample
 
 
 def frame(spark, rows):
@@ -115,3 +118,50 @@ def test_summary(spark):
     row = folds.cv_summary(aucs).first()
     assert row.aucs == [0.7, 0.5, None]
     assert (row.mean_auc, row.std_auc, row.n_valid_folds, row.n_folds) == pytest.approx((0.6, 0.1, 2, 3))
+
+
+def test_reports_by_keys_with_null(spark):
+    """A null fold is a fold; each group's reports are those of its rows alone."""
+    rng = np.random.default_rng(4)
+    rows = [(f, e, int(rng.integers(2)), float(rng.integers(1, 9)) / 10) for f in (None, 0, 1) for e in (1, 2) for _ in range(30)]
+    rows += [(7, 1, 1, 0.5), (7, 1, 1, 0.7)]  # one class only
+    scores = spark.createDataFrame(rows, "fold int, epoch int, label int, p double").withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    reports = metrics.keyed_reports(scores, ["fold", "epoch"])
+    found = {(r.fold, r.epoch): r.auc for r in reports.auc.collect()}
+    assert len(found) == 7 and found[7, 1] is None
+    cells = {(r.fold, r.epoch, r.label, r.pred): r.n for r in reports.confusion.collect()}
+    assert len(cells) == 28
+    points = {}
+    for r in reports.roc.collect():
+        points.setdefault((r.fold, r.epoch), []).append((r.threshold, r.fpr, r.tpr))
+    for f, e in found:
+        own = [(y, p) for g, h, y, p in rows if (g, h) == (f, e)]
+        if (f, e) != (7, 1):
+            assert found[f, e] == pytest.approx(plain_auc([y for y, _ in own], [p for _, p in own]))
+        for y in (0, 1):
+            for q in (0, 1):
+                assert cells[f, e, y, q] == sum(a == y and (p >= 0.5) == bool(q) for a, p in own)
+        one = spark.createDataFrame(own, "label int, p double")
+        alone = [(r.threshold, r.fpr, r.tpr) for r in metrics.roc_curve(one).collect()]
+        assert sorted(points[f, e], key=str) == sorted(alone, key=str)
+    assert {(r.fold, r.epoch) for r in metrics.auc(scores, ["fold", "epoch"]).collect()} == set(found)
+    kept = metrics.keyed_reports(scores, ["fold"], drop_collinear=False).roc
+    assert kept.where("fold is null").count() == 1 + len({p for f, _, _, p in rows if f is None})
+
+
+@pytest.mark.parametrize("partitions", [1, 9])
+@pytest.mark.parametrize("budget", [64 << 20, -1])
+def test_exact_sample(spark, partitions, budget):
+    """Each group gives its share to the row, the same rows under any partitioning; null groups too."""
+    sizes = {None: 13, "a": 1, "b": 2, "c": 5000, "d": 40}
+    rows = [(g, f"{g}{i}") for g, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "bag string, key string").repartition(partitions)
+    for fraction in (0.0, 0.01, 0.4, 1.0):
+        got = {tuple(r) for r in exact_sample(frame, "key", fraction, 7, ["bag"], budget=budget).collect()}
+        expected = set()
+        for g, n in sizes.items():
+            ranked = sorted((hashlib.md5(f"7|{k}".encode()).hexdigest(), k) for h, k in rows if h == g)
+            expected |= {(g, k) for _, k in ranked[: int(n * fraction + 0.5)]}
+        assert got == expected
+    assert exact_sample(frame, "key", 0.5, 7).count() == round(len(rows) / 2)
+    assert exact_sample(frame.where("false"), "key", 0.5, 7).count() == 0

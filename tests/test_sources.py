@@ -23,7 +23,8 @@ from bagwise.sources import (
     write_run,
 )
 from bagwise.sources.delimited import first_lines, fragment_widths
-from bagwise.sources.store import read_bag
+from bagwise.sources import store
+from bagwise.sources.store import read_bag, store_buckets, stored_parts, sweep_bags
 
 
 @pytest.fixture(scope="module")
@@ -148,7 +149,7 @@ def test_bag_store(spark, tmp_path):
     write_bags(rows, path, buckets=4)
     assert read_bags(spark, path).count() == 500
     assert {r.bag_id for r in read_bags(spark, path, "train").collect()} == {0, 1, 2}
-    one = read_bag(spark, path, 5, buckets=4)
+    one = read_bag(spark, path, 5)
     assert one.count() == rows.where("bag_id = 5").count()
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bag_bucket" in plan and "EqualTo(bag_id,5)" in plan
@@ -317,3 +318,56 @@ def test_part_files_can_be_samples(spark):
     path = spark.range(1).select(F.lit("/x/S1_a/part-7_b.bed").alias("p"))
     assert path.select(sample_from_path("p")).first()[0] == "S1"
     assert path.select(sample_from_path("p", part_folders=False)).first()[0] == "part-7"
+
+
+def bag_rows(spark, ids, split):
+    return spark.createDataFrame([(b, b, [float(b)], 1, split) for b in ids], "bag_id long, instance_id long, features array<double>, label int, split string")
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bags")
+    write_bags(bag_rows(spark, range(20), "train"), path, buckets=4)
+    before = sorted(map(str, read_bags(spark, path).collect()))
+    # Within the write, after some files are there.
+    broken = bag_rows(spark, range(20, 60), "train").repartition(8).withColumn(
+        "label", F.when(F.col("bag_id") == 57, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("label"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_bags(broken, path, buckets=4)
+    assert sorted(map(str, read_bags(spark, path).collect())) == before
+    # Between the write and the manifest.
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            write_bags(bag_rows(spark, [99], "train"), path, buckets=4)
+    assert sorted(map(str, read_bags(spark, path).collect())) == before
+    assert len(sweep_bags(spark, path)) >= 1 and sweep_bags(spark, path) == []
+    assert sorted(map(str, read_bags(spark, path).collect())) == before
+    with pytest.raises(ValueError, match="without a split"):
+        write_bags(bag_rows(spark, [1], None), path)
+    with pytest.raises(ValueError, match="no bag store"):
+        read_bags(spark, str(tmp_path / "none"))
+
+
+def test_a_reader_at_work_keeps_its_state(spark, tmp_path):
+    path = str(tmp_path / "bags")
+    write_bags(bag_rows(spark, range(20), "train"), path, buckets=4)
+    reading = read_bags(spark, path, "train")
+    write_bags(bag_rows(spark, [3], "train"), path, buckets=8)
+    assert reading.count() == 20 and read_bags(spark, path, "train").count() == 1
+    write_bags(bag_rows(spark, [4], "train"), path, buckets=8)
+    assert len({p.commit for p in stored_parts(spark, path)}) == 1
+
+
+def test_bucket_counts_come_from_the_store(spark, tmp_path):
+    path = str(tmp_path / "bags")
+    write_bags(bag_rows(spark, range(20), "train"), path, buckets=4)
+    assert store_buckets(spark, path) == 4
+    write_bags(bag_rows(spark, range(15, 30), "train"), path, buckets=7, mode="append")
+    write_bags(bag_rows(spark, range(30, 33), "a/b=c"), path, buckets=2)
+    assert read_bags(spark, path, "train").count() == 35 and read_bags(spark, path, "a/b=c").count() == 3
+    for bag, n in ((3, 1), (17, 2), (29, 1), (31, 1), (50, 0)):
+        assert read_bag(spark, path, bag).count() == n
+    with pytest.raises(ValueError, match="buckets"):
+        store_buckets(spark, path, "train")
+    assert store_buckets(spark, path, "a/b=c") == 2
