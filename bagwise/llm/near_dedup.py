@@ -9,9 +9,13 @@ Documents with equal sets are one class and go through the search as one. In a b
 compared with the bucket's smallest id; after the components of those links are known, members outside
 the largest component of a bucket are compared with the members of the others. Buckets of equal members
 are one bucket. A pair of a bucket is left out only if both are in one component already, or if sketches
-of the sets tell them apart: parities of hashed shingle counts, which never differ more than the sets do,
-and one bit of each signature value. So components are those of all linked pairs of the buckets, without
-listing a group's pairs. Similarities are of full sets, compared by Spark.
+of the sets prove them unlike: parities of hashed shingle counts, which never differ more than the sets
+do. So components are those of all linked pairs of the buckets, without listing a group's pairs.
+Similarities are of full sets, compared by Spark.
+
+Hardly any band key is met twice. So keys alone are counted first, and only rows of repeated keys go on:
+by a broadcast of those keys while it is small, as measured, and else in one exchange by key. Sketches are
+written once, no table carries them further, and each table goes after its last reader.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import lookup, table, without
-from bagwise.plans.lookup import Salting, even_shares
-from bagwise.plans.scratch import stored
+from bagwise.llm.common import LOOKUP_BYTES, lookup, table, without
+from bagwise.plans.lookup import Salting, even_shares, measured_bytes
+from bagwise.plans.scratch import discard, scratch_path, settle, stored
 
 ROWS = 128
 #: Words whose hashes a task remembers before it starts afresh.
@@ -43,8 +47,9 @@ class NearSettings:
 
     At a similarity of exactly 0.75 a pair meets in no band with a chance of ``(1 - 0.75 ** 8) ** 96``,
     4 in 100,000, at 0.8 of 2 in 100 million; documents that share a third of their text meet in a band
-    with a chance of 1 in 100. Of a linked pair's 768 signature bits an eighth differs; more than
-    ``most_bits`` of them do with a chance below one in ten million.
+    with a chance of 1 in 100. ``most_bits``, off by default, also leaves out second-round pairs that
+    differ in more of their 768 signature bits; of a linked pair's an eighth differs, and more than 150
+    do with a chance below one in ten million.
     """
 
     shingle: int = 5
@@ -52,7 +57,7 @@ class NearSettings:
     bands: int = 96
     per_band: int = 4
     seed: int = 5
-    most_bits: int = 150
+    most_bits: int | None = None
 
 
 class Shingler:
@@ -180,21 +185,39 @@ def shingle_sets(docs: DataFrame, settings: NearSettings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, shingles array<long>")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, settings: NearSettings) -> DataFrame:
-    """Those of the pairs ``a, b`` whose full sets are similar enough.
+class Tables:
+    """Written tables of one search, each removed after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, frame: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        frame.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, self.paths.pop(name))
+
+
+def linked(docs: DataFrame, pairs: DataFrame, settings: NearSettings, tables: Tables, name: str) -> DataFrame:
+    """Those of the pairs ``a, b`` whose full sets are similar enough, kept as a table.
 
     Only texts in a pair are read into sets. The set of ``a`` goes to where ``b``'s set is, in salted
     copies if many pairs share it.
     """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = shingle_sets(lookup(docs.select("doc_id", "text"), ids, ["doc_id"], "inner"), settings)
-    sets = stored(sets, "sets")
+    ids = tables.keep("paired", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = tables.keep("sets", shingle_sets(lookup(docs.select("doc_id", "text"), ids, ["doc_id"], "inner"), settings))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
     both = lookup(lookup(pairs, left, ["a"], "inner"), right, ["b"], "inner")
     common = F.size(F.array_intersect("_sa", "_sb"))
     total = F.size("_sa") + F.size("_sb") - common
-    return both.where(100 * common >= settings.percent * total).select("a", "b")
+    links = tables.keep(name, both.where(100 * common >= settings.percent * total).select("a", "b"))
+    tables.drop("paired", "sets")
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,23 +226,32 @@ def components(links: DataFrame) -> DataFrame:
     Every round hooks each root onto its smallest neighbour, follows hooks to their ends by doubling,
     and replaces the links' ends by their roots. Links inside a component vanish, so rounds shrink.
     """
-    roots = None
-    edges = stored(_oriented(links), "edges")
+    tables, roots, turn = Tables(links.sparkSession), None, 0
+    edges = tables.keep("edges", _oriented(links))
     while not edges.isEmpty():
-        hook = stored(edges.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root")), "hooks")
+        lowest = edges.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        hook, held = tables.keep("hooks", lowest), "hooks"
         while True:
             onward = hook.select(F.col("node").alias("root"), F.col("root").alias("_next"))
             jumped = lookup(hook, onward, ["root"])
             if jumped.where(F.col("_next").isNotNull()).isEmpty():
                 break
-            hook = stored(jumped.select("node", F.coalesce("_next", "root").alias("root")), "hooks")
+            turn += 1
+            hook = tables.keep(f"hooks{turn}", jumped.select("node", F.coalesce("_next", "root").alias("root")))
+            tables.drop(held)
+            held = f"hooks{turn}"
+        turn += 1
         if roots is None:
-            roots = hook
+            roots = tables.keep(f"roots{turn}", hook)
         else:
             further = hook.select(F.col("node").alias("root"), F.col("root").alias("_next"))
             moved = lookup(roots, further, ["root"]).select("node", F.coalesce("_next", "root").alias("root"))
-            roots = stored(moved.unionByName(hook), "roots")
-        edges = stored(_oriented(_relabelled(edges, hook)), "edges")
+            roots = tables.keep(f"roots{turn}", moved.unionByName(hook))
+            tables.drop(own)
+        own = f"roots{turn}"
+        rest = tables.keep(f"edges{turn}", _oriented(_relabelled(edges, hook)))
+        tables.drop(held, "edges" if "edges" in tables.paths else before)
+        edges, before = rest, f"edges{turn}"
     if roots is None:
         kind = links.schema["a"].dataType.simpleString()
         return links.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
@@ -244,28 +276,51 @@ def _bucket_join(members: DataFrame, keyed: DataFrame, sizes: DataFrame) -> Data
     share = even_shares(members)
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slot = max(1, total // share)
-    hot = stored(sizes.where(F.col("n") > slot).select("key", F.ceil(F.col("n") / slot).cast("int").alias("_salts")), "hot")
+    hot = settle(sizes.where(F.col("n") > slot).select("key", F.ceil(F.col("n") / slot).cast("int").alias("_salts")))
     salting = Salting(["key"], hot, share)
     joined = salting.rows(members).join(salting.copies(keyed), ["key", "_salt"])
     return joined.drop("_salt")
 
 
+def _members(sketches: DataFrame, copies: DataFrame, tables: Tables) -> DataFrame:
+    """``key, doc_id, n_shingles`` of the bands that two classes or more share, a class being its smallest id."""
+    own = lookup(sketches.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull()), copies, ["same"])
+    first = own.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
+    banded = first.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
+    repeated = tables.keep("repeated", banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if measured_bytes(repeated.select("key")) <= LOOKUP_BYTES:
+        met = banded.join(F.broadcast(repeated.select("key")), "key")
+    else:
+        met = _bucket_join(banded, repeated.select("key"), repeated)
+    # Rows that repeat an id and a set are one member.
+    members = tables.keep("banded", met.select("key", "doc_id", "n_shingles").distinct())
+    tables.drop("repeated")
+    return members
+
+
+def _bridges(told: DataFrame, copies: DataFrame) -> DataFrame:
+    """``a, b``: an id that several sets bear, and the names of those sets' classes."""
+    known = told.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
+    mixed = known.groupBy("doc_id").agg(F.min("same").alias("_low"), F.max("same").alias("_high")).where("_low <> _high")
+    sets = lookup(known.select("doc_id", "same"), mixed.select("doc_id"), ["doc_id"], "inner")
+    return lookup(sets, copies, ["same"], "inner").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Fewer than five words are one shingle; without words a document is in a component of its own. Rows
     that repeat an id are one document, linked with what any of its texts is linked with. A null id is
     never smallest and is found by equal sets only: alone, its component is null. An empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. Runs jobs when called.
     """
-    sketches = stored(sketch(docs, settings), "sketches")
-    # Equal sets are one class, named by its smallest id; its bands travel along once.
-    named = sketches.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
-    first = named.groupBy("same").agg(
-        F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("r"), F.count(F.lit(1)).alias("copies")
-    )
-    classes = stored(first.select("same", "copies", "r.*"), "classes")
-    banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    tables = Tables(docs.sparkSession)
+    sketches = tables.keep("sketches", sketch(docs, settings))
+    told = tables.keep("told", sketches.select("doc_id", "n_shingles", "same"))
+    # Equal sets are one class, named by its smallest id.
+    per_set = told.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    copies = tables.keep("copies", per_set.where("copies > 1").select("same", "first"))
+    banded = _members(sketches, copies, tables)
     mark = F.bit_xor(F.xxhash64("doc_id")).alias("_mark")
     sizes = banded.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("first"), mark
@@ -273,44 +328,55 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     # Close copies meet in many bands: of buckets with equal members, one is as good as all. Only the
     # bands of one first document are told apart by the 64-bit mark, so a clash is out of reach.
     alike = sizes.where("n > 1").groupBy("n", "first", "_mark").agg(F.min("key").alias("key"))
-    buckets = stored(alike.select("key", "n", "first"), "buckets")
+    buckets = tables.keep("buckets", alike.select("key", "n", "first"))
     heads = buckets.select("key", F.col("first.doc_id").alias("a"), F.col("first.n_shingles").alias("_na"))
-    members = _bucket_join(banded, heads, buckets)
-    members = stored(members.select("key", "doc_id", "n_shingles", "a", "_na"), "members")
+    members = tables.keep("members", _bucket_join(banded, heads, buckets).select("key", "doc_id", "n_shingles", "a", "_na"))
+    tables.drop("banded", "buckets")
 
     near = 100 * F.least("_na", "n_shingles") >= settings.percent * F.greatest("_na", "n_shingles")
     pairs = members.where((F.col("a") != F.col("doc_id")) & near).select("a", F.col("doc_id").alias("b")).distinct()
-    tried = stored(pairs, "pairs")
-    links = stored(linked(docs, tried, settings), "links")
+    tried = tables.keep("pairs", pairs)
+    links = linked(docs, tried, settings, tables, "links").unionByName(tables.keep("bridges", _bridges(told, copies)))
     roots = components(links)
     # All other pairs of a bucket that could still join two components: none is left after these.
-    found = stored(linked(docs, stored(_untried(members, classes, roots, tried, settings), "pairs"), settings), "links")
+    further = _untried(members, sketches, roots, tried, settings, tables)
+    tables.drop("members", "pairs", "sketches")
+    found = linked(docs, further, settings, tables, "found")
     if not found.isEmpty():
-        roots = stored(components(links.unionByName(found)), "roots")
+        roots = components(links.unionByName(found))
+    tables.drop("links", "bridges", "untried", "found")
 
-    of = roots.select(F.col("node").alias("doc_id"), "root")
-    class_root = lookup(classes.select("same", "copies", "doc_id"), of, ["doc_id"])
+    of = roots.select(F.col("node").alias("first"), "root")
     # A class of one document that nothing links to needs no row here.
-    told = class_root.where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("same", F.coalesce("root", "doc_id").alias("_root"))
-    out = lookup(sketches.select("doc_id", "n_shingles", "same"), stored(told, "roots"), ["same"])
+    alone = told.where(F.col("doc_id").isNotNull()).select("same", F.col("doc_id").alias("first"))
+    single = lookup(alone, of, ["first"], "inner").select("same", F.col("root").alias("_root"))
+    several = lookup(copies, of, ["first"]).select("same", F.coalesce("root", "first").alias("_root"))
+    by_set = stored(single.unionByName(several).groupBy("same").agg(F.min("_root").alias("_root")), "sets")
+    tables.drop("copies")
+    out = lookup(told, by_set, ["same"])
     component = F.coalesce("_root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _untried(members: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFrame, settings: NearSettings) -> DataFrame:
+def _untried(
+    members: DataFrame, sketches: DataFrame, roots: DataFrame, tried: DataFrame, settings: NearSettings, tables: Tables
+) -> DataFrame:
     """Pairs of bucket members in different components that have not been compared.
 
-    One of the two is outside the bucket's largest component. Pairs whose sizes or signature bits rule
-    a link out are dropped by the join itself.
+    One of the two is outside the bucket's largest component. Pairs whose sizes or sketches rule a link
+    out are dropped by the join itself.
     """
     of = roots.select(F.col("node").alias("doc_id"), "root")
     placed = lookup(members.select("key", "doc_id", "n_shingles"), of, ["doc_id"])
     placed = placed.withColumn("root", F.coalesce("root", "doc_id"))
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("n"))
-    mixed = stored(largest.where("c > 1").select("key", F.col("top.root").alias("_top"), "n"), "mixed")
-    inside = _bucket_join(placed, mixed.select("key", "_top"), mixed)
-    inside = stored(lookup(inside, classes.select("doc_id", "bits"), ["doc_id"], "inner"), "inside")
+    mixed = tables.keep("mixed", largest.where("c > 1").select("key", F.col("top.root").alias("_top"), "n"))
+    within = tables.keep("within", _bucket_join(placed, mixed.select("key", "_top"), mixed))
+    ids = tables.keep("ids", within.select("doc_id").distinct())
+    bits = lookup(sketches.select("doc_id", "n_shingles", "bits"), ids, ["doc_id"], "inner")
+    bits = tables.keep("bits", bits.distinct())
+    inside = tables.keep("inside", lookup(within, bits, ["doc_id", "n_shingles"], "inner"))
     outside = inside.where(F.col("root") != F.col("_top")).select(
         "key", F.col("doc_id").alias("_o"), F.col("n_shingles").alias("_na"), F.col("root").alias("_ro"), F.col("bits").alias("_bo")
     )
@@ -323,10 +389,14 @@ def _untried(members: DataFrame, classes: DataFrame, roots: DataFrame, tried: Da
     # Sets of n and m shingles are linked if they differ in (n + m) * (100 - p) / (100 + p) or fewer.
     p = settings.percent
     unlike = (100 + p) * apart(range(first, first + PARITIES // 64)) > (100 - p) * (F.col("n_shingles") + F.col("_na"))
-    new = (F.col("root") != F.col("_ro")) & near & ~unlike & (apart(range(first)) <= settings.most_bits)
+    new = (F.col("root") != F.col("_ro")) & near & ~unlike
+    if settings.most_bits is not None:
+        new = new & (apart(range(first)) <= settings.most_bits)
     met = _bucket_join(inside, outside, mixed).where(new)
     pairs = met.select(F.least("doc_id", "_o").alias("a"), F.greatest("doc_id", "_o").alias("b")).distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    out = tables.keep("untried", pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    tables.drop("mixed", "within", "ids", "bits", "inside")
+    return out
 
 
 def keep_distinct(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
