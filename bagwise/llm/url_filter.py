@@ -4,6 +4,10 @@ Rules name a host and the start of a path. URLs that a rule judges train two smo
 variable order, one of accepted and one of rejected URLs. The others are judged by the difference of
 their log-likelihoods per character, against a threshold calibrated on judged URLs held out from the
 counts. Everything is counted by grouping and looked up by joins of built-in functions.
+
+A URL is split into symbols once, in time linear in its length, and its character groups are numbers that
+travel with a 128-bit key, never with the URL. The alphabet is closed, so all groups there can be are
+``len(ALPHABET) ** (order + 1)``: that bounds the table of their ratios, which is broadcast.
 """
 
 from __future__ import annotations
@@ -81,10 +85,34 @@ def symbols_of(url: Column, order: int) -> Column:
     return F.concat(F.lit("^" * order), F.regexp_replace(low, f"[^{known}]", "~"), F.lit("!"))
 
 
-def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """Each character of each URL with the ``order`` before it, as one string."""
-    last = F.explode(F.sequence(F.lit(order + 1), F.length("_symbols"))).alias("_at")
-    return urls.select("*", last).withColumn("_gram", F.substr("_symbols", F.col("_at") - order, F.lit(order + 1)))
+def _codes(symbols: Column, order: int) -> Column:
+    """Each symbol with the ``order`` before it, as one number in base ``len(ALPHABET)``; in order."""
+    base = len(ALPHABET)
+    digits = F.transform(F.filter(F.split(symbols, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(ALPHABET)) - 1).cast("long"))
+
+    def joined(all_digits: Column) -> Column:
+        n = F.greatest(F.size(all_digits) - order, F.lit(0))
+        out = F.slice(all_digits, F.lit(1), n)
+        for later in range(1, order + 1):
+            out = F.zip_with(out, F.slice(all_digits, F.lit(later + 1), n), lambda a, b: a * base + b)
+        return out
+
+    # One element stands for a variable: the symbols are split once.
+    return F.flatten(F.transform(F.array(digits), joined))
+
+
+def _gram(code: Column, order: int) -> Column:
+    """The symbols of a code."""
+    base = len(ALPHABET)
+    letters = [F.substr(F.lit(ALPHABET), (F.floor(code / base**at) % base + 1).cast("int"), F.lit(1)) for at in range(order, -1, -1)]
+    return F.concat(*letters)
+
+
+def _spread(urls: DataFrame) -> DataFrame:
+    """The URLs over all tasks: a short table makes long work once its URLs are taken apart."""
+    context = urls.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return urls.repartition(tasks, "_key")
 
 
 def character_models(judged: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
@@ -96,10 +124,9 @@ def character_models(judged: DataFrame, settings: ModelSettings = ModelSettings(
     """
     k, beta = settings.order, settings.prior
     is_a = F.col("_verdict") == "allow"
-    full = stored(
-        _grams(judged, k).groupBy("_gram").agg(F.sum(is_a.cast("long")).alias("na"), F.sum((~is_a).cast("long")).alias("nb")),
-        "grams",
-    )
+    codes = judged.select(is_a.alias("_a"), F.explode(_codes(F.col("_symbols"), k)).alias("_code"))
+    counts = codes.groupBy("_code").agg(F.count_if("_a").alias("na"), F.count_if(~F.col("_a")).alias("nb"))
+    full = stored(counts.select(_gram(F.col("_code"), k).alias("_gram"), "na", "nb"), "grams")
     letters = F.explode(F.array(*[F.lit(c) for c in ALPHABET])).alias("c")
     lower, entries = None, []
     for n in range(k + 1):
@@ -129,18 +156,28 @@ def character_models(judged: DataFrame, settings: ModelSettings = ModelSettings(
     return out
 
 
-def score_urls(urls: DataFrame, model: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
-    """``url, score``: mean over the characters of ln(accepted / rejected) after the longest kept context."""
+def gram_ratios(urls: DataFrame, model: DataFrame, settings: ModelSettings) -> DataFrame:
+    """``_code, v`` of every group of symbols in the URLs: ln(accepted / rejected) after the longest kept context."""
     entries = stored(model.select("gram", F.ln(F.col("pa") / F.col("pb")).alias("v")), "ratios")
     size = measured_bytes(entries)
-    rows = _grams(urls, settings.order).select("url", "_gram")
+    seen = urls.select(F.explode(_codes(F.col("_symbols"), settings.order)).alias("_code")).distinct()
+    rows = seen.withColumn("_gram", _gram(F.col("_code"), settings.order))
     found = []
     for n in range(settings.order, -1, -1):
         keyed = entries.where(F.length("gram") == n + 1).select(F.col("gram").alias(f"_g{n}"), F.col("v").alias(f"_v{n}"))
         rows = rows.withColumn(f"_g{n}", F.substr("_gram", F.lit(settings.order + 1 - n)))
         rows = lookup_join(rows, keyed, [f"_g{n}"], budget=LOOKUP_BYTES, table_bytes=size)
         found.append(F.col(f"_v{n}"))
-    return rows.groupBy("url").agg((F.sum(F.coalesce(*found)) / F.count(F.lit(1))).alias("score"))
+    return rows.select("_code", F.coalesce(*found).alias("v"))
+
+
+def score_urls(urls: DataFrame, model: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
+    """``_key, score``: mean over the symbols of a URL of their ratios."""
+    spread = _spread(urls.select("_key", "_symbols"))
+    ratios = stored(gram_ratios(spread, model, settings), "ratios")
+    rows = spread.select("_key", F.explode(_codes(F.col("_symbols"), settings.order)).alias("_code"))
+    # At most len(ALPHABET) ** (order + 1) rows of two numbers.
+    return rows.join(F.broadcast(ratios), "_code").groupBy("_key").agg((F.sum("v") / F.count(F.lit(1))).alias("score"))
 
 
 def calibrated(scores: DataFrame) -> float:
@@ -166,6 +203,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Mode
     urls = stored(
         parts.select(
             "*",
+            F.unhex(F.md5("url")).alias("_key"),
             rule_of(F.col("host"), F.col("path"), rules, "name").alias("rule"),
             rule_of(F.col("host"), F.col("path"), rules, "verdict").alias("_verdict"),
             symbols_of(F.col("url"), settings.order).alias("_symbols"),
@@ -175,14 +213,14 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Mode
         "urls",
     )
     judged = urls.where(F.col("_verdict").isNotNull())
-    model = character_models(judged.where(~F.col("_held_out")), settings)
+    model = character_models(_spread(judged.where(~F.col("_held_out"))), settings)
     scores = stored(score_urls(urls, model, settings), "scores")
-    scored = stored(urls.drop("_symbols").join(scores, "url"), "scored")
+    scored = stored(urls.drop("_symbols", "url").join(scores, "_key"), "scored")
     limit = calibrated(scored.where(F.col("_verdict").isNotNull() & F.col("_held_out")))
     verdict = F.coalesce("_verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))
-    told = scored.select(F.col("url").alias("_url"), "host", "path", "rule", verdict.alias("verdict"), "score")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("_url"))
-    return lookup(rows, told, ["_url"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    told = scored.select("_key", "host", "path", "rule", verdict.alias("verdict"), "score")
+    rows = pages.select("page_id", F.unhex(F.md5(F.coalesce("url", F.lit("")))).alias("_key"))
+    return lookup(rows, told, ["_key"]).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nulls, empty and odd texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -289,3 +290,24 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (98, 98)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == got[99] == 98
+
+
+def test_long_urls_take_time_in_proportion(spark):
+    """A URL of a million characters, and what its score must be by the model."""
+    long = "http://nice1.net/" + "page/" * 200_000
+    rows = [(i, f"http://{'nice' if i % 2 else 'spam'}{i % 7}.{'org' if i % 2 else 'com/de'}/page") for i in range(60)]
+    pages = spark.createDataFrame([*rows, (1000, long), (1001, None), (1002, "http://nice1.net/" + "ÄÖ" * 300)], "page_id long, url string")
+    begin = time.perf_counter()
+    out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert len(out) == 63 and out[1000].path == "/" + "page/" * 200_000 and out[1000].score is not None
+    assert time.perf_counter() - begin < 90
+
+
+def test_codes_are_the_groups_of_symbols(spark):
+    urls = ["", "a", "http://Ab9.com/x?y=1&z#ü"]
+    frame = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.symbols_of(F.col("u"), 3).alias("s"))
+    grams = frame.select("s", F.explode(url_filter._codes(F.col("s"), 3)).alias("c")).select("s", url_filter._gram(F.col("c"), 3).alias("g"))
+    found = {}
+    for r in grams.collect():
+        found.setdefault(r.s, []).append(r.g)
+    assert found == {s: [s[i : i + 4] for i in range(len(s) - 3)] for (s,) in frame.collect()}
