@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bagwise.llm.common import lookup, table
 from bagwise.plans.scratch import scratch_path, stored
@@ -225,7 +226,12 @@ def _manifest(listed: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
 
 
 def write_legacy(pages: DataFrame, folder: str, date: str = "20200101000000") -> DataFrame:
-    """Write pages as ARC files of both versions; returns the table of files."""
+    """Write pages as ARC files of both versions; returns the table of files.
+
+    Page ids are whole numbers, which a header of each record carries; other ids are an error.
+    """
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError("page ids must be whole numbers")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = {v: ArchiveFiles(folder, f".v{v}.arc.gz", arc_head(v)) for v in ARC_FIELDS}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bagwise.llm.common import table
 
@@ -37,6 +38,8 @@ _TAIL = "|".join(re.escape(c[1:]) for c in CONTROLS)
 #: A control string with any number of backslashes after its first character.
 GUARDED = re.compile(rf"([<\[])(\\*)({_TAIL})")
 CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
+#: Characters of a conversation that are joined at a time, but for a longer turn.
+PART_CHARS = 1 << 20
 ROWS = 512
 
 
@@ -137,20 +140,32 @@ def in_order(formatted: DataFrame) -> DataFrame:
 
 
 class Reader:
-    """Reads a conversation's rendered text piece by piece and keeps running digests only."""
+    """Reads a conversation's joined text and keeps running digests only.
+
+    Where a turn ends is for the grammar to say: turns are joined first, into parts of bounded size, and
+    counted as the parser finds them.
+    """
 
     def __init__(self):
-        self.turns = self.loss = self.chars = 0
-        self.all, self.masked = hashlib.sha256(), hashlib.sha256()
+        self.turns = self.loss = self.chars = self.size = 0
+        self.all, self.masked, self.held = hashlib.sha256(), hashlib.sha256(), []
 
     def take(self, rendered: str) -> None:
-        for role, text, _, _ in parse(rendered):
+        self.held.append(rendered)
+        self.size += len(rendered)
+        if self.size > PART_CHARS:
+            self.read()
+
+    def read(self) -> None:
+        joined = "".join(self.held)
+        self.held, self.size = [], 0
+        for role, text, _, _ in parse(joined):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
             if role == "assistant":
                 self.loss += len(text)
                 self.masked.update(text.encode())
-        self.chars += len(rendered)
+        self.chars += len(joined)
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
@@ -160,7 +175,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     conversation are one conversation with a null id. Repeated rows are turns of their own.
     """
     kind = formatted.schema["conv_id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    id_type = to_arrow_type(kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reader, done = None, None, []
@@ -171,6 +186,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         def close() -> None:
+            reader.read()
             done.append((current, reader.turns, reader.all.hexdigest(), reader.loss, reader.masked.hexdigest(), reader.chars))
 
         for batch in batches:
@@ -193,14 +209,13 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     return in_order(formatted).select("conv_id", "rendered").mapInArrow(read, schema)
 
 
-def conversation_texts(formatted: DataFrame, most_chars: int = 1 << 20) -> DataFrame:
+def conversation_texts(formatted: DataFrame, most_chars: int = PART_CHARS) -> DataFrame:
     """The training texts: ``conv_id, part, text, loss_spans``.
 
     A conversation longer than ``most_chars`` comes in parts, cut between turns. Spans are begins and
     ends, in characters of the part, of the raw assistant texts.
     """
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type, kind = to_arrow_type(formatted.schema["conv_id"].dataType), formatted.schema["conv_id"].dataType.simpleString()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, part, pieces, spans, size, begun = None, 0, [], [], 0, False

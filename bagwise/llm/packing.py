@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bagwise.llm.common import table, text_of
 
@@ -235,7 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, settings: PackSettings = Pac
 
     NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kind = docs.schema["doc_id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    id_type = to_arrow_type(kind)
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select("doc_id", text_of().alias("_text")).mapInArrow(packed, schema)
 

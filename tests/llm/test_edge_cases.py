@@ -1,5 +1,6 @@
 """Nulls, empty and odd texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
+import hashlib
 import sys
 import time
 from pathlib import Path
@@ -305,3 +306,31 @@ def test_codes_are_the_groups_of_symbols(spark):
     for r in grams.collect():
         found.setdefault(r.s, []).append(r.g)
     assert found == {s: [s[i : i + 4] for i in range(len(s) - 3)] for (s,) in frame.collect()}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "date", "decimal(20,0)"])
+def test_ids_of_other_types(spark, kind):
+    ids = spark.range(3).select(F.lit("2020-01-01").cast("date") if kind == "date" else F.col("id").cast(kind).alias("i"), F.lit("a b").alias("text"))
+    docs = ids.toDF("doc_id", "text")
+    assert dict(packing.pack_documents(docs, packing.production_tokenizer()).dtypes)["doc_id"] == kind
+    assert packing.pack_documents(docs, packing.production_tokenizer()).count() >= 3
+    turns = ids.toDF("conv_id", "text").withColumns({"turn": F.lit(1), "role": F.lit("user")})
+    formatted = chat_format.format_turns(turns)
+    assert {r.n_turns for r in chat_format.digest_conversations(formatted).collect()} == ({3} if kind == "date" else {1})
+    assert dict(chat_format.conversation_texts(formatted).dtypes)["conv_id"] == kind
+
+
+def test_pages_without_numbers_are_refused(spark, tmp_path):
+    with pytest.raises(TypeError, match="whole numbers"):
+        archives.write_legacy(spark.createDataFrame([("p1", "u", "h")], "page_id string, url string, html string"), str(tmp_path))
+
+
+@pytest.mark.parametrize("size", [1, 60, 1 << 20])
+def test_turns_are_counted_in_joined_texts(spark, size, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART_CHARS", size)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} </s>[INST] of {c}") for c in (1, 2) for t in range(7)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    for r in chat_format.digest_conversations(formatted).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.n_turns == 7 and r.loss_chars == sum(len(x[3]) for x in own if x[2] == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in own).encode()).hexdigest()
