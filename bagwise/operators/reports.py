@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bagwise.plans.lookup import lookup_join
 from bagwise.plans.ordered import global_rank
+from bagwise.plans.scratch import settle
 
 # Fixed value: bars of the attention histogram.
 HISTOGRAM_BINS = 50
@@ -23,7 +24,7 @@ def attention_histogram(attention: DataFrame, bags: DataFrame, bins: int = HISTO
     """``label, bin, lo_edge, hi_edge, log10_lo_edge, n``: equal bins over each label's own range.
 
     Empty bins are listed. A range of no width is widened by one half on both sides. The attention
-    frame is read twice; store it first if computing it is dear.
+    frame is read twice, once when called; store it first if computing it is dear.
     """
     rows = lookup_join(attention, bags.select("bag_id", "label"), ["bag_id"], "inner").select("label", "attention")
     ends = rows.groupBy("label").agg(F.min("attention").alias("lo"), F.max("attention").alias("hi"))
@@ -34,9 +35,10 @@ def attention_histogram(attention: DataFrame, bags: DataFrame, bins: int = HISTO
             "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")),
         }
     )
-    # A bag's label is 0 or 1: the ranges are two rows.
+    # A row per label, of which there are few.
+    ends = settle(ends)
     nth = F.least(F.width_bucket("attention", "lo", "hi", F.lit(bins)), F.lit(bins))
-    counted = rows.join(F.broadcast(ends), "label").groupBy("label", nth.cast("int").alias("bin")).agg(
+    counted = lookup_join(rows, ends, ["label"], "inner").groupBy("label", nth.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
     slots = ends.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
