@@ -101,7 +101,8 @@ def frequency_encode(
 ) -> DataFrame:
     """Add ``<token>_freq``, the number of rows of the bag with the same token.
 
-    A null token has no frequency: its cell stays null until :func:`clean_columns` makes it 0.
+    A null token has no frequency: its cell stays null until :func:`clean_columns` makes it 0. The rows
+    are read twice: a job counts when called.
     """
     counts = settle(token_frequencies(rows, tokens, bag))
     size = measured_bytes(counts)  # of all tokens together: no less than any one of them

@@ -243,8 +243,8 @@ def attention_weights(
 ) -> DataFrame:
     """``bag_id, instance_id, attention``; the weights of a bag add up to 1.
 
-    ``bags`` are settled ``top, mass`` per bag from :func:`score_bags`, if already at hand. A gated
-    scorer gives an array of weights, one per hidden unit.
+    ``bags`` are settled ``top, mass`` per bag from :func:`score_bags`, if already at hand; else a job
+    finds them when called. A gated scorer gives an array of weights, one per hidden unit.
     """
     if isinstance(model, GatedAttentionModel):
         return gated_attention_weights(instances, model, budget=budget)

@@ -22,11 +22,13 @@ def feature_ranges(df: DataFrame, columns: Sequence[str], bag: str = "bag_id") -
     return df.groupBy(bag).agg(*ends)
 
 
-def minmax_scale(
-    df: DataFrame, columns: Sequence[str], bag: str = "bag_id", *, budget: int = BROADCAST_BYTES
+def scale_by(
+    df: DataFrame, columns: Sequence[str], ends: DataFrame, bag: str = "bag_id", *, budget: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Scale each column to [0, 1] within its bag; a column constant in the bag becomes 0."""
-    ends = feature_ranges(df, columns, bag)
+    """Scale each column to [0, 1] by known ends, ``<column>_min`` and ``<column>_max`` of each bag.
+
+    A column constant in the bag becomes 0. Runs a job when called, over the ends.
+    """
     # Two arrays instead of two columns per feature: the join stays narrow enough for generated code.
     packed = [F.array(*[F.col(f"`{c}_{end}`") for c in columns]).alias(f"_{end}") for end in ("min", "max")]
     ranges = settle(ends.select(bag, *packed))
@@ -36,3 +38,13 @@ def minmax_scale(
         value, low, high = F.col(f"`{c}`").cast("double"), F.col("_min")[i], F.col("_max")[i]
         scaled[c] = F.when(low != high, (value - low) / (high - low)).otherwise(value * 0.0)
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])
+
+
+def minmax_scale(
+    df: DataFrame, columns: Sequence[str], bag: str = "bag_id", *, budget: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Scale each column to [0, 1] within its bag; a column constant in the bag becomes 0.
+
+    The rows are read twice: a job finds the ranges when called.
+    """
+    return scale_by(df, columns, feature_ranges(df, columns, bag), bag, budget=budget)

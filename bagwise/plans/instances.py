@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from bagwise.functions.columns import fragment_length, label_key, normalise_bin
 from bagwise.operators.joins import SIGNATURE_SUFFIXES, join_signatures, signature_columns
 from bagwise.operators.prepare import assemble_features, clean_columns
-from bagwise.operators.scaling import minmax_scale
+from bagwise.operators.scaling import feature_ranges, scale_by
 from bagwise.plans.lookup import BROADCAST_BYTES, lookup_join, measured_bytes
+from bagwise.plans.ordered import join_by
 from bagwise.plans.scratch import settle
 from bagwise.sources.delimited import extra_columns, number_columns
 
@@ -33,8 +34,8 @@ def signature_instances(
     ``tables`` maps ``out5p``, ``in5p`` and ``length_bin`` to their signature tables, in this order.
     An instance has its fragment's id, so that attention joins back to fragments. Where a repeated
     signature key makes several instances of one fragment, the first has it and the others an id of their
-    own; ``fragment_ids`` adds the fragment's to each. Scaling reads the rows twice: store the unscaled
-    rows first if they come from text.
+    own; ``fragment_ids`` adds the fragment's to each. Scaling reads the rows twice, but joins them to the
+    tables once: ranges come from the tokens that each bag holds (:func:`signature_ranges`).
     """
     features = signature_features(fragments, tables)
     rows = fragments.withColumn("length_bin", normalise_bin("length_bin"))
@@ -48,10 +49,34 @@ def signature_instances(
         joined.select(*[named[k].alias(k) for k in keys], *[F.col(f"`{c}`") for c in features]), features
     )
     if scale:
-        cleaned = minmax_scale(cleaned, features, budget=budget)
+        ends = signature_ranges(rows.withColumnRenamed("sample_name", "bag_id"), typed, number_columns(fragments), budget=budget)
+        cleaned = scale_by(cleaned, features, ends, budget=budget)
     return assemble_features(cleaned, features, keys)
 
 
+def signature_ranges(rows: DataFrame, tables: dict[str, DataFrame], own: list[str], *, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """``bag_id, <feature>_min, <feature>_max`` of every feature, from one scan that counts tokens.
+
+    A bag's likelihoods are those of the tokens it holds, 0 for a token without one; the ends of the
+    file's own numbers are kept per token and merged.
+    """
+    tokens = list(tables)
+    numbers = clean_columns(rows.select("bag_id", *tokens, *[F.col(f"`{c}`") for c in own]), own)
+    pairs = F.array(*[F.struct(F.lit(t).alias("_kind"), F.col(t).alias("_token")) for t in tokens])
+    ends = [f(F.col(f"`{c}`")).alias(f"{c}_{n}") for c in own for n, f in (("min", F.min), ("max", F.max))]
+    held = numbers.select("bag_id", *[F.col(f"`{c}`") for c in own], F.inline(pairs))
+    counts = settle(held.groupBy("bag_id", "_kind", "_token").agg(F.count(F.lit(1)).alias("_n"), *ends))
+    merged = [f(F.col(f"`{c}_{n}`")).alias(f"{c}_{n}") for c in own for n, f in (("min", F.min), ("max", F.max))]
+    out = counts.groupBy("bag_id").agg(F.count(F.lit(1)).alias("_n"), *merged).drop("_n")
+    for t in tokens:
+        of = counts.where(F.col("_kind") == t).select(F.col("bag_id").alias("sample_name"), F.col("_token").alias(t))
+        met = join_signatures(of, {t: tables[t]}, budget=budget, warn_duplicates=False)
+        names = [f"{c}{SIGNATURE_SUFFIXES[t]}" for c in signature_columns(tables[t])]
+        likelihoods = clean_columns(met, names).withColumnRenamed("sample_name", "bag_id")
+        out = join_by(out, feature_ranges(likelihoods, names), ["bag_id"])
+    return out
+
+
 # The features of the frequency path that are scaled, behind the file's own numbers.
 FREQUENCY_TOKENS = ("out5p", "in5p")
 FREQUENCY_SCALED = ("fragment_length", "out5p_freq", "in5p_freq")

@@ -7,7 +7,8 @@ from bagwise.functions.columns import sample_from_path
 from bagwise.operators.joins import attach_labels
 from bagwise.operators.model import AttentionModel, GatedAttentionModel
 from bagwise.operators.pooling import attention_weights
-from bagwise.operators.prepare import cell_faults
+from bagwise.operators.prepare import cell_faults, clean_columns
+from bagwise.operators.scaling import feature_ranges
 from bagwise.plans.instances import bags_of, frequency_instances, signature_features, signature_instances
 from bagwise.plans.scratch import settle
 from bagwise.sources import (
@@ -371,3 +372,22 @@ def test_bucket_counts_come_from_the_store(spark, tmp_path):
     with pytest.raises(ValueError, match="buckets"):
         store_buckets(spark, path, "train")
     assert store_buckets(spark, path, "a/b=c") == 2
+
+
+def test_scaled_path_joins_its_rows_once(spark, files, monkeypatch):
+    """Ranges from tokens are those of the joined rows, and only a scan of its own is spent on them."""
+    from bagwise.plans import instances
+
+    rows, settled = read_fragments(spark, paths(spark, files), width=10, distinct_ids=False), []
+    tables = {t: read_signatures(spark, str(files / f"{t}.csv")) for t in ("out5p", "in5p", "length_bin")}
+    names = signature_features(rows, tables)
+    with pytest.warns(UserWarning):
+        plain = signature_instances(rows, tables)
+    flat = plain.select("bag_id", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    expected = {r.bag_id: r for r in feature_ranges(flat, names).collect()}
+    typed = {t: clean_columns(tables[t], ["a", "b"]) for t in tables}
+    named = rows.withColumn("length_bin", F.replace("length_bin", F.lit("-"), F.lit("_"))).withColumnRenamed("sample_name", "bag_id")
+    monkeypatch.setattr(instances, "settle", lambda df: settled.append(df) or settle(df))
+    found = instances.signature_ranges(named, typed, ["gc_content", "gc_weight"])
+    assert {r.bag_id: {c: r[c] for c in r.asDict()} for r in found.collect()} == {b: r.asDict() for b, r in expected.items()}
+    assert len(settled) == 1 and settled[0]._jdf.queryExecution().optimizedPlan().toString().count("] csv") == 1
