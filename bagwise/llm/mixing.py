@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagwise.llm.common import WORD, lookup, table, text_of
 from bagwise.llm.quality_rules import SYMBOLS
-from bagwise.plans.ordered import in_slices, running_totals
-from bagwise.plans.scratch import stored
+from bagwise.plans.ordered import global_rank, in_slices, running_totals
+from bagwise.plans.scratch import settle, stored
 
 
 @dataclass(frozen=True)
@@ -62,20 +62,25 @@ def targets(rows: DataFrame, mix: Mix) -> DataFrame:
     """One row per source: ``source_size, target`` and its epochs and rest.
 
     A source never gets more than ``most_epochs`` times its size; what it cannot take is shared out to
-    the others by weight. With the sources in order of cap over weight, that is one running sum.
+    the others by weight. With the sources in order of cap over weight, that is one running sum, taken
+    over ranges of the sources: there may be as many as there are hosts.
     """
     sizes = rows.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    by_name = F.col("source").asc_nulls_last()
+    turn = F.col("_turn") - 1
     weight = F.get(F.array(*[F.lit(w) for w in mix.weights]), turn % len(mix.weights))
-    capped = sizes.withColumn("_w", weight.cast("double")).withColumn("_cap", F.col("source_size") * float(mix.most_epochs))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) * mix.budget - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(onward)
-    levels = capped.withColumn("_level", level).withColumn("_fits", F.col("_level") <= F.col("_cap") / F.col("_w"))
-    settled = F.min(F.when(F.col("_fits"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level").alias("level")))).over(every)["level"]
-    share = F.least(F.col("_cap"), F.col("_w") * F.coalesce(settled, F.lit(float("inf"))))
+    capped = global_rank(sizes, [by_name], "_turn").withColumn("_w", weight.cast("double"))
+    capped = capped.withColumn("_cap", F.col("source_size") * float(mix.most_epochs))
+    order = [F.col("_cap") / F.col("_w"), by_name]
+    summed = settle(running_totals(in_slices(capped, order), order, {"_caps": F.col("_cap"), "_ws": F.col("_w")}))
+    words, all_weights = summed.agg(F.sum("source_size"), F.sum("_w")).first()
+    # What is left behind the sources before this one, shared by this one and those after it.
+    left = F.lit((words or 0) * mix.budget) - F.col("_caps") + F.col("_cap")
+    levels = summed.withColumn("_level", left / (F.lit(all_weights or 1.0) - F.col("_ws") + F.col("_w")))
+    fits = F.col("_level") <= F.col("_cap") / F.col("_w")
+    first = levels.where(fits).agg(F.min(F.struct(F.col("_cap") / F.col("_w"), F.col("_level").alias("level")))["level"]).first()[0]
+    settled = F.lit(float("inf") if first is None else first)
+    share = F.least(F.col("_cap"), F.col("_w") * settled)
     epochs = F.when(F.col("source_size") > 0, F.floor(share / F.col("source_size"))).otherwise(0)
     return levels.withColumn("target", share).select(
         "_source", "source_size", "target",
