@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagwise.plans.lookup import lookup_join
+from bagwise.plans.scratch import discard, scratch_path
 
 #: White space as a regular expression class, and what is not.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,6 +35,23 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
+class Tables:
+    """Written tables of one job, by name, each removed after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, frame: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        frame.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, self.paths.pop(name))
+
+
 def lookup(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """A join that broadcasts the keyed table if it is small, as measured, and else shuffles with salts."""
     return lookup_join(rows, keyed, on, how, budget=LOOKUP_BYTES)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import lookup, table, text_of
+from bagwise.llm.common import Tables, lookup, table, text_of
 from bagwise.plans.scratch import stored
 
 #: White space at the ends of a line, and the letters a key has in lower case.
@@ -79,12 +79,14 @@ def without_common_lines(docs: DataFrame, settings: LineSettings = LineSettings(
     ``n_lines`` or ``n_dropped`` are replaced). Runs jobs when called.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = stored(long_lines(docs, settings), "lines")
-    common = stored(common_lines(lines, settings), "common")
+    tables = Tables(docs.sparkSession)
+    lines = tables.keep("lines", long_lines(docs, settings))
+    common = tables.keep("common", common_lines(lines, settings))
     met = lookup(lines, common, ["key"], "inner").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     # At most a document's own lines come together here; repeated rows list a position twice.
     places = F.array_sort(F.collect_set("pos")).alias("_llm_dropped")
     dropped = stored(met.groupBy("_llm_id", "_llm_text").agg(places), "dropped")
+    tables.drop("lines", "common")
     held = lookup(docs.select("*", *_identity()), dropped, ["_llm_id", "_llm_text"])
     # One element stands for a variable: the lines are split once, not once per run.
     own = F.struct(lines_of(text_of()).alias("lines"), F.col("_llm_dropped").alias("dropped"))

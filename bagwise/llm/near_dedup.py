@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import LOOKUP_BYTES, lookup, table, without
+from bagwise.llm.common import LOOKUP_BYTES, Tables, lookup, table, without
 from bagwise.plans.lookup import Salting, even_shares, measured_bytes
-from bagwise.plans.scratch import discard, scratch_path, settle, stored
+from bagwise.plans.scratch import settle, stored
 
 ROWS = 128
 #: Words whose hashes a task remembers before it starts afresh.
@@ -185,23 +185,6 @@ def shingle_sets(docs: DataFrame, settings: NearSettings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, shingles array<long>")
 
 
-class Tables:
-    """Written tables of one search, each removed after its last reader."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def keep(self, name: str, frame: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        frame.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            discard(self.spark, self.paths.pop(name))
-
-
 def linked(docs: DataFrame, pairs: DataFrame, settings: NearSettings, tables: Tables, name: str) -> DataFrame:
     """Those of the pairs ``a, b`` whose full sets are similar enough, kept as a table.
 

@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bagwise.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
-from bagwise.llm.common import table
-from bagwise.plans.scratch import stored
+from bagwise.llm.common import Tables, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs, name.split()[0].lower())
-    return docs
+    """All stages in turn. What a stage was given goes once its own result is written."""
+    tables, docs = Tables(spark), table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        docs = tables.keep(name, stage(spark, docs, sf_dir))
+        if at:
+            tables.drop(STAGES[at - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
