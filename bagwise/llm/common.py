@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,22 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
+#: Rows of text that go to a Python worker at a time: their bytes are held there and beside the JVM's heap.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send texts to Python in batches of ``TEXT_ROWS`` at most; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Tables:
     """Written tables of one job, by name, each removed after its last reader."""
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import LOOKUP_BYTES, Tables, lookup, table, without
+from bagwise.llm.common import LOOKUP_BYTES, Tables, lookup, table, text_batches, without
 from bagwise.plans.lookup import Salting, even_shares, measured_bytes
 from bagwise.plans.scratch import settle, stored
 
@@ -192,7 +192,8 @@ def linked(docs: DataFrame, pairs: DataFrame, settings: NearSettings, tables: Ta
     copies if many pairs share it.
     """
     ids = tables.keep("paired", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = tables.keep("sets", shingle_sets(lookup(docs.select("doc_id", "text"), ids, ["doc_id"], "inner"), settings))
+    with text_batches(docs.sparkSession):
+        sets = tables.keep("sets", shingle_sets(lookup(docs.select("doc_id", "text"), ids, ["doc_id"], "inner"), settings))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
     both = lookup(lookup(pairs, left, ["a"], "inner"), right, ["b"], "inner")
@@ -298,7 +299,8 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings()) -> Dat
     an empty result; other columns are not read. Runs jobs when called.
     """
     tables = Tables(docs.sparkSession)
-    sketches = tables.keep("sketches", sketch(docs, settings))
+    with text_batches(docs.sparkSession):
+        sketches = tables.keep("sketches", sketch(docs, settings))
     told = tables.keep("told", sketches.select("doc_id", "n_shingles", "same"))
     # Equal sets are one class, named by its smallest id.
     per_set = told.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bagwise.llm.common import table, text_of
+from bagwise.llm.common import table, text_batches, text_of
+from bagwise.plans.scratch import stored
 
 #: How byte-level BPE vocabularies of this family cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -247,6 +248,12 @@ def digests(pieces: DataFrame) -> DataFrame:
     )
 
 
+def packed_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The pieces of all documents, each with a checksum in place of its ids; written when called."""
+    with text_batches(docs.sparkSession):
+        return stored(digests(pack_documents(docs, tokenizer)), "pieces")
+
+
 def production_tokenizer() -> str:
     import public_tokenizers
 
@@ -254,4 +261,4 @@ def production_tokenizer() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack_documents(table(spark, sf_dir, "documents"), production_tokenizer()))
+    return packed_digests(table(spark, sf_dir, "documents"), production_tokenizer())

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagwise.llm.common import lookup, table, text_of, without
+from bagwise.llm.common import lookup, table, text_batches, text_of, without
 from bagwise.llm.quality_rules import STOP_WORDS
 from bagwise.plans.scratch import stored
 
@@ -250,7 +250,8 @@ def classify(docs: DataFrame, labels: DataFrame, settings: ClassifierSettings =
     Null text is the empty text, which is scored like any other. Repeated rows are scored alike. An
     empty table gives an empty result. Ids, languages and sources are no part of a score.
     """
-    described = stored(describe(docs), "described")
+    with text_batches(docs.sparkSession):
+        described = stored(describe(docs), "described")
     model = fit(described, labels, settings)
 
     def scored(batches):
