@@ -285,6 +285,31 @@ def test_first_lines_come_from_one_scan(spark, files, tmp_path):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
+@pytest.mark.parametrize("small", [32 << 20, 30])
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch, small):
+    """Widths of many small files, by first lines that are not blank; larger ones are read by their heads."""
+    from bagwise.sources import delimited
+
+    for i in range(80):
+        cells = "\t".join("x" * (8 + i % 3))
+        (tmp_path / f"S{i}raw_x.bed").write_text("" if i == 79 else f"\n\n{cells}\n" + "a\tb\n" * (i // 2))
+    some = [str(p) for p in tmp_path.iterdir()]
+    monkeypatch.setattr(delimited, "SMALL_FILE", small, raising=False)
+    before, context = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"), spark.sparkContext
+    context.setJobGroup(f"widths-{small}", "widths")
+    try:
+        widths = fragment_widths(spark, some)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    names = {w: sorted(int(p.rsplit("/S", 1)[1].split("raw")[0]) for p in found) for w, found in widths.items()}
+    assert names == {8 + k: [i for i in range(79) if i % 3 == k] for k in range(3)}
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    if small > 30:
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"widths-{small}") for s in tracker.getJobInfo(j).stageIds]
+        assert 0 < max(s.numTasks for s in stages if s) < 40
+
+
 def test_faults_are_counted_while_rows_are_read(spark, tmp_path):
     cells = [("1e3", "10", "NaN", "1"), ("1", " 2 ", "x", " inf "), ("", "x", "1e3", "0.5"), ("7", "NaN", " ", "-Infinity")]
     for name, some in (("S1raw_x.bed", cells[:2]), ("S2raw_x.bed", cells[2:])):
