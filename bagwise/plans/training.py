@@ -55,6 +55,8 @@ MOST_BUCKETS = 1024
 LISTED_BAGS = 1000
 # Bags that one scan of a batch names, but for further bags of its last folder.
 PRUNED_BAGS = 200
+# Batches of more bags than this touch most pages: the rows of an epoch are written by batch instead.
+PICKED_BAGS = 1000
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,8 @@ class TrainSettings:
     the gradient over their bags, ``None`` over all bags: fewer passes, but a different optimiser.
     ``n_batches`` cuts the order into that many shares instead, whatever the number of bags. Batches are slices
     of the epoch's order at every size of the table. Rows of such steps are stored by bag once, unless they are read
-    from a bag store already: then ``stored_buckets`` is its number of buckets. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
+    from a bag store already: then ``stored_buckets`` is its number of buckets. Rows of batches over ``PICKED_BAGS``
+    bags are written once an epoch, by batch. ``single`` evaluates rows in single precision, several times faster; sums stay in double.
     ``gated`` draws a scorer with a softmax per hidden unit, whose steps take two passes at every batch size.
     ``run_folder`` keeps every epoch's parameters, moments and scores under ``run_id``: the same call after an
     interruption goes on behind the last complete epoch.
@@ -368,12 +371,15 @@ def train_models(
     optimisers = {f: Adam(settings.lr, settings.weight_decay) for f in models}
     path = f"{settings.run_folder}/{settings.run_id}" if settings.run_folder else scratch_path(spark, f"train-{settings.run_id}")
     done = resume(spark, path, models, optimisers, settings) if settings.run_folder else 0
-    copy = None
+    copies: list[str] = []
+    large = not whole and size > PICKED_BAGS
     if done >= settings.epochs:
         pass
+    elif large:
+        rows = rows.drop("bag_bucket")
     elif not whole and settings.stored_buckets is None:
-        copy = scratch_path(spark, f"rows-{settings.run_id}")
-        rows = _bucketed(rows.drop("bag_bucket"), copy, buckets)
+        copies.append(scratch_path(spark, f"rows-{settings.run_id}"))
+        rows = _bucketed(rows.drop("bag_bucket"), copies[-1], buckets)
     elif whole and settings.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     few = not whole and size * len(models) <= ONE_PASS_RECORDS and not is_gated(models)
@@ -396,7 +402,15 @@ def train_models(
 
     try:
         for epoch in range(done + 1, settings.epochs + 1):
-            batches = iter([rows]) if whole else _batches(rows, bags, buckets, epoch, settings)
+            if large:
+                copies.append(scratch_path(spark, f"rows-{settings.run_id}"))
+                written, n_batches = _write_batches(rows, bags, copies[-1], epoch, settings)
+                batches = _one_by_one(written, n_batches)
+                rows = written.drop("batch")  # of which the next epoch is written
+                while len(copies) > 1:
+                    discard(spark, copies.pop(0))
+            else:
+                batches = iter([rows]) if whole else _batches(rows, bags, buckets, epoch, settings)
             for step, some in enumerate(batches):
                 bounded = max(kernels.logit_bound(m) for m in models.values()) <= bound
                 sent = {f: m.as_type(np.float32) for f, m in models.items()} if settings.single else models
@@ -418,7 +432,7 @@ def train_models(
     finally:
         if whole and settings.cache:
             rows.unpersist()
-        if copy:
+        for copy in copies:
             discard(spark, copy)
     read = spark.read.option("recursiveFileLookup", True).schema(scored)
     of_epoch = [
@@ -489,6 +503,38 @@ def _bucketed(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
+def _numbered_bags(bags: DataFrame, epoch: int, settings: TrainSettings) -> tuple[DataFrame, int, int]:
+    """``bag_id, batch`` of the epoch's order, the number of batches, and the most bags that one has."""
+    n, size = bags.count(), settings.batch_bags
+    ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
+    if settings.n_batches:
+        if not 1 <= settings.n_batches <= n:
+            raise ValueError(f"cannot cut {n} bags into {settings.n_batches} batches")
+        batch, size = tile(F.col("rank"), F.lit(n), settings.n_batches), -(-n // settings.n_batches)
+        n_batches = settings.n_batches
+    else:
+        batch, n_batches = F.floor((F.col("rank") - 1) / size), -(-n // size)
+    return ranked.select("bag_id", batch.cast("int").alias("batch")), n_batches, size
+
+
+def _write_batches(rows: DataFrame, bags: DataFrame, path: str, epoch: int, settings: TrainSettings) -> tuple[DataFrame, int]:
+    """The rows with the ``batch`` of their bag, written by batch in one shuffle, and the number of batches.
+
+    A batch above the advisory size is split over several tasks.
+    """
+    ranked, n_batches, _ = _numbered_bags(bags, epoch, settings)
+    keyed = lookup_join(rows, settle(ranked), ["bag_id"], "inner", budget=settings.budget)
+    keyed.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+    return rows.sparkSession.read.schema(schema).parquet(path), n_batches
+
+
+def _one_by_one(written: DataFrame, n_batches: int) -> Iterator[DataFrame]:
+    """Each batch is one scan of one folder, however many bags it has."""
+    for b in range(n_batches):
+        yield written.where(F.col("batch") == b).drop("batch")
+
+
 def _batches(
     rows: DataFrame, bags: DataFrame, buckets: int, epoch: int, settings: TrainSettings
 ) -> Iterator[DataFrame]:
@@ -499,16 +545,8 @@ def _batches(
     footers of its folders and the pages that may hold its bags. An epoch so reads each row about once
     and writes none.
     """
-    n, size = bags.count(), settings.batch_bags
-    ranked = shuffled_rank(bags.select("bag_id"), settings.seed, epoch)
-    if settings.n_batches:
-        if not 1 <= settings.n_batches <= n:
-            raise ValueError(f"cannot cut {n} bags into {settings.n_batches} batches")
-        batch, size = tile(F.col("rank"), F.lit(n), settings.n_batches), -(-n // settings.n_batches)
-        n_batches = settings.n_batches
-    else:
-        batch, n_batches = F.floor((F.col("rank") - 1) / size), -(-n // size)
-    ranked = settle(ranked.select("bag_id", batch.alias("batch"), bag_bucket("bag_id", buckets).alias("bag_bucket")))
+    ranked, n_batches, size = _numbered_bags(bags, epoch, settings)
+    ranked = settle(ranked.withColumn("bag_bucket", bag_bucket("bag_id", buckets)))
     # Ids of a few batches at a time; a large batch comes as ids alone, a few numbers a bag.
     at_once = max(1, LISTED_BAGS // size)
     for start in range(0, n_batches, at_once):

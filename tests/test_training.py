@@ -105,6 +105,29 @@ def test_batches_are_slices_of_the_order_at_every_size(spark, bags, model, size,
     assert {r.bag_id: r.p for r in trained.scores.collect()} == pytest.approx(dict(seen), abs=1e-5)
 
 
+@pytest.mark.parametrize("options", [{"batch_bags": 3}, {"n_batches": 2, "gated": True}, {"n_batches": 2, "stored_buckets": 3}])
+def test_batches_of_many_bags_are_one_scan(spark, bags, tmp_path, monkeypatch, options):
+    """They train as batches that are picked out of the stored rows do; the rows are written once an epoch."""
+    settings = TrainSettings(epochs=3, lr=0.02, hidden=4, **options)
+    rows = instances(spark, bags)
+    if settings.stored_buckets:
+        labelled = rows.join(labels_frame(spark), "bag_id").withColumn("split", F.lit("train"))
+        write_bags(labelled, str(tmp_path / "bags"), buckets=3)
+        rows = read_bags(spark, str(tmp_path / "bags"), "train")
+    monkeypatch.setattr(training, "ONE_PASS_RECORDS", 0)
+    picked = train_attention(rows, labels_frame(spark), settings)
+    monkeypatch.setattr(training, "PRUNED_BAGS", 1)
+    monkeypatch.setattr(training, "PICKED_BAGS", 2, raising=False)
+    scans, removed, step, gone = [], [], training._two_pass_step, training.discard
+    monkeypatch.setattr(training, "_two_pass_step", lambda some, *a: scans.append(some._jdf.queryExecution().optimizedPlan().collectLeaves().size()) or step(some, *a))
+    monkeypatch.setattr(training, "discard", lambda spark, path: removed.append(path) or gone(spark, path))
+    found = train_attention(rows, labels_frame(spark), settings)
+    np.testing.assert_allclose(found.model.flat(), picked.model.flat(), atol=1e-9)
+    score = lambda t: {(r.epoch, r.bag_id): r.p for r in t.scores.collect()}
+    assert score(found) == pytest.approx(score(picked)) and found.scores.count() == 18
+    assert scans == [1] * 6 and len(set(removed)) == 3
+
+
 @pytest.mark.parametrize("features, message", [([[1.0], [1.0, 2.0, 3.0]], "equal width"), ([[1.0, 2.0], [1.0, float("nan")]], "NaN")])
 def test_uneven_and_nan_features_are_refused(features, message):
     with pytest.raises(ValueError, match=message):
