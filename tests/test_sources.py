@@ -249,6 +249,30 @@ def test_ids_do_not_depend_on_the_scan(spark, many):
     assert len(shared) == 2100 and len(set(shared)) == 2 * 151
 
 
+@pytest.mark.parametrize("budget", [64 << 20, -1])
+def test_equal_rows_are_counted_not_ordered(spark, monkeypatch, budget):
+    """Every copy has an id of its own, and the rows are as they were; plain rows keep theirs."""
+    from bagwise.sources import delimited
+
+    monkeypatch.setattr(delimited, "BROADCAST_BYTES", budget, raising=False)
+    monkeypatch.setattr(delimited, "COPIES", 7, raising=False)
+    monkeypatch.setattr(delimited, "ROWS_A_TASK", 50, raising=False)
+    kinds = "sample_name string, cell string, x double, parts array<double>"
+    twins = [("S1", None, -0.0, [0.0]), ("S1", "\0", -0.0, [0.0]), ("S1", "a", 0.0, [-0.0]), (None, "b", float("nan"), None)]
+    given = [(twins[0], 3), (twins[1], 2), (twins[2], 100), (twins[3], 2), (("S2", "one", 1.0, []), 1)]
+    rows = spark.createDataFrame([r for r, n in given for _ in range(n)], kinds).repartition(3)
+    found = delimited.with_row_ids(rows)
+    assert sorted(map(str, found.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    ids = {r.instance_id for r in found.collect()}
+    assert len(ids) == rows.count() == 108
+    # Rows of one hash share its numbers: a null and the cell that stands for it.
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rows.columns]
+    hashes = rows.groupBy(F.xxhash64(*cells).alias("h")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    assert ids == {r[0] for r in hashes.select(F.when(F.col("k") == 1, F.col("h")).otherwise(F.xxhash64("h", "k"))).collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nth" not in plan and "RepartitionByExpression" in plan
+
+
 def test_ids_survive_another_name(spark, many, tmp_path):
     for p in many.iterdir():
         (tmp_path / p.name.replace("_", "_moved_")).write_text(p.read_text())
