@@ -440,3 +440,66 @@ def test_scaled_path_joins_its_rows_once(spark, files, monkeypatch):
     found = instances.signature_ranges(named, typed, ["gc_content", "gc_weight"])
     assert {r.bag_id: {c: r[c] for c in r.asDict()} for r in found.collect()} == {b: r.asDict() for b, r in expected.items()}
     assert len(settled) == 1 and settled[0]._jdf.queryExecution().optimizedPlan().toString().count("] csv") == 1
+
+
+def test_tasks_write_many_small_files(spark, tmp_path):
+    """What Spark's writer would have written, without a process for each file's mode, and no drafts left."""
+    from bagwise.sources.parts import write_parts
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 71 != 5, F.concat(F.lit("S"), F.col("id") % 71)).alias("file"),
+        F.when(F.col("id") % 3 == 0, " x ").when(F.col("id") % 3 == 1, 'a"b\tc').alias("a"),
+        F.when(F.col("id") % 2 == 0, "").alias("b"),
+        F.lit("\u00e9\u4e00").alias("c"),
+        "id",
+    )
+    cells = F.struct("a", "b", "c", "id")
+    write_parts(rows.select("file", F.to_csv(cells, {"sep": "\t"}).alias("line")), f"{tmp_path}/ours")
+    rows.write.partitionBy("file").option("sep", "\t").csv(f"{tmp_path}/spark")
+
+    def lines(root):
+        return sorted((p.parent.name, line) for p in root.glob("file=*/part-*") for line in p.read_bytes().split(b"\n")[:-1])
+
+    assert lines(tmp_path / "ours") == lines(tmp_path / "spark") and len(lines(tmp_path / "ours")) == 3000
+    assert not list((tmp_path / "ours").glob("*/.*"))
+    assert spark.read.csv(f"{tmp_path}/ours", sep="\t").where("file = 'S7'").count() == 43
+
+
+def test_a_file_may_span_batches_and_tasks(spark, tmp_path):
+    from bagwise.sources.parts import write_parts
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, "big").otherwise(F.col("id").cast("string")).alias("file"), F.sha2(F.col("id").cast("string"), 256).alias("line"), "id")
+    for n, size in enumerate(("64MB", "200KB")):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        try:
+            write_parts(rows.where("id % 4 > 0 or id < 400").drop("id"), f"{tmp_path}/{n}")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        found = spark.read.text(f"{tmp_path}/{n}").selectExpr("file", "value as line")
+        assert found.exceptAll(rows.drop("id")).isEmpty() and found.count() == 30_100
+    assert len(list((tmp_path / "1" / "file=big").glob("part-*"))) > 1
+
+
+def test_another_file_system_gets_its_files_from_spark(spark, tmp_path, monkeypatch):
+    from bagwise.sources import parts
+
+    monkeypatch.setattr(parts, "plain_folder", lambda *a: None)
+    parts.write_parts(spark.createDataFrame([("S1", "a\tb"), ("S2", "c")], "file string, line string"), f"{tmp_path}/x")
+    assert sorted(map(tuple, spark.read.text(f"{tmp_path}/x").collect())) == [("a\tb", "S1"), ("c", "S2")]
+
+
+def test_widths_make_no_row_of_every_line(spark, tmp_path):
+    """A small file is one value; a mark at its start, other line ends and packed files are as in a scan of lines."""
+    import gzip
+
+    from bagwise.sources.delimited import first_widths
+
+    some = {"S1_x.bed": b"\xef\xbb\xbf\n\r\na\tb\tc\nd\n", "S2_x.bed": b"a\tb\rc\n", "S3_x.bed": b"\n\n", "S4_x.bed": b"one"}
+    for name, content in some.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "S5_x.bed.gz").write_bytes(gzip.compress(b"\na\tb\tc\td\n"))
+    paths = [str(p) for p in tmp_path.iterdir()]
+    widths = first_widths(spark, paths)
+    assert {r.file.rsplit("/", 1)[1]: r.width for r in widths.collect()} == {"S1_x.bed": 3, "S2_x.bed": 2, "S4_x.bed": 1, "S5_x.bed.gz": 4}
+    plan = first_widths(spark, [p for p in paths if not p.endswith("gz")])._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" in plan and "text" not in plan and "Aggregate" not in plan and "Exchange" not in plan
