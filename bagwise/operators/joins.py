@@ -38,13 +38,16 @@ def join_signatures(
     budget: int = BROADCAST_BYTES,
     warn_duplicates: bool = True,
     copy: str | None = None,
+    by_sample: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join one signature table per token column on (token, sample).
 
     ``tables`` maps a token column to its table (``Sample``, ``Motif``, likelihoods). Likelihood
     columns get the token's suffix. Repeated keys multiply rows, with a warning. ``copy`` names a column
     that tells the rows apart which came from one: null for an only one, else a hash of which rows of the
-    tables it met.
+    tables it met. ``by_sample`` is a further table, with one row for each sample, joined along.
+
+    Tables beyond the budget come first: hot samples are counted in the rows as they were given.
     """
     keyed, copies = {}, []
     for token, table in tables.items():
@@ -55,7 +58,7 @@ def join_signatures(
             F.col(f"Motif{suffixes[token]}").alias(token),
             *[F.col(f"`{c}{suffixes[token]}`") for c in names],
         )
-    out, large = rows, []
+    small, large = [], []
     for token, size, most in _table_facts(keyed, sample):
         if copy and most > 1:
             # Equal rows of a key get different numbers; which one gets which does not matter.
@@ -64,14 +67,18 @@ def join_signatures(
             keyed[token] = keyed[token].withColumn(copies[-1], F.row_number().over(order))
         if warn_duplicates and most > 1:
             warnings.warn(f"signature table for {token} repeats keys: matching rows multiply", stacklevel=2)
-        if size <= budget:
-            out = lookup_join(out, keyed[token], [token, sample], "left", budget=budget, table_bytes=size)
-        else:
-            large.append((keyed[token], [token, sample]))
+        (small if size <= budget else large).append((keyed[token], [token, sample], size))
+    if by_sample is not None:
+        size = measured_bytes(by_sample)
+        (small if size <= budget else large).append((by_sample, [sample], size))
+    out = rows
     if large:
-        # Every table is keyed by the sample too: the rows move once, by sample.
-        out = salted_lookups(out, large, [sample])
+        # Every table is keyed by the sample too: the rows move by sample.
+        out = salted_lookups(out, [(table, on) for table, on, _ in large], [sample])
+    for table, on, size in small:
+        out = lookup_join(out, table, on, "left", budget=budget, table_bytes=size)
     order = [f"{c}{suffixes[t]}" for t, table in tables.items() for c in signature_columns(table)]
+    order += [c for c in (by_sample.columns if by_sample is not None else []) if c != sample]
     told = []
     if copy:
         nth = [F.coalesce(F.col(c), F.lit(1)) for c in copies]

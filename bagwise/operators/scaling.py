@@ -22,6 +22,27 @@ def feature_ranges(df: DataFrame, columns: Sequence[str], bag: str = "bag_id") -
     return df.groupBy(bag).agg(*ends)
 
 
+def packed_ends(ends: DataFrame, columns: Sequence[str], bag: str = "bag_id") -> DataFrame:
+    """``bag, _low, _span``: the minimum of each column and how far its maximum is from it, in the columns' order.
+
+    There is no span where both are the same. Two arrays instead of two columns per feature, of which each
+    element is read once: joins and scaling stay small enough for generated code that the JVM compiles.
+    """
+    low, high = ([F.col(f"`{c}_{end}`") for c in columns] for end in ("min", "max"))
+    spans = [F.when(a != b, b - a) for a, b in zip(low, high)]
+    return ends.select(bag, F.array(*low).alias("_low"), F.array(*spans).alias("_span"))
+
+
+def scale_packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Scale each column to [0, 1] by the row's own ``_low`` and ``_span``, which are dropped."""
+    scaled = {}
+    for i, c in enumerate(columns):
+        value = F.col(f"`{c}`").cast("double")
+        scaled[c] = F.coalesce((value - F.col("_low")[i]) / F.col("_span")[i], value * 0.0)
+    kept = [c for c in df.columns if c not in ("_low", "_span")]
+    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in kept])
+
+
 def scale_by(
     df: DataFrame, columns: Sequence[str], ends: DataFrame, bag: str = "bag_id", *, budget: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -29,15 +50,7 @@ def scale_by(
 
     A column constant in the bag becomes 0. Runs a job when called, over the ends.
     """
-    # Two arrays instead of two columns per feature: the join stays narrow enough for generated code.
-    packed = [F.array(*[F.col(f"`{c}_{end}`") for c in columns]).alias(f"_{end}") for end in ("min", "max")]
-    ranges = settle(ends.select(bag, *packed))
-    joined = lookup_join(df, ranges, [bag], "left", budget=budget)
-    scaled = {}
-    for i, c in enumerate(columns):
-        value, low, high = F.col(f"`{c}`").cast("double"), F.col("_min")[i], F.col("_max")[i]
-        scaled[c] = F.when(low != high, (value - low) / (high - low)).otherwise(value * 0.0)
-    return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])
+    return scale_packed(lookup_join(df, settle(packed_ends(ends, columns, bag)), [bag], "left", budget=budget), columns)
 
 
 def minmax_scale(

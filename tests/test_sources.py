@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
@@ -9,6 +11,7 @@ from bagwise.operators.model import AttentionModel, GatedAttentionModel
 from bagwise.operators.pooling import attention_weights
 from bagwise.operators.prepare import cell_faults, clean_columns
 from bagwise.operators.scaling import feature_ranges
+from bagwise.plans import lookup
 from bagwise.plans.instances import bags_of, frequency_instances, signature_features, signature_instances
 from bagwise.plans.scratch import settle
 from bagwise.sources import (
@@ -123,6 +126,68 @@ def test_signature_path(spark, files):
     assert scaled.where("bag_id = 'S3raw'").first().features == [0.0] * 9
 
 
+def test_kept_rows_are_parsed_once_by_few_paths(spark, tmp_path, monkeypatch):
+    """Rows that are read again come from a table: some paths at a time, many small files in a task."""
+    from bagwise.sources import delimited
+
+    line = "chr{0}\t{0}\t260\t160-169\tCCCA\t\t0.42\t1.03".format
+    lines = {i: line(i) + "\t\"0\"\t1.0\t7.5"[: 4 * (i % 100 == 0) + 9 * (i % 200 == 0)] for i in range(300)}
+    for i, line in lines.items():
+        (tmp_path / f"S{i}raw_x.bed").write_text(f"\n{line}\n" * (i % 2 + 1))
+    (tmp_path / "S300raw_x.bed").write_text("")
+    some = sorted(str(p) for p in tmp_path.iterdir())
+    plain = read_fragments(spark, some, distinct_ids=False)
+    scanned, batches = delimited._fragment_scan, []
+    monkeypatch.setattr(delimited, "_fragment_scan", lambda s, w, p: batches.append((w, len(p))) or scanned(s, w, p))
+    monkeypatch.setattr(delimited, "PATHS_A_SCAN", 160, raising=False)
+    settings = {"spark.sql.files.openCostInBytes": "4m", "spark.sql.files.maxPartitionBytes": "4m"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = read_fragments(spark, iter(some))
+        assert {k: spark.conf.get(k) for k in settings} == settings
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(n for _, n in batches) in (300, 301) and max(n for _, n in batches) <= 160
+    cells = [c for c in plain.columns if c != "instance_id"]
+    assert sorted(map(str, rows.select(cells).collect())) == sorted(map(str, plain.select(cells).collect()))
+    assert len({r.instance_id for r in rows.collect()}) == rows.count() == 450
+    parts = rows.inputFiles()
+    assert not any(f"{tmp_path.name}/S" in p for p in parts) and len(parts) < 60
+
+
+def test_scaled_rows_are_joined_once(spark, files, monkeypatch):
+    """Hot samples are counted once, in rows that are not joined yet; ends of bags are joined along."""
+    rows = read_fragments(spark, paths(spark, files))
+    tables = {t: read_signatures(spark, str(files / f"{t}.csv")) for t in ("out5p", "in5p", "length_bin")}
+    hot, counted = lookup.hot_keys, []
+    with pytest.warns(UserWarning):
+        wide = signature_instances(rows, tables, scale=True)
+    monkeypatch.setattr(lookup, "hot_keys", lambda rows, *a: counted.append(rows) or hot(rows, *a))
+    with pytest.warns(UserWarning):
+        narrow = signature_instances(rows, tables, scale=True, budget=-1)
+    own = [r for r in counted if "instance_id" in r.columns]
+    assert len(own) == 1 and "Join" not in own[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_scaling_is_compiled(spark, files, capsys):
+    """The JVM interprets methods of over 8,000 bytes, which is many times slower."""
+    rows = read_fragments(spark, paths(spark, files), width=8)
+    tables = {t: read_signatures(spark, str(files / f"{t}.csv")) for t in ("out5p", "in5p", "length_bin")}
+    with pytest.warns(UserWarning):
+        scaled = signature_instances(rows, tables, scale=True)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scaled.groupBy("bag_id").agg(*[F.sum(F.col("features")[i]) for i in range(8)]).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert 0 < max(sizes) < 8000
+
+
 def test_frequency_path(spark, files):
     made = frequency_instances(read_fragments(spark, paths(spark, files)))
     found = sorted((r.bag_id, r.features) for r in made.collect())
