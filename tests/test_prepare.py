@@ -100,6 +100,17 @@ def test_signature_joins_share_one_exchange(spark):
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
 
 
+def test_signature_joins_deal_rows_themselves(spark):
+    """By default each join needs the rows by all of its keys: they are not moved by the sample before."""
+    rows = spark.range(50).selectExpr("concat('k', id % 7, 'raw') as sample_name", "cast(id % 5 as string) as out5p", "cast(id % 3 as string) as in5p")
+    table = spark.range(35).selectExpr("concat('filtered_k', id % 7, 'raw') as Sample", "cast(id div 7 as string) as Motif", "id as v")
+    joined = join_signatures(rows, {"out5p": table, "in5p": table}, budget=-1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan and "_salt" in plan
+    wide = join_signatures(rows, {"out5p": table, "in5p": table})
+    assert sorted(map(str, joined.collect())) == sorted(map(str, wide.collect()))
+
+
 def test_duplicate_signatures_multiply_rows(spark):
     table = spark.createDataFrame([("filtered_Araw", "x", 1), ("filtered_Araw", "x", 2), ("filtered_Araw", "y", 3)], "Sample string, Motif string, v int")
     assert [tuple(r) for r in duplicate_signatures(table).collect()] == [("Araw", "x", 2)]
